@@ -1,0 +1 @@
+"""No streaming operator is in scope: the analysis is a one-shot batch over crawled tables."""
