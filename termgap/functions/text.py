@@ -53,14 +53,32 @@ def cased_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def keep_words(found: Column, language: Column, stop_words: dict[str, list[str]], min_chars: int) -> Column:
-    """Drop short words and the stop words of the row's language."""
-    branches = None
-    for lang, listed in sorted(stop_words.items()):
-        kept = F.filter(found, lambda w, listed=listed: (F.length(w) >= min_chars) & ~w.isin(listed))
-        branches = F.when(language == lang, kept) if branches is None else branches.when(language == lang, kept)
-    plain = F.filter(found, lambda w: F.length(w) >= min_chars)
-    return plain if branches is None else branches.otherwise(plain)
+def keep_words(found: Column, stop_words: list[str], min_chars: int) -> Column:
+    """Drop short words and stop words. A list of more than ten literals is a hashed set in Catalyst."""
+    return F.filter(found, lambda w: (F.length(w) >= min_chars) & ~w.isin(stop_words))
+
+
+def keep_lemmas(found: Column, stop_words: list[str], lemmas: dict[str, str | None], min_chars: int) -> Column:
+    """Drop stop words, forms without a kept lemma and short unknown words; replace the listed forms.
+
+    ``lemmas`` maps a form to its lemma, or to None where it is dropped. The hashed set sends only listed forms to the
+    map, whose lookup is linear: meant for short lists, longer lexicons are joined.
+    """
+    dropped = sorted(set(stop_words) | {form for form, lemma in lemmas.items() if lemma is None})
+    listed = {form: lemma for form, lemma in lemmas.items() if lemma is not None}
+    if not listed:
+        return keep_words(found, dropped, min_chars)
+    forms = sorted(listed)
+    kept = F.filter(found, lambda w: ~w.isin(dropped) & ((F.length(w) >= min_chars) | w.isin(forms)))
+    lookup = F.map_from_arrays(F.lit(forms), F.lit([listed[form] for form in forms]))
+    return F.transform(kept, lambda w: F.when(w.isin(forms), F.element_at(lookup, w)).otherwise(w))
+
+
+def by_language(language: Column, per_language: dict[str, Column], other: Column) -> Column:
+    branches = F
+    for lang, value in sorted(per_language.items()):
+        branches = branches.when(language == lang, value)
+    return branches.otherwise(other) if per_language else other
 
 
 def bigrams(tokens: Column) -> Column:

@@ -79,6 +79,12 @@ def text_entries(classified: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def stored_text(payload: Column) -> tuple[Column, Column]:
+    """Text and error of a stored page outcome."""
+    pair = F.from_json(payload, "array<string>")
+    return F.get(pair, 0), F.get(pair, 1)
+
+
 def save(entries: DataFrame, path: str) -> None:
     entries.write.partitionBy("cache_type").mode("append").parquet(path)
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from termgap.functions.text import with_term_counts
 from termgap.params import DEFAULT, Params
 
+PAGE_MARK = ""
+
 
 def page_terms(tokens: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Per page: ``terms`` as an array of (term, tf), empty for pages with too few tokens."""
@@ -47,10 +49,31 @@ def cap_vocabulary(frequency: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def vocabulary(pages: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """``(query_id, term, df, ctf, vocab_rank, idf)`` with smoothed idf."""
-    capped = cap_vocabulary(document_frequency(term_counts(pages), params), params)
-    idf = F.log((1 + F.col("n_pages")) / (1 + F.col("df"))) + 1
-    return capped.join(usable_counts(pages, params), "query_id").withColumn("idf", idf).drop("n_pages")
+    """``(query_id, term, df, ctf, vocab_rank, idf)`` with smoothed idf.
+
+    Every usable page also counts once under the empty term, so the number of usable pages comes out of the same
+    aggregation as the document frequencies: the texts are tokenised once and nothing is joined. The empty term is
+    ranked first and leaves again once its count has been read.
+    """
+    page_mark = F.array(F.struct(F.lit(PAGE_MARK).alias("term"), F.lit(1).cast("bigint").alias("tf")))
+    marked = pages.select("query_id", F.inline_outer(F.concat(page_mark, "terms")))
+    is_mark = F.col("term") == PAGE_MARK
+    frequency = (
+        marked.where(F.col("term").isNotNull())
+        .groupBy("query_id", "term")
+        .agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
+        .where(is_mark | (F.col("df") >= params.min_df))
+    )
+    by_count = Window.partitionBy("query_id").orderBy(F.desc(is_mark), F.desc("ctf"), "term")
+    keyword = Window.partitionBy("query_id")
+    return (
+        frequency.withColumn("vocab_rank", F.row_number().over(by_count) - 1)
+        .where(F.col("vocab_rank") <= params.max_features)
+        .withColumn("_pages", F.max(F.when(is_mark, F.col("df"))).over(keyword))
+        .where(~is_mark)
+        .withColumn("idf", F.log((1 + F.col("_pages")) / (1 + F.col("df"))) + 1)
+        .drop("_pages")
+    )
 
 
 def tfidf(pages: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termgap.functions.text import keep_words, words
+from termgap.functions.text import by_language, keep_lemmas, keep_words, words
 from termgap.params import DEFAULT, Params
 from termgap.sources.requests import resource_language
 from termgap.sources.resources import KEPT_POS, Resources
@@ -14,17 +14,26 @@ from termgap.sources.resources import KEPT_POS, Resources
 def page_tokens(docs: DataFrame, resources: Resources, params: Params = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(query_id, doc_ord, *carry, tokens, n_tokens)``: the kept words of each page in text order.
 
-    Without a lexicon this is row-local. With one, words are joined by form and gathered again per page; unknown words
-    keep their own form and count as nouns.
+    Unknown words keep their own form and count as nouns. With a lexicon given as a short list the whole step is
+    row-local; a lexicon table is joined by form, and the words of a page are gathered again.
     """
     keys = ("query_id", "doc_ord", *carry)
     lang = resource_language(F.col("lang"), params)
     found = docs.select(*keys, lang.alias("lang"), words(F.col("text")).alias("_words"))
-    if resources.lexicon is None:
-        kept = keep_words(F.col("_words"), F.col("lang"), resources.stop_words, params.min_token_chars)
-        return found.withColumn("tokens", kept).select(*keys, "tokens", F.size("tokens").alias("n_tokens"))
+    if isinstance(resources.lexicon, DataFrame):
+        return _joined_tokens(found, keys, resources, params)
+    spoken = {
+        code: keep_lemmas(F.col("_words"), listed, resources.lemmas(code, params.min_token_chars), params.min_token_chars)
+        for code, listed in resources.stop_words.items()
+    }
+    plain = keep_words(F.col("_words"), [], params.min_token_chars)
+    kept = by_language(F.col("lang"), spoken, plain)
+    return found.withColumn("tokens", kept).select(*keys, "tokens", F.size("tokens").alias("n_tokens"))
 
-    unstopped = found.select(*keys, "lang", keep_words(F.col("_words"), F.col("lang"), resources.stop_words, 1).alias("_w"))
+
+def _joined_tokens(found: DataFrame, keys: tuple[str, ...], resources: Resources, params: Params) -> DataFrame:
+    spoken = {code: keep_words(F.col("_words"), listed, 1) for code, listed in resources.stop_words.items()}
+    unstopped = found.select(*keys, "lang", by_language(F.col("lang"), spoken, F.col("_words")).alias("_w"))
     placed = unstopped.select(*keys, "lang", F.posexplode_outer("_w").alias("pos", "word"))
     lemma = lemmas(placed, resources.lexicon)
     kept_lemma = F.when(F.length("lemma") >= params.min_token_chars, F.struct("pos", "lemma"))

@@ -73,12 +73,13 @@ def k5(spark, sf):
 def k6(spark, sf):
     texts = reuse.text_entries(inputs.classified(spark, sf), now())
     found = t.payloads(spark, sf).join(inputs.searches(spark, sf).select("query_id", "error"), "query_id")
-    stored = texts.unionByName(reuse.search_entries(found, now()))
+    entries = texts.unionByName(reuse.search_entries(found, now()))
     is_text = F.col("cache_type") == "text_v2"
-    return stored.select(
+    stored, reason = reuse.stored_text(F.col("payload"))
+    return entries.select(
         "cache_key",
-        F.when(is_text, F.get_json_object("payload", "$[0]").isNull()).otherwise(False).alias("negative"),
-        F.when(is_text, F.get_json_object("payload", "$[1]")).alias("reason"),
+        F.when(is_text, stored.isNull()).otherwise(False).alias("negative"),
+        F.when(is_text, reason).alias("reason"),
     )
 
 

@@ -52,11 +52,11 @@ def six(name):
 
 
 @query("m6_preprocess", with_("""
-    SELECT query_id, doc_ord, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(token, ' ' ORDER BY ix) AS preprocessed
-    FROM tokens GROUP BY 1, 2"""))
+    SELECT p.query_id, p.doc_ord, CAST(p.n_tokens AS INTEGER) AS n_tokens, coalesce(t.v, '') AS preprocessed FROM page_sizes p
+    LEFT JOIN (SELECT query_id, doc_ord, string_agg(token, ' ' ORDER BY ix) AS v FROM tokens GROUP BY 1, 2) t
+    ON t.query_id = p.query_id AND t.doc_ord = p.doc_ord"""))
 def m6(spark, sf):
-    found = tokens(spark, sf).select("query_id", "doc_ord", "n_tokens", F.array_join("tokens", " ").alias("preprocessed"))
-    return found.where(F.col("n_tokens") > 0)
+    return tokens(spark, sf).select("query_id", "doc_ord", "n_tokens", F.array_join("tokens", " ").alias("preprocessed"))
 
 
 @query("c13_usable_pages", with_("SELECT query_id, doc_ord FROM page_sizes WHERE n_tokens >= 2"))
@@ -74,11 +74,12 @@ def j2(spark, sf):
 
 
 @query("u1_one_and_two_word_terms", with_("""
-    SELECT t.query_id, t.doc_ord, count(*) AS n_terms FROM terms t GROUP BY ALL"""))
+    SELECT p.query_id, p.doc_ord, CAST(coalesce(t.n, 0) AS BIGINT) AS n_terms FROM page_sizes p
+    LEFT JOIN (SELECT query_id, doc_ord, count(*) AS n FROM terms GROUP BY 1, 2) t
+    ON t.query_id = p.query_id AND t.doc_ord = p.doc_ord"""))
 def u1(spark, sf):
-    found = pages(spark, sf)
     total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda acc, x: acc + x["tf"])
-    return found.select("query_id", "doc_ord", total.alias("n_terms")).where(F.col("n_terms").isNotNull())
+    return pages(spark, sf).select("query_id", "doc_ord", F.coalesce(total, F.lit(0).cast("bigint")).alias("n_terms"))
 
 
 @query("a1_term_frequency", with_("SELECT query_id, doc_ord, term, tf FROM counts"))

@@ -118,20 +118,37 @@ GAZETTEER_SQL = values_sql(GAZETTEER, ("lang", "surface", "label"))
 POLARITY_SQL = values_sql(POLARITY, ("lang", "word", "polarity"))
 
 
+MAX_LISTED_FORMS = 500
+
+
 @dataclass
 class Resources:
-    """Lookup tables by language. ``stop_words`` are inlined as hashed sets; the others are joined."""
+    """Lookup tables by language.
+
+    ``stop_words`` are inlined as hashed sets. ``lexicon`` is a short list of (lang, form, lemma, pos), inlined too, or
+    a table of any size, joined. The other tables are joined.
+    """
 
     stop_words: dict[str, list[str]] = field(default_factory=lambda: STOP_WORDS)
-    lexicon: DataFrame | None = None
+    lexicon: list[tuple[str, str, str, str]] | DataFrame = field(default_factory=list)
     gazetteer: DataFrame | None = None
     polarity: DataFrame | None = None
 
+    def __post_init__(self):
+        if isinstance(self.lexicon, list) and len(self.lexicon) > MAX_LISTED_FORMS:
+            raise ValueError(f"a listed lexicon holds at most {MAX_LISTED_FORMS} forms; pass a DataFrame")
+
+    def lemmas(self, lang: str, min_chars: int) -> dict[str, str | None]:
+        """Form to lemma for one language; None where the part of speech or the length is not kept."""
+        return {
+            form: lemma.lower() if pos in KEPT_POS and len(lemma) >= min_chars else None
+            for code, form, lemma, pos in self.lexicon
+            if code == lang
+        }
+
 
 def default_resources(spark: SparkSession) -> Resources:
-    return Resources(
-        STOP_WORDS, lexicon=spark.sql(LEXICON_SQL), gazetteer=spark.sql(GAZETTEER_SQL), polarity=spark.sql(POLARITY_SQL)
-    )
+    return Resources(STOP_WORDS, LEXICON, gazetteer=spark.sql(GAZETTEER_SQL), polarity=spark.sql(POLARITY_SQL))
 
 
 def shipped_stop_words(languages: dict[str, str]) -> dict[str, list[str]]:
