@@ -39,9 +39,15 @@ def page_vectors(scores: DataFrame, usable: DataFrame, indexed: DataFrame) -> Da
     )
 
 
-def _dense(cells: Column, width: Column) -> Column:
-    lookup = F.map_from_entries(cells)
-    return F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)))
+def dense(centres: DataFrame, indexed: DataFrame) -> DataFrame:
+    """``(query_id, cluster, cells)`` to ``(query_id, cluster, vec)``, zero-filled over the keyword's vocabulary."""
+    own = centres.select("query_id", "cluster", F.inline_outer("cells")).where(F.col("ix").isNotNull())
+    zeros = indexed.join(centres.select("query_id", "cluster"), "query_id").select(
+        "query_id", "cluster", "ix", F.lit(0.0).alias("score")
+    )
+    filled = own.unionByName(zeros).groupBy("query_id", "cluster", "ix").agg(F.sum("score").alias("score"))
+    in_order = F.array_sort(F.collect_list(F.struct("ix", "score")))
+    return filled.groupBy("query_id", "cluster").agg(F.transform(in_order, lambda c: c["score"]).alias("vec"))
 
 
 def _distance(cells: Column, sq: Column, centre: Column) -> Column:
@@ -69,55 +75,69 @@ def assign(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     )
 
 
-def new_centres(assigned: DataFrame, widths: DataFrame) -> DataFrame:
-    """Mean vector of the members: sums divided by the member count, zero entries included."""
+def new_centres(assigned: DataFrame, centres: DataFrame) -> DataFrame:
+    """Mean vector of the members: sums divided by the member count, zero entries included.
+
+    The old centres join the same aggregation as zero sums, which fills the vectors and keeps a centre that lost all its
+    members where it was. ``shift`` is the squared way a centre moved.
+    """
     itself = F.array(F.struct(F.lit(MEMBER).alias("ix"), F.lit(1.0).alias("score")))
+    added = assigned.select("query_id", "cluster", F.inline_outer(F.concat(itself, "cells"))).select(
+        "query_id", "cluster", "ix", "score", F.lit(None).cast("double").alias("old")
+    )
+    before = centres.select("query_id", "cluster", F.posexplode("vec").alias("ix", "old")).select(
+        "query_id", "cluster", "ix", F.lit(0.0).alias("score"), "old"
+    )
     sums = (
-        assigned.select("query_id", "cluster", F.inline_outer(F.concat(itself, "cells")))
+        added.unionByName(before)
         .groupBy("query_id", "cluster", "ix")
-        .agg(F.sum("score").alias("total"))
+        .agg(F.sum("score").alias("total"), F.max("old").alias("old"))
     )
     gathered = sums.groupBy("query_id", "cluster").agg(
-        F.max(F.when(F.col("ix") == MEMBER, F.col("total"))).alias("members"),
-        F.collect_list(F.when(F.col("ix") != MEMBER, F.struct("ix", "total"))).alias("_totals"),
+        F.max(F.when(F.col("ix") == MEMBER, F.col("total"))).alias("_members"),
+        F.array_sort(F.collect_list(F.when(F.col("ix") != MEMBER, F.struct("ix", "total", "old")))).alias("_cells"),
     )
-    return gathered.join(widths, "query_id").select(
+
+    def mean(cell: Column) -> Column:
+        return F.when(F.col("_members").isNull(), cell["old"]).otherwise(cell["total"] / F.col("_members"))
+
+    return gathered.select(
         "query_id",
         "cluster",
-        F.transform(_dense(F.col("_totals"), F.col("width")), lambda x: x / F.col("members")).alias("vec"),
-        F.col("members").cast("bigint").alias("members"),
+        F.transform("_cells", mean).alias("vec"),
+        F.coalesce(F.col("_members").cast("bigint"), F.lit(0).cast("bigint")).alias("members"),
+        F.aggregate(
+            "_cells", F.lit(0.0), lambda acc, c: acc + (mean(c) - c["old"]) * (mean(c) - c["old"])
+        ).alias("shift"),
     )
 
 
 def cluster_sizes(vectors: DataFrame, indexed: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """``(query_id, k, width)``: how many clusters, over how many terms. Keywords without terms drop out."""
+    """``(query_id, k)``: how many clusters. Keywords without terms drop out."""
     pages = vectors.groupBy("query_id").agg(F.count("*").alias("pages"))
-    widths = indexed.groupBy("query_id").agg(F.count("*").cast("int").alias("width"))
     k = F.least(cluster_count(F.col("pages"), params.max_clusters), F.col("pages")).cast("int")
-    return pages.join(widths, "query_id").select("query_id", k.alias("k"), "width")
+    return pages.join(indexed.select("query_id").distinct(), "query_id").select("query_id", k.alias("k"))
 
 
-def first_centres(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
+def first_centres(vectors: DataFrame, sizes: DataFrame, indexed: DataFrame) -> DataFrame:
     """Centre 0: the first page that is not a zero vector."""
     order = F.struct((-F.col("sq")).alias("a"), F.col("doc_ord").alias("b"))
-    return (
-        vectors.groupBy("query_id")
-        .agg(F.min_by("cells", order).alias("cells"))
-        .join(sizes, "query_id")
-        .select("query_id", F.lit(0).alias("cluster"), _dense(F.col("cells"), F.col("width")).alias("vec"))
-    )
+    chosen = vectors.groupBy("query_id").agg(F.min_by("cells", order).alias("cells")).join(sizes, "query_id")
+    return dense(chosen.select("query_id", F.lit(0).alias("cluster"), "cells"), indexed)
 
 
-def next_centres(vectors: DataFrame, sizes: DataFrame, centres: DataFrame, number: int) -> DataFrame:
+def next_centres(
+    vectors: DataFrame, sizes: DataFrame, indexed: DataFrame, centres: DataFrame, number: int
+) -> DataFrame:
     """One more centre per keyword that still needs it: the page farthest from all centres so far."""
-    far = assign(vectors, centres)
     order = F.struct("d2", (-F.col("doc_ord")).alias("b"))
-    return (
-        far.groupBy("query_id")
+    chosen = (
+        assign(vectors, centres)
+        .groupBy("query_id")
         .agg(F.max_by("cells", order).alias("cells"))
         .join(sizes.where(F.col("k") > number), "query_id")
-        .select("query_id", F.lit(number).alias("cluster"), _dense(F.col("cells"), F.col("width")).alias("vec"))
     )
+    return dense(chosen.select("query_id", F.lit(number).alias("cluster"), "cells"), indexed)
 
 
 def fit(
@@ -125,33 +145,21 @@ def fit(
 ) -> tuple[DataFrame, DataFrame]:
     """Deterministic k-means: farthest-first start, then rounds until no centre moves or the round limit is reached.
 
-    ``vectors`` should be a staged table, as every round reads it. Returns ``(assigned, centres)``. A centre that loses
-    all its members stays where it was.
+    ``vectors`` should be a staged table, as every round reads it. Returns ``(assigned, centres)``.
     """
     sizes = staging.keep(cluster_sizes(vectors, indexed, params), "cluster_sizes")
-    centres = staging.keep(first_centres(vectors, sizes), "centres_start_0")
+    centres = staging.keep(first_centres(vectors, sizes, indexed), "centres_start_0")
     for number in range(1, params.max_clusters):
-        grown = centres.unionByName(next_centres(vectors, sizes, centres, number))
+        grown = centres.unionByName(next_centres(vectors, sizes, indexed, centres, number))
         centres = staging.keep(grown, f"centres_start_{number}")
     for turn in range(params.cluster_rounds):
-        moved = new_centres(assign(vectors, centres), sizes.select("query_id", "width"))
-        merged = (
-            centres.select("query_id", "cluster", F.col("vec").alias("_old"))
-            .join(moved, ["query_id", "cluster"], "left")
-            .select("query_id", "cluster", F.coalesce("vec", "_old").alias("vec"), _shift().alias("shift"))
-        )
-        kept = staging.keep(merged, f"centres_{turn}")
+        kept = staging.keep(new_centres(assign(vectors, centres), centres), f"centres_{turn}")
         centres = kept.select("query_id", "cluster", "vec")
         if kept.where(F.col("shift") > 1e-9).isEmpty():
             break
     return assign(vectors, centres), centres
 
 
-def _shift() -> Column:
-    parts = F.zip_with(F.coalesce("vec", "_old"), F.col("_old"), lambda a, b: (a - b) * (a - b))
-    return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def cluster_terms(centres: DataFrame, indexed: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Heaviest terms of each centre; zero weights may appear when the vocabulary is short."""
     weights = centres.select("query_id", "cluster", F.posexplode("vec").alias("ix", "weight"))

@@ -159,11 +159,10 @@ def first_step(spark, sf):
     from pyspark.sql import Window
 
     found, indexed, staging = vectors(spark, sf)
-    widths = staging.keep(cl.cluster_sizes(found, indexed), "widths").select("query_id", "width")
     first = Window.partitionBy("query_id").orderBy("doc_ord")
     seeds = found.withColumn("cluster", F.row_number().over(first) - 1).where(F.col("cluster") < DEFAULT.max_clusters)
-    centres = seeds.join(widths, "query_id").select("query_id", "cluster", cl._dense(F.col("cells"), F.col("width")).alias("vec"))
-    return cl.assign(found, staging.keep(centres, "seeds")), widths, indexed
+    centres = staging.keep(cl.dense(seeds.select("query_id", "cluster", "cells"), indexed), "seeds")
+    return cl.assign(found, centres), centres, indexed
 
 
 @query("m3_cluster_step", step_sql("SELECT query_id, doc_ord, CAST(cluster AS INTEGER) AS cluster, round(d2, 6) AS d2 FROM nearest"))
@@ -184,8 +183,8 @@ CENTROIDS = """
 
 
 def centroids(spark, sf):
-    assigned, widths, indexed = first_step(spark, sf)
-    return cl.new_centres(assigned, widths), indexed
+    assigned, centres, indexed = first_step(spark, sf)
+    return cl.new_centres(assigned, centres).where(F.col("members") > 0), indexed
 
 
 @query("a17_centroids", step_sql(CENTROIDS))

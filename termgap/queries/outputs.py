@@ -9,6 +9,7 @@ from termgap.queries import inputs, mining, terms
 from termgap.queries import tables as t
 from termgap.queries.registry import query
 from termgap.queries.sql import lit, with_
+from termgap.session import Staging
 from termgap.sinks.writers import context_text
 from termgap.sources.references import attach_references
 
@@ -103,8 +104,6 @@ def k7(spark, sf):
 @query("k8_cleared")
 def k8(spark, sf):
     """Clear a stored copy of the cache and read it back."""
-    from termgap.session import Staging
-
     staging = Staging(spark)
     staging.keep(t.cache(spark, sf), "cache")
     reuse.clear(spark, f"{staging.root}/cache")
@@ -141,7 +140,8 @@ def keyword_questions(spark, sf):
 
 
 def context_parts(spark, sf):
-    top = terms.top(spark, sf)
+    """Top terms feed several outputs, so they are staged; the folder outlives the call, as the caller runs the query."""
+    top = Staging(spark).keep(terms.top(spark, sf), "top_terms")
     own = attach_references(t.requests(spark, sf), t.references(spark, sf))
     gaps = terms.gap.missing_terms(top, terms.ref_tokens(spark, sf))
     found = mining.entities.overall_entities(mining.per_page(spark, sf))
@@ -222,10 +222,11 @@ def c15_questions(spark, sf):
 
 
 def report_parts(spark, sf):
-    found = terms.pages(spark, sf, carry=("url",))
-    page_top = tfidf.page_top_terms(tfidf.tfidf(found, tfidf.vocabulary(found)))
-    top = tfidf.top_terms(tfidf.term_means(page_top))
-    tone = mining.tone(spark, sf)
+    staging = Staging(spark)
+    found = staging.keep(terms.pages(spark, sf, carry=("url",)), "page_terms")
+    page_top = staging.keep(tfidf.page_top_terms(tfidf.tfidf(found, tfidf.vocabulary(found))), "page_top")
+    top = staging.keep(tfidf.top_terms(tfidf.term_means(page_top)), "top_terms")
+    tone = staging.keep(mining.tone(spark, sf), "tone")
     return {
         "cloud": tfidf.cloud_weights(top),
         "top_terms": top,
