@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from termgap.functions.naming import cluster_count
 from termgap.params import DEFAULT, Params
-from termgap.session import Staging
+from termgap.session import Staging, lookup_side
 
 MEMBER = -1  # index under which a page counts itself when sums are gathered
 
@@ -27,7 +27,7 @@ def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
 def page_vectors(scores: DataFrame, usable: DataFrame, indexed: DataFrame) -> DataFrame:
     """``(query_id, doc_ord, cells, sq)`` for every usable page; a page without kept terms is a zero vector."""
     cells = (
-        scores.join(indexed, ["query_id", "term"])
+        scores.join(lookup_side(indexed), ["query_id", "term"])
         .groupBy("query_id", "doc_ord")
         .agg(F.array_sort(F.collect_list(F.struct("ix", "score"))).alias("cells"))
     )
@@ -69,7 +69,7 @@ def assign(vectors: DataFrame, centres: DataFrame) -> DataFrame:
         F.transform("centres", lambda c: F.struct(_distance(F.col("cells"), F.col("sq"), c).alias("d2"), c["cluster"].alias("cluster")))
     )
     return (
-        vectors.join(centre_rows(centres), "query_id")
+        vectors.join(lookup_side(centre_rows(centres)), "query_id")
         .withColumn("_near", nearest)
         .select("query_id", "doc_ord", "cells", "sq", "_near.cluster", "_near.d2")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termgap.functions.text import SPACES, cased_words
 from termgap.params import DEFAULT, Params
+from termgap.session import lookup_side
 from termgap.sources.requests import resource_language
 from termgap.sources.resources import ENTITY_LABELS
 
@@ -62,7 +63,7 @@ def entity_matches(docs: DataFrame, gazetteer: DataFrame, params: Params = DEFAU
         " ", "first_word", F.when(F.col("words") >= 2, F.col("w2")), F.when(F.col("words") >= 3, F.col("w3"))
     )
     hits = (
-        spans.join(entry, ["lang", "first_word"])
+        spans.join(lookup_side(entry), ["lang", "first_word"])
         .where(F.col("surface") == span)
         .groupBy("query_id", "doc_ord", "pos")
         .agg(F.max(F.struct("words", "surface", "label")).alias("_m"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termgap.functions.text import words
 from termgap.params import DEFAULT, Params
+from termgap.session import lookup_side
 from termgap.sources.requests import resource_language
 
 
@@ -25,7 +26,7 @@ def page_sentiment(docs: DataFrame, polarity: DataFrame, params: Params = DEFAUL
         words(F.col("text")).alias("_words"),
     )
     rows = found.select("query_id", "doc_ord", "url", "lang", "counted", F.explode_outer("_words").alias("word"))
-    scored = rows.join(polarity.select("lang", "word", "polarity"), ["lang", "word"], "left")
+    scored = rows.join(lookup_side(polarity.select("lang", "word", "polarity")), ["lang", "word"], "left")
     return (
         scored.groupBy("query_id", "doc_ord", "url", "counted")
         .agg(F.avg("polarity").alias("_mean"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from termgap.functions.text import with_term_counts
 from termgap.params import DEFAULT, Params
+from termgap.session import lookup_side
 
 PAGE_MARK = ""
 
@@ -77,10 +78,13 @@ def vocabulary(pages: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def tfidf(pages: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(query_id, doc_ord, term, tf, score)``: weights scaled to unit length over the kept terms of the page."""
+    """``(query_id, doc_ord, term, tf, score)``: weights scaled to unit length over the kept terms of the page.
+
+    Stage ``vocab`` first if you can: a written table has an exact size, so it is broadcast whenever it is small.
+    """
     weighted = (
         term_counts(pages)
-        .join(vocab.select("query_id", "term", "idf"), ["query_id", "term"])
+        .join(lookup_side(vocab.select("query_id", "term", "idf")), ["query_id", "term"])
         .withColumn("_weight", F.col("tf") * F.col("idf"))
     )
     page = Window.partitionBy("query_id", "doc_ord")

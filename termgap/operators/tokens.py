@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termgap.functions.text import by_language, keep_lemmas, keep_words, words
 from termgap.params import DEFAULT, Params
+from termgap.session import lookup_side
 from termgap.sources.requests import resource_language
 from termgap.sources.resources import KEPT_POS, Resources
 
@@ -50,7 +51,7 @@ def lemmas(placed: DataFrame, lexicon: DataFrame) -> DataFrame:
     entries = lexicon.select("lang", F.col("form").alias("word"), F.col("lemma").alias("_lemma"), F.col("pos").alias("_pos"))
     kept = F.coalesce("_pos", F.lit("NOUN")).isin(*KEPT_POS)
     return (
-        placed.join(entries, ["lang", "word"], "left")
+        placed.join(lookup_side(entries), ["lang", "word"], "left")
         .withColumn("lemma", F.when(kept, F.lower(F.coalesce("_lemma", "word"))))
         .drop("_lemma", "_pos")
     )
@@ -66,4 +67,4 @@ def word_rows(docs: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def without_stop_words(rows: DataFrame, stop_words: DataFrame) -> DataFrame:
     """The join form of stop-word removal, for lists kept in a table."""
-    return rows.join(stop_words.select("lang", "word"), ["lang", "word"], "left_anti")
+    return rows.join(lookup_side(stop_words.select("lang", "word")), ["lang", "word"], "left_anti")

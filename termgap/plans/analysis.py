@@ -18,10 +18,16 @@ from termgap.sources.search import organic_results, parse_payloads, related_ques
 FLAGS = ("ner", "cluster", "sentiment")
 
 
-def term_gap(docs: DataFrame, references: DataFrame, resources: Resources, params: Params = DEFAULT) -> DataFrame:
-    """Top terms per keyword and whether the own text lacks them, as one lazy plan."""
+def term_gap(
+    docs: DataFrame, references: DataFrame, resources: Resources, staging: Staging, params: Params = DEFAULT
+) -> DataFrame:
+    """Top terms per keyword and whether the own text lacks them.
+
+    Only the vocabulary is staged: it is small and its exact size decides how it is joined. The texts are tokenised for
+    it and once more for the weights, which moves less data than writing all term counts.
+    """
     pages = tfidf.page_terms(page_tokens(spread(docs, "query_id", "doc_ord"), resources, params), params)
-    scores = tfidf.tfidf(pages, tfidf.vocabulary(pages, params))
+    scores = tfidf.tfidf(pages, staging.keep(tfidf.vocabulary(pages, params), "vocabulary"))
     top = tfidf.top_terms(tfidf.term_means(tfidf.page_top_terms(scores, params)), params)
     own = gap.reference_tokens(references, resources, params)
     missing = gap.is_missing(F.col("term"), F.col("ref_norm"), F.col("ref_tokens"))

@@ -11,6 +11,7 @@ from termgap.plans.analysis import term_gap
 from termgap.queries import tables as t
 from termgap.queries.registry import query
 from termgap.queries.sql import with_
+from termgap.session import Staging, lookup_side
 from termgap.sources.resources import POLARITY, default_resources
 
 
@@ -27,8 +28,9 @@ def vocab(spark, sf):
 
 
 def scores(spark, sf):
+    """The vocabulary is staged; the folder outlives the call, as the caller runs the query."""
     found = pages(spark, sf)
-    return tfidf.tfidf(found, tfidf.vocabulary(found))
+    return tfidf.tfidf(found, Staging(spark).keep(tfidf.vocabulary(found), "vocabulary"))
 
 
 def page_top(spark, sf):
@@ -113,8 +115,8 @@ def a4(spark, sf):
     SELECT c.query_id, c.doc_ord, c.term, c.tf, v.df FROM counts c JOIN vocab v ON v.query_id = c.query_id AND v.term = c.term"""))
 def j3(spark, sf):
     found = pages(spark, sf)
-    kept = tfidf.vocabulary(found).select("query_id", "term", "df")
-    return tfidf.term_counts(found).join(kept, ["query_id", "term"])
+    kept = Staging(spark).keep(tfidf.vocabulary(found), "vocabulary").select("query_id", "term", "df")
+    return tfidf.term_counts(found).join(lookup_side(kept), ["query_id", "term"])
 
 
 @query("a5_unit_length", with_("""
@@ -182,7 +184,7 @@ def m7(spark, sf):
     SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.term, round(t.score, 6) AS score, t.pages, m.term IS NOT NULL AS is_missing
     FROM top t LEFT JOIN missing m ON m.query_id = t.query_id AND m.term = t.term"""))
 def m2(spark, sf):
-    found = term_gap(t.docs(spark, sf), t.references(spark, sf), default_resources(spark))
+    found = term_gap(t.docs(spark, sf), t.references(spark, sf), default_resources(spark), Staging(spark))
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -201,7 +203,7 @@ def t9(spark, sf):
     JOIN page_sizes p ON p.query_id = s.query_id AND p.doc_ord = s.doc_ord"""))
 def w1(spark, sf):
     found = pages(spark, sf, carry=("url",))
-    weights = tfidf.tfidf(found, tfidf.vocabulary(found))
+    weights = tfidf.tfidf(found, Staging(spark).keep(tfidf.vocabulary(found), "vocabulary"))
     return weights.join(found.select("query_id", "doc_ord", "url"), ["query_id", "doc_ord"]).select(
         "query_id", "url", "term", six("score")
     )
@@ -217,7 +219,8 @@ WIDE = f"""SELECT p.query_id, p.doc_ord, p.page, {WIDE_SUMS} FROM (SELECT query_
 def wide(spark, sf):
     found = pages(spark, sf, carry=("url",))
     usable = found.where(F.col("n_tokens") >= 2)
-    table = report.wide_scores(tfidf.tfidf(found, tfidf.vocabulary(found)), usable, WIDE_TERMS)
+    kept = Staging(spark).keep(tfidf.vocabulary(found), "vocabulary")
+    table = report.wide_scores(tfidf.tfidf(found, kept), usable, WIDE_TERMS)
     return table.select("query_id", "doc_ord", F.col("url").alias("page"), *[six(w) for w in WIDE_TERMS])
 
 

@@ -6,6 +6,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate: exact for a written table, an upper guess for a plan over one."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _conf_bytes(spark: SparkSession, name: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -16,15 +26,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     slots = 2 * spark.sparkContext.defaultParallelism
-    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) >= slots * split_bytes:
+    if estimated_bytes(df) >= slots * _conf_bytes(spark, "spark.sql.files.maxPartitionBytes"):
         return df
     return df.repartition(slots, *keys)
 
 
+def lookup_side(df: DataFrame) -> DataFrame:
+    """Mark the lookup side of a join against exploded rows.
+
+    Exploded rows are far larger than the planner thinks, so left alone it may broadcast the wrong side. The lookup is
+    broadcast while its own estimate is under the broadcast threshold. Beyond it both sides are shuffled and the lookup
+    is hashed per partition; AQE splits skewed partitions of the other side.
+    """
+    limit = _conf_bytes(df.sparkSession, "spark.sql.autoBroadcastJoinThreshold")
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df.hint("shuffle_hash")
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", "")
