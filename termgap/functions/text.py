@@ -53,25 +53,31 @@ def cased_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def keep_words(found: Column, stop_words: list[str], min_chars: int) -> Column:
-    """Drop short words and stop words. A list of more than ten literals is a hashed set in Catalyst."""
-    return F.filter(found, lambda w: (F.length(w) >= min_chars) & ~w.isin(stop_words))
+def _quoted(listed: list[str]) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in listed)
 
 
-def keep_lemmas(found: Column, stop_words: list[str], lemmas: dict[str, str | None], min_chars: int) -> Column:
+def keep_words(column: str, stop_words: list[str], min_chars: int) -> Column:
+    """Drop short words and stop words from an array column. A list of more than ten literals is a hashed set in Catalyst."""
+    listed = f" AND w NOT IN ({_quoted(stop_words)})" if stop_words else ""
+    return F.expr(f"filter({column}, w -> length(w) >= {min_chars}{listed})")
+
+
+def keep_lemmas(column: str, stop_words: list[str], lemmas: dict[str, str | None], min_chars: int) -> Column:
     """Drop stop words, forms without a kept lemma and short unknown words; replace the listed forms.
 
     ``lemmas`` maps a form to its lemma, or to None where it is dropped. The hashed set sends only listed forms to the
     map, whose lookup is linear: meant for short lists, longer lexicons are joined.
     """
     dropped = sorted(set(stop_words) | {form for form, lemma in lemmas.items() if lemma is None})
-    listed = {form: lemma for form, lemma in lemmas.items() if lemma is not None}
+    listed = {form: lemma for form, lemma in lemmas.items() if lemma is not None and form not in dropped}
     if not listed:
-        return keep_words(found, dropped, min_chars)
-    forms = sorted(listed)
-    kept = F.filter(found, lambda w: ~w.isin(dropped) & ((F.length(w) >= min_chars) | w.isin(forms)))
-    lookup = F.map_from_arrays(F.lit(forms), F.lit([listed[form] for form in forms]))
-    return F.transform(kept, lambda w: F.when(w.isin(forms), F.element_at(lookup, w)).otherwise(w))
+        return keep_words(column, dropped, min_chars)
+    forms = _quoted(sorted(listed))
+    unwanted = f"w NOT IN ({_quoted(dropped)}) AND " if dropped else ""
+    kept = f"filter({column}, w -> {unwanted}(length(w) >= {min_chars} OR w IN ({forms})))"
+    lookup = f"map_from_arrays(array({forms}), array({_quoted([listed[form] for form in sorted(listed)])}))"
+    return F.expr(f"transform({kept}, w -> CASE WHEN w IN ({forms}) THEN element_at({lookup}, w) ELSE w END)")
 
 
 def by_language(language: Column, per_language: dict[str, Column], other: Column) -> Column:

@@ -24,16 +24,16 @@ def page_tokens(docs: DataFrame, resources: Resources, params: Params = DEFAULT,
     if isinstance(resources.lexicon, DataFrame):
         return _joined_tokens(found, keys, resources, params)
     spoken = {
-        code: keep_lemmas(F.col("_words"), listed, resources.lemmas(code, params.min_token_chars), params.min_token_chars)
+        code: keep_lemmas("_words", listed, resources.lemmas(code, params.min_token_chars), params.min_token_chars)
         for code, listed in resources.stop_words.items()
     }
-    plain = keep_words(F.col("_words"), [], params.min_token_chars)
+    plain = keep_words("_words", [], params.min_token_chars)
     kept = by_language(F.col("lang"), spoken, plain)
     return found.withColumn("tokens", kept).select(*keys, "tokens", F.size("tokens").alias("n_tokens"))
 
 
 def _joined_tokens(found: DataFrame, keys: tuple[str, ...], resources: Resources, params: Params) -> DataFrame:
-    spoken = {code: keep_words(F.col("_words"), listed, 1) for code, listed in resources.stop_words.items()}
+    spoken = {code: keep_words("_words", listed, 1) for code, listed in resources.stop_words.items()}
     unstopped = found.select(*keys, "lang", by_language(F.col("lang"), spoken, F.col("_words")).alias("_w"))
     placed = unstopped.select(*keys, "lang", F.posexplode_outer("_w").alias("pos", "word"))
     lemma = lemmas(placed, resources.lexicon)
