@@ -104,7 +104,7 @@ def run(
     organic = organic_results(searches, requests, params)
     questions = related_questions(searches)
     flags = requests.select("query_id", F.col("language").alias("lang"), *FLAGS)
-    attached = staging.keep(attach_pages(organic.join(flags, "query_id"), classify(crawl, params)), "attached")
+    attached = staging.keep(attach_pages(organic.join(flags, "query_id"), classify(spread(crawl, "url"), params)), "attached")
     failed = failed_pages(attached)
     docs = valid_pages(attached).select(
         "query_id", F.col("rank").cast("bigint").alias("doc_ord"), "url", "lang", "text", *FLAGS
