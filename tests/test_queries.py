@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from termgap.queries import QUERIES
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -29,4 +30,4 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {n for n in entry.queries() if n not in entry.oracle_sql()} == {"m3_cluster_fit", "k8_cleared", "a16_summary"}
+    assert {n for n in QUERIES if n not in entry.oracle_sql()} == {"m3_cluster_fit", "k8_cleared", "a16_summary"}
