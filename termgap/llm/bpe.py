@@ -1,15 +1,15 @@
 """Byte-level BPE ids of whole texts through the tokenizers library, with each distinct piece encoded once per worker.
 
 A byte-level BPE never merges across the pieces that its split pattern makes, so the ids of a text are the ids of its
-pieces one after the other. A space between two non-blank characters always begins a piece; hence a text without doubled
-blanks can be cut at its spaces, and both these units and the pieces inside them be looked up. Texts with characters for
-which Python's classes could differ from the pattern's, or with a special token's string, go to the library whole.
+pieces one after the other. Texts with characters for which Python's classes could differ from the pattern's, or with a
+special token's string, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 from itertools import filterfalse
 
@@ -19,10 +19,18 @@ import numpy as np
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters whose class is the same for Python and for the pattern: letters, ASCII digits, punctuation, plain blanks.
 SAFE = re.compile(r"[\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧]*")
-DOUBLED = re.compile(r" \s|\s ")
-CHUNK = 20_000
-#: Entries that a worker keeps, pieces and units each; beyond, it starts anew.
-KEPT_PIECES, KEPT_UNITS = 600_000, 300_000
+#: Pieces that a worker keeps; beyond, it starts anew.
+KEPT_PIECES = 700_000
+
+
+def _letters() -> dict[int, str]:
+    """The library's name for each byte: itself if it is visible, else a letter from U+0100 on, in order of bytes."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _letters()
 
 
 class Encoder:
@@ -33,21 +41,6 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Encode unknown pieces, many to a call."""
-        new = list(filterfalse(self.pieces.__contains__, pieces))
-        for at in range(0, len(new), CHUNK):
-            part = new[at : at + CHUNK]
-            got = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            words = np.array(got.word_ids, dtype=np.int64)
-            ends = np.searchsorted(words, np.arange(len(part)), side="right") * 4
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(part, ends.tolist()):
-                self.pieces[piece] = raw[start:end]
-                start = end
 
     def _plain(self, text: str) -> bool:
         return SAFE.fullmatch(text) is not None and not any(s in text for s in self.special)
@@ -56,38 +49,24 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.pieces) > KEPT_PIECES:
             self.pieces.clear()
-        if len(self.units) > KEPT_UNITS:
-            self.units.clear()
-        cut: list[tuple[str, list[str]]] = []
-        unknown: set[str] = set()
-        needed: set[str] = set()
+        cut: list[list[str] | None] = []
+        new: set[str] = set()
+        known = self.pieces.__contains__
         for text in texts:
-            if not self._plain(text):
-                cut.append(("whole", []))
-            elif DOUBLED.search(text):
-                found = PIECE.findall(text)
-                needed.update(found)
-                cut.append(("pieces", found))
-            else:
-                units = text.split(" ")
-                units[0] = "\0" + units[0]  # the first has no space before it; \0 is not in SAFE
-                unknown.update(filterfalse(self.units.__contains__, units))
-                cut.append(("units", units))
-        parts = {u: PIECE.findall(u[1:] if u[0:1] == "\0" else " " + u) for u in unknown}
-        for found in parts.values():
-            needed.update(found)
-        self._learn(needed)
-        piece = self.pieces.__getitem__
-        for u, found in parts.items():
-            self.units[u] = b"".join(map(piece, found))
-        unit = self.units.__getitem__
-        out = []
-        for text, (kind, found) in zip(texts, cut):
-            if kind == "whole":
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            else:
-                out.append(b"".join(map(piece if kind == "pieces" else unit, found)))
-        return out
+            found = PIECE.findall(text) if self._plain(text) else None
+            if found:
+                new.update(filterfalse(known, found))
+            cut.append(found)
+        tokenize = self.library.model.tokenize
+        for piece in new:
+            ids = [t.id for t in tokenize(piece.encode().decode("latin-1").translate(LETTERS))]
+            self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        ids_of = self.pieces.__getitem__
+        return [
+            b"".join(map(ids_of, found)) if found is not None
+            else np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for text, found in zip(texts, cut)
+        ]
 
 
 @lru_cache(maxsize=2)
