@@ -20,7 +20,7 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 #: Characters whose class is the same for Python and for the pattern: letters, ASCII digits, punctuation, plain blanks.
 SAFE = re.compile(r"[\t\n\r -~¡-±´-¸º»¿-ɏ‐-‧]*")
 #: Pieces that a worker keeps; beyond, it starts anew.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 1_200_000
 
 
 def _letters() -> dict[int, str]:
