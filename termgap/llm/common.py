@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,8 +55,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    return staging(df.sparkSession).keep(df, f"{name}-{uuid.uuid4().hex}")
+    """Write a table to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The driver's garbage is collected then, since Spark removes the shuffle files of finished plans only with it.
+    """
+    kept = staging(df.sparkSession).keep(df, f"{name}-{uuid.uuid4().hex}")
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return kept
 
 
 def exists(spark: SparkSession, path: str) -> bool:

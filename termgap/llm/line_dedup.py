@@ -13,6 +13,8 @@ NUM, DEN = 4, 5
 CELLS = 1 << 16
 #: Earlier lines of a token's group that the window looks at: the first of all and so many before the line.
 BEFORE = 3
+#: Lines whose prefix rows, about ten of 60 bytes each, may be sent to every task.
+SENT_LINES = 50_000
 
 
 def _blank(line: Column) -> Column:
@@ -54,10 +56,15 @@ def first_lines(sets: DataFrame) -> DataFrame:
     """
     n = F.size("tokens")
     prefix = F.transform(F.slice("tokens", 1, n - F.ceil(n * NUM / DEN).cast("int") + 1), lambda t: F.hash(t))
-    bitmap = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def bitmap(half: int) -> Column:
+        mine = F.filter("tokens", lambda t: t.bitwiseAND(F.lit(64)) == 64 * half)
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(bit(t))).alias(f"bits{half}")
+
     rows = sets.select(
         F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), n.alias("n"),
-        F.struct("doc_id", "line_no", prefix.alias("prefix"), bitmap.alias("bitmap")).alias("line"),
+        F.struct("doc_id", "line_no", prefix.alias("prefix"), bitmap(0), bitmap(1)).alias("line"),
     )
     return rows.groupBy("k1", "k2", "n").agg(F.min("line").alias("line")).select("line.*", "n")
 
@@ -67,30 +74,47 @@ def _may_match(a: Column, b: Column) -> Column:
     both = a["n"] + b["n"]
     length = F.least(a["n"], b["n"]) * DEN >= F.greatest(a["n"], b["n"]) * NUM
     overlap = 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"])
-    differ = F.bit_count(a["bitmap"].bitwiseXOR(b["bitmap"]))
+    differ = F.bit_count(a["bits0"].bitwiseXOR(b["bits0"])) + F.bit_count(a["bits1"].bitwiseXOR(b["bits1"]))
     return length & (overlap * (NUM + DEN) >= both * NUM) & (differ * (NUM + DEN) <= both * (DEN - NUM))
 
 
+ENTRY = ("doc_id", "line_no", "n", "pos", "bits0", "bits1")
+
+
 def _filed(first: DataFrame) -> DataFrame:
-    """Prefix rows with their place in the token's group, the candidates seen by the window, and the group's size."""
-    rows = first.select("doc_id", "line_no", "n", "bitmap", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
-    entry = F.struct("doc_id", "line_no", "n", "pos", "bitmap")
-    group = Window.partitionBy("token").orderBy("doc_id", "line_no")
-    seen = [F.first(entry).over(group), *[F.lag(entry, i).over(group) for i in range(1, BEFORE + 1)]]
-    rows = rows.select("*", F.row_number().over(group).alias("nth"), F.array(*seen).alias("seen"), F.count("*").over(Window.partitionBy("token")).alias("members"))
-    own = F.struct("n", "pos", "bitmap")
-    earlier = F.filter("seen", lambda c: c.isNotNull() & ((c["doc_id"] < F.col("doc_id")) | ((c["doc_id"] == F.col("doc_id")) & (c["line_no"] < F.col("line_no")))) & _may_match(own, c))
-    rows = rows.withColumn("candidates", F.transform(earlier, lambda c: F.struct(c["doc_id"].alias("doc_id"), c["line_no"].alias("line_no"))))
-    return rows.filter((F.size("candidates") > 0) | (F.col("members") > BEFORE + 1)).drop("seen")
-
-
-def _all_earlier(probes: DataFrame, filed: DataFrame) -> DataFrame:
-    """Every earlier line of the groups of `probes` that passes the filters, as pairs."""
-    a = filed.join(probes.select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi").select("token", F.struct("doc_id", "line_no", "n", "pos", "bitmap").alias("a"))
-    b = filed.select("token", F.struct("doc_id", "line_no", "n", "pos", "bitmap").alias("b"))
-    earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")))
-    pairs = a.join(b, "token").filter(earlier & _may_match(F.col("a"), F.col("b")))
-    return pairs.select(F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no"), F.struct("b.doc_id", "b.line_no").alias("c"))
+    """A row (token, entry) for every prefix token of every line."""
+    rows = first.select("doc_id", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
+    return rows.withColumn("pos", F.col("pos") + 1).select("token", F.struct(*ENTRY).alias("e"))
+
+
+def _before(a: Column, b: Column) -> Column:
+    return (b["doc_id"] < a["doc_id"]) | ((b["doc_id"] == a["doc_id"]) & (b["line_no"] < a["line_no"]))
+
+
+def _candidates(filed: DataFrame) -> DataFrame:
+    """An earlier line (c) that passes the filters for every line that has one in a group of its tokens: the earliest found.
+
+    The window compares a line with the group's first and the lines before it. A line that finds none there is joined
+    with its whole group, so that a group of near copies, in which nearly every line finds one, makes no pairs.
+    """
+    group = Window.partitionBy("token").orderBy("e.doc_id", "e.line_no")
+    seen = F.array(F.first("e").over(group), *[F.lag("e", i).over(group) for i in range(1, BEFORE + 1)])
+    a = filed.select("token", "e", F.row_number().over(group).alias("nth"), seen.alias("seen"))
+    near = F.filter("seen", lambda c: c.isNotNull() & _before(F.col("e"), c) & _may_match(F.col("e"), c))
+    a = a.select("token", "e", (F.col("nth") > BEFORE + 1).alias("more"), F.array_min(F.transform(near, lambda c: F.struct(c["doc_id"].alias("doc_id"), c["line_no"].alias("line_no")))).alias("near"))
+    b = filed.select(F.col("token").alias("t"), F.col("e").alias("o"))
+    all_earlier = (F.col("token") == F.col("t")) & F.col("more") & F.col("near").isNull() & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o"))
+    found = a.join(b, all_earlier, "left").withColumn("c", F.coalesce("near", F.when(F.col("t").isNotNull(), F.struct("o.doc_id", "o.line_no"))))
+    return found.filter("c IS NOT NULL").groupBy("e.doc_id", "e.line_no").agg(F.min("c").alias("c"))
+
+
+def _all_candidates(probes: DataFrame, first: DataFrame) -> DataFrame:
+    """Every earlier line that passes the filters for the lines of `probes`, as pairs; few probes are sent to all tasks."""
+    a = _filed(first.join(probes, ["doc_id", "line_no"], "left_semi"))
+    a = F.broadcast(a) if probes.count() <= SENT_LINES else a
+    b = _filed(first).select(F.col("token").alias("t"), F.col("e").alias("o"))
+    pairs = b.join(a, (F.col("token") == F.col("t")) & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o")))
+    return pairs.select("e.doc_id", "e.line_no", F.struct("o.doc_id", "o.line_no").alias("c")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, levels: bytes) -> DataFrame:
@@ -112,29 +136,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """doc_id and `kept`, the sorted numbers of lines that have tokens and no earlier line alike.
 
     A line needs one earlier match, not all of them. Equal sets are reduced to their first line by partial aggregation.
-    The rest meet in the groups of their prefix tokens: a window offers each line the group's first line and the three
-    before it, which is all of a small group, and in groups of near copies settles almost every line. Lines of larger
-    groups without a candidate so far, or whose earliest candidate fails, are joined with all earlier ones of their groups.
+    The rest meet in the groups of their prefix tokens, and the earliest candidate found for each line is verified on the
+    whole token sets. Lines whose candidate fails are compared with all their others.
     """
     levels = rarity(docs)
     first = keep(first_lines(line_sets(docs, levels)), "first-lines")
-    filed = keep(_filed(first), "filed")
     line = ["doc_id", "line_no"]
-    seen = filed.select(*line, F.explode("candidates").alias("c")).groupBy(*line).agg(F.min("c").alias("c"))
-    seen = keep(seen, "seen")
-    beyond = filed.filter(F.col("nth") > BEFORE + 1).select(*line).distinct()
-    missed = beyond.join(seen, line, "left_anti")
-    more = _all_earlier(missed, filed).groupBy(*line).agg(F.min("c").alias("c"))
-    tried = keep(seen.union(more), "tried")
+    tried = keep(_candidates(_filed(first)), "tried")
     gone = keep(_verified(tried, docs, levels), "alike")
-    # lines whose earliest candidate failed: all their other candidates
     failed = keep(tried.join(gone, line, "left_anti"), "failed")
-    others = keep(
-        filed.select(*line, F.explode("candidates").alias("c")).join(failed.select(*line), line, "left_semi")
-        .union(_all_earlier(failed, filed)).distinct().join(failed, [*line, "c"], "left_anti"),
-        "others",
-    )
-    if others.limit(1).count():
+    if failed.limit(1).count():
+        others = keep(_all_candidates(failed.select(*line), first).join(failed, [*line, "c"], "left_anti"), "others")
         gone = gone.union(_verified(others, docs, levels))
     return first.join(gone, line, "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept"))
 
