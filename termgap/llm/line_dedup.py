@@ -82,9 +82,13 @@ ENTRY = ("doc_id", "line_no", "n", "pos", "bits0", "bits1")
 
 
 def _filed(first: DataFrame) -> DataFrame:
-    """A row (token, entry) for every prefix token of every line."""
-    rows = first.select("doc_id", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
-    return rows.withColumn("pos", F.col("pos") + 1).select("token", F.struct(*ENTRY).alias("e"))
+    """A row (token, doc_id, line_no, entry e) for every prefix token of every line.
+
+    The filters drop nothing; a join would add them to one side, and the two sides would no longer share one shuffle.
+    """
+    rows = first.filter("n IS NOT NULL AND bits0 IS NOT NULL AND bits1 IS NOT NULL")
+    rows = rows.select("doc_id", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
+    return rows.filter("token IS NOT NULL").withColumn("pos", F.col("pos") + 1).select("token", "doc_id", "line_no", F.struct(*ENTRY).alias("e"))
 
 
 def _before(a: Column, b: Column) -> Column:
@@ -97,14 +101,14 @@ def _candidates(filed: DataFrame) -> DataFrame:
     The window compares a line with the group's first and the lines before it. A line that finds none there is joined
     with its whole group, so that a group of near copies, in which nearly every line finds one, makes no pairs.
     """
-    group = Window.partitionBy("token").orderBy("e.doc_id", "e.line_no")
+    group = Window.partitionBy("token").orderBy("doc_id", "line_no")
     seen = F.array(F.first("e").over(group), *[F.lag("e", i).over(group) for i in range(1, BEFORE + 1)])
     a = filed.select("token", "e", F.row_number().over(group).alias("nth"), seen.alias("seen"))
     near = F.filter("seen", lambda c: c.isNotNull() & _before(F.col("e"), c) & _may_match(F.col("e"), c))
     a = a.select("token", "e", (F.col("nth") > BEFORE + 1).alias("more"), F.array_min(F.transform(near, lambda c: F.struct(c["doc_id"].alias("doc_id"), c["line_no"].alias("line_no")))).alias("near"))
-    b = filed.select(F.col("token").alias("t"), F.col("e").alias("o"))
+    b = filed.select(F.col("token").alias("t"), F.col("doc_id").alias("o_doc"), F.col("line_no").alias("o_line"), F.col("e").alias("o"))
     all_earlier = (F.col("token") == F.col("t")) & F.col("more") & F.col("near").isNull() & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o"))
-    found = a.join(b, all_earlier, "left").withColumn("c", F.coalesce("near", F.when(F.col("t").isNotNull(), F.struct("o.doc_id", "o.line_no"))))
+    found = a.join(b, all_earlier, "left").withColumn("c", F.coalesce("near", F.when(F.col("t").isNotNull(), F.struct(F.col("o_doc").alias("doc_id"), F.col("o_line").alias("line_no")))))
     return found.filter("c IS NOT NULL").groupBy("e.doc_id", "e.line_no").agg(F.min("c").alias("c"))
 
 
