@@ -108,7 +108,8 @@ def _indexed(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     elif place > held:
                         one = None  # resolved: an earlier place is known
                     ref = held if one is None else (0, 0)
-                    for c, v in zip(columns, (key, place[0], place[1], 1, one, *ref)):
+                    to = key if one is not None else hash(place)  # a resolved window meets no other: any task will do
+                    for c, v in zip(columns, (to, place[0], place[1], 1, one, *ref)):
                         c.append(v)
                 arrays = []
                 for k, (c, kind) in enumerate(zip(columns, kinds)):
