@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termgap.llm.common import BLANKS, WORD, let, shown_id, texts
+from termgap.llm.common import BLANKS, WORD, keep, let, shown_id, texts
 
 MIN_WORDS = 50
 #: Documents of one host that may hold a line before it counts as boilerplate.
@@ -78,7 +78,7 @@ def shared_lines(docs: DataFrame, max_docs: int) -> DataFrame:
     rows = rows.filter(F.length(_bare(F.col("line"))) > 0).select(
         "doc_id", "row_key", _line_key(F.col("host"), F.col("line")).alias("line_key"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")
     )
-    per_doc = rows.groupBy("line_key", "doc_id", "row_key").agg(F.sum("words").alias("words"))
+    per_doc = keep(rows.groupBy("line_key", "doc_id", "row_key").agg(F.sum("words").alias("words")), "lines")
     common = per_doc.groupBy("line_key").agg(F.count_distinct("doc_id").alias("n_docs")).filter(F.col("n_docs") > max_docs)
     return per_doc.join(common, "line_key", "left_semi").groupBy("doc_id", "row_key").agg(F.sum("words").alias("n_shared_words"))
 
