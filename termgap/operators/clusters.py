@@ -145,6 +145,8 @@ def fit(
 ) -> tuple[DataFrame, DataFrame]:
     """Deterministic k-means: farthest-first start, then rounds until no centre moves or the round limit is reached.
 
+    A keyword leaves the rounds once its own centres stay, so a round reads only the keywords that still move.
+
     ``vectors`` should be a staged table, as every round reads it. Returns ``(assigned, centres)``.
     """
     sizes = staging.keep(cluster_sizes(vectors, indexed, params), "cluster_sizes")
@@ -152,11 +154,16 @@ def fit(
     for number in range(1, params.max_clusters):
         grown = centres.unionByName(next_centres(vectors, sizes, indexed, centres, number))
         centres = staging.keep(grown, f"centres_start_{number}")
+    settled = None
+    keyword = Window.partitionBy("query_id")
     for turn in range(params.cluster_rounds):
-        kept = staging.keep(new_centres(assign(vectors, centres), centres), f"centres_{turn}")
-        centres = kept.select("query_id", "cluster", "vec")
-        if kept.where(F.col("shift") > 1e-9).isEmpty():
+        moved = new_centres(assign(vectors, centres), centres).withColumn("moving", F.max("shift").over(keyword) > 1e-9)
+        kept = staging.keep(moved.select("query_id", "cluster", "vec", "moving"), f"centres_{turn}")
+        still, centres = kept.where(~F.col("moving")).drop("moving"), kept.where("moving").drop("moving")
+        settled = still if settled is None else settled.unionByName(still)
+        if centres.isEmpty():
             break
+    centres = staging.keep(centres if settled is None else settled.unionByName(centres), "centres_final")
     return assign(vectors, centres), centres
 
 

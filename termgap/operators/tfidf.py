@@ -68,12 +68,14 @@ def vocabulary(pages: DataFrame, params: Params = DEFAULT) -> DataFrame:
     by_count = Window.partitionBy("query_id").orderBy(F.desc(is_mark), F.desc("ctf"), "term")
     keyword = Window.partitionBy("query_id")
     return (
-        frequency.withColumn("vocab_rank", F.row_number().over(by_count) - 1)
-        .where(F.col("vocab_rank") <= params.max_features)
+        # the limit is on the bare row number: only then does each task keep no more rows of a keyword than that
+        frequency.withColumn("_nth", F.row_number().over(by_count))
+        .where(F.col("_nth") <= params.max_features + 1)
+        .withColumn("vocab_rank", F.col("_nth") - 1)
         .withColumn("_pages", F.max(F.when(is_mark, F.col("df"))).over(keyword))
         .where(~is_mark)
         .withColumn("idf", F.log((1 + F.col("_pages")) / (1 + F.col("df"))) + 1)
-        .drop("_pages")
+        .drop("_pages", "_nth")
     )
 
 

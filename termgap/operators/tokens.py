@@ -47,8 +47,12 @@ def _joined_tokens(found: DataFrame, keys: tuple[str, ...], resources: Resources
 
 
 def lemmas(placed: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Left lookup by (lang, form). ``lemma`` is null where the part of speech is not kept."""
-    entries = lexicon.select("lang", F.col("form").alias("word"), F.col("lemma").alias("_lemma"), F.col("pos").alias("_pos"))
+    """Left lookup by (lang, form). ``lemma`` is null where the part of speech is not kept.
+
+    A form listed more than once counts once: as a part of speech that is kept if it has one, then by lemma.
+    """
+    order = F.struct((~F.coalesce("pos", F.lit("NOUN")).isin(*KEPT_POS)).alias("_dropped"), F.col("lemma").alias("_lemma"), F.col("pos").alias("_pos"))
+    entries = lexicon.groupBy("lang", F.col("form").alias("word")).agg(F.min(order).alias("_e")).select("lang", "word", "_e._lemma", "_e._pos")
     kept = F.coalesce("_pos", F.lit("NOUN")).isin(*KEPT_POS)
     return (
         placed.join(lookup_side(entries), ["lang", "word"], "left")

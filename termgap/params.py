@@ -23,7 +23,7 @@ class Params:
     min_entity_chars: int = 3
     terms_per_cluster: int = 10
     max_clusters: int = 5
-    cluster_rounds: int = 10
+    cluster_rounds: int = 300
     min_sentiment_chars: int = 11
     cache_ttl_seconds: int = 7 * 24 * 60 * 60
     context_terms: int = 20

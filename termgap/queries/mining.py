@@ -160,7 +160,8 @@ def first_step(spark, sf):
 
     found, indexed, staging = vectors(spark, sf)
     first = Window.partitionBy("query_id").orderBy("doc_ord")
-    seeds = found.withColumn("cluster", F.row_number().over(first) - 1).where(F.col("cluster") < DEFAULT.max_clusters)
+    seeds = found.withColumn("cluster", F.row_number().over(first)).where(F.col("cluster") <= DEFAULT.max_clusters)
+    seeds = seeds.withColumn("cluster", F.col("cluster") - 1)
     centres = staging.keep(cl.dense(seeds.select("query_id", "cluster", "cells"), indexed), "seeds")
     return cl.assign(found, centres), centres, indexed
 

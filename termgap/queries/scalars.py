@@ -55,13 +55,13 @@ def f6(spark, sf):
 
 @query("f7_entity_cleanup", f"""
     SELECT doc_id, surface, length(surface) > 2 AND NOT regexp_matches(surface, '^\\p{{Nd}}+$') AS kept FROM (
-        SELECT doc_id, trim({sub('left(text, 12)', text.SPACES, lit(' '))}, ' ') AS surface FROM documents)""")
+        SELECT doc_id, trim({sub('text', text.SPACES, lit(' '))}, ' ') AS surface FROM documents)""")
 def f7(spark, sf):
     from termgap.operators.entities import clean_surface, keep_surface
 
     return (
         _docs(spark, sf)
-        .select("doc_id", clean_surface(F.left("text", F.lit(12))).alias("surface"))
+        .select("doc_id", clean_surface(F.col("text")).alias("surface"))
         .select("doc_id", "surface", keep_surface(F.col("surface")).alias("kept"))
     )
 
@@ -86,9 +86,9 @@ def f9(spark, sf):
 
 @query("f10_cluster_count", f"""
     SELECT n_chars, CAST(least({s.clusters_for('n_chars')}, n_chars) AS INTEGER) AS k FROM (
-        SELECT DISTINCT n_chars % 40 AS n_chars FROM documents)""")
+        SELECT DISTINCT n_chars FROM documents)""")
 def f10(spark, sf):
-    n = t.read(spark, sf, "documents").select((F.col("n_chars") % 40).alias("n_chars")).distinct()
+    n = t.read(spark, sf, "documents").select("n_chars").distinct()
     k = F.least(naming.cluster_count(F.col("n_chars"), DEFAULT.max_clusters), F.col("n_chars"))
     return n.select("n_chars", k.cast("int").alias("k"))
 

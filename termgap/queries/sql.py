@@ -68,7 +68,7 @@ RELATIONS = {
                CAST(n % 20 + 1 AS INTEGER) AS num_results, n % 2 = 0 AS ner, n % 3 = 0 AS cluster, n % 5 <> 0 AS sentiment
         FROM (SELECT DISTINCT source AS query_id, CAST(substr(source, 4) AS INTEGER) AS n FROM documents)""",
     "raw_requests": """
-        SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '   ' ELSE left(text, 40) END AS query,
+        SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '   ' ELSE text END AS query,
                CASE WHEN doc_id % 9 = 0 THEN 'xx' WHEN doc_id % 9 <> 1 THEN lang END AS language,
                CASE doc_id % 7 WHEN 0 THEN '0' WHEN 1 THEN '101' WHEN 2 THEN 'x' WHEN 3 THEN NULL
                     ELSE CAST(doc_id % 100 + 1 AS VARCHAR) END AS num_results_raw,
@@ -80,7 +80,7 @@ RELATIONS = {
                CASE WHEN page_id % 17 = 0 THEN 'Not Found' WHEN page_id % 19 = 0 THEN 'Service Unavailable' ELSE 'OK' END AS reason,
                CASE WHEN page_id % 23 = 0 THEN 'application/pdf' ELSE 'text/HTML; charset=utf-8' END AS content_type,
                CASE WHEN page_id % 29 = 0 THEN 'ConnectionError' WHEN page_id % 31 = 0 THEN 'InvalidURL' END AS error_class,
-               CASE WHEN page_id % 37 = 0 THEN '' WHEN page_id % 41 = 0 THEN left(html, 900) ELSE html END AS body
+               CASE WHEN page_id % 37 = 0 THEN '' WHEN page_id % 41 = 0 THEN '<html><body><p>Only a few words.</p></body></html>' ELSE html END AS body
         FROM pages""",
     "extracted": f"SELECT *, {main_text('body')} AS main_text FROM crawl",
     "classified": """

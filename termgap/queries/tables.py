@@ -65,7 +65,7 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return read(spark, sf_dir, "documents").select(
         i,
-        F.when(i % 10 == 0, "   ").otherwise(F.left("text", F.lit(40))).alias("query"),
+        F.when(i % 10 == 0, "   ").otherwise(F.col("text")).alias("query"),
         F.when(i % 9 == 0, "xx").when(i % 9 != 1, F.col("lang")).alias("language"),
         F.when(i % 7 == 0, "0").when(i % 7 == 1, "101").when(i % 7 == 2, "x")
         .when(i % 7 != 3, (i % 100 + 1).cast("string")).alias("num_results_raw"),
@@ -83,7 +83,7 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(i % 17 == 0, "Not Found").when(i % 19 == 0, "Service Unavailable").otherwise("OK").alias("reason"),
             F.when(i % 23 == 0, "application/pdf").otherwise("text/HTML; charset=utf-8").alias("content_type"),
             F.when(i % 29 == 0, "ConnectionError").when(i % 31 == 0, "InvalidURL").alias("error_class"),
-            F.when(i % 37 == 0, "").when(i % 41 == 0, F.col("html").substr(1, 900)).otherwise(F.col("html")).alias("body"),
+            F.when(i % 37 == 0, "").when(i % 41 == 0, "<html><body><p>Only a few words.</p></body></html>").otherwise(F.col("html")).alias("body"),
         ),
         "page_id",
     )

@@ -7,8 +7,8 @@ DOCS = "query_id STRING, doc_ord BIGINT, url STRING, lang STRING, text STRING"
 REFERENCES = "query_id STRING, lang STRING, ref_text STRING"
 CACHE = "cache_type STRING, cache_key STRING, payload STRING, cached_at TIMESTAMP"
 
-# Question items stay strings: typed as structs, a single scalar item would null the whole array.
+# Items stay strings: typed as structs, a single scalar item would null the whole array.
 SEARCH_PAYLOAD = (
-    "organic_results ARRAY<STRUCT<position: INT, title: STRING, link: STRING>>, "
+    "organic_results ARRAY<STRING>, "
     "related_questions ARRAY<STRING>, people_also_ask ARRAY<STRING>"
 )

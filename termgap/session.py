@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size estimate: exact for a written table, an upper guess for a plan over one."""
+    """The planner's size estimate: file bytes for a written table, a guess for a plan over one. Rows take more in memory."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -47,7 +48,7 @@ def staging_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return tempfile.mkdtemp(prefix="termgap-")
 

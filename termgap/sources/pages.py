@@ -15,12 +15,13 @@ def read_crawl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """Saved page files, one row per file, decoded as UTF-8. The path is the key."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("body"))
-    )
+    """Saved page files, one row per file. The path is the key.
+
+    Bytes that are no valid UTF-8 are read as Latin-1, which has a character for every byte, so no page fails the job.
+    """
+    utf8 = F.col("content").cast("string")
+    body = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), body.alias("body"))
 
 
 def is_html(content_type: Column) -> Column:
@@ -73,8 +74,14 @@ def classify(crawl: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def attach_pages(results: DataFrame, classified: DataFrame) -> DataFrame:
-    """Join result URLs to their page outcome; a URL nobody crawled fails as ``not_crawled``."""
-    outcome = classified.select("url", "text", "error_code", "error_detail", F.lit(True).alias("_seen"))
+    """Join result URLs to their page outcome; a URL nobody crawled fails as ``not_crawled``.
+
+    A URL crawled more than once counts once: with a text if one of its rows has one, the smallest on a tie.
+    """
+    best = F.min(F.struct(F.col("error_code").isNotNull().alias("_bad"), "error_code", "error_detail", "text"))
+    outcome = classified.groupBy("url").agg(best.alias("_o")).select(
+        "url", "_o.text", "_o.error_code", "_o.error_detail", F.lit(True).alias("_seen")
+    )
     return (
         results.join(outcome, "url", "left")
         .withColumn("error_code", F.when(F.col("_seen").isNull(), "not_crawled").otherwise(F.col("error_code")))

@@ -139,11 +139,14 @@ class Resources:
             raise ValueError(f"a listed lexicon holds at most {MAX_LISTED_FORMS} forms; pass a DataFrame")
 
     def lemmas(self, lang: str, min_chars: int) -> dict[str, str | None]:
-        """Form to lemma for one language; None where the part of speech or the length is not kept."""
+        """Form to lemma for one language; None where the part of speech or the length is not kept.
+
+        A form listed more than once counts once, as in the table form of the lookup.
+        """
+        ranked = sorted(((pos not in KEPT_POS, lemma, pos, form) for code, form, lemma, pos in self.lexicon if code == lang), reverse=True)
         return {
             form: lemma.lower() if pos in KEPT_POS and len(lemma) >= min_chars else None
-            for code, form, lemma, pos in self.lexicon
-            if code == lang
+            for _, lemma, pos, form in ranked
         }
 
 

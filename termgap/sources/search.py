@@ -24,9 +24,23 @@ def payload_error(parsed: Column) -> Column:
     )
 
 
+def _is_object(item: Column) -> Column:
+    return F.coalesce(F.get_json_object(item, "$").startswith("{"), F.lit(False))
+
+
+def _organic_item(item: Column) -> Column:
+    return F.struct(
+        F.get_json_object(item, "$.position").cast("int").alias("position"),
+        F.get_json_object(item, "$.title").alias("title"),
+        F.get_json_object(item, "$.link").alias("link"),
+    )
+
+
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """One row per search: ``organic``, ``questions``, ``error``. A failed search keeps empty lists.
 
+    Items of the organic list that are not objects are skipped; the others stay.
+
     The question list is chosen by presence, not by emptiness: an empty first list wins over a filled second one.
     """
     parsed = payloads.withColumn("_p", F.from_json("payload", SEARCH_PAYLOAD)).withColumn(
@@ -37,7 +51,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
         "query_id",
         "query",
         "language",
-        F.when(ok, F.col("_p.organic_results")).alias("organic"),
+        F.when(ok, F.transform(F.filter("_p.organic_results", _is_object), _organic_item)).alias("organic"),
         F.when(ok, F.coalesce("_p.related_questions", "_p.people_also_ask")).alias("questions"),
         "error",
     )
