@@ -15,6 +15,8 @@ CELLS = 1 << 16
 BEFORE = 3
 #: Lines whose prefix rows, about ten of 60 bytes each, may be sent to every task.
 SENT_LINES = 50_000
+#: Line numbers (and eight more for each document) that may be sent to every task: 16 MB. Beyond, texts are shuffled.
+SENT_NUMBERS = 4_000_000
 
 
 def _blank(line: Column) -> Column:
@@ -124,11 +126,13 @@ def _all_candidates(probes: DataFrame, first: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, levels: bytes) -> DataFrame:
     """The probe lines of `pairs` (doc_id, line_no, c) that have a candidate with Jaccard of the threshold at least."""
     ends = pairs.select("doc_id", "line_no").union(pairs.select("c.doc_id", "c.line_no"))
-    wanted = ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))  # at most a document's own lines
-    rows = texts(docs).join(wanted, "doc_id").dropDuplicates(["doc_id", "text"])
+    wanted = keep(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "wanted")  # at most a document's own lines
+    size = wanted.agg(F.sum(F.size("wanted") + F.lit(8))).first()[0] or 0
+    rows = texts(docs).join(F.broadcast(wanted) if size <= SENT_NUMBERS else wanted, "doc_id")
     rows = let(rows, lines=F.split("text", "\n")).select("doc_id", F.explode("wanted").alias("line_no"), "lines")
     sets = rows.select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line")).filter("line IS NOT NULL")
-    sets = keep(sets.select("doc_id", "line_no", _tokens(F.col("line"), levels).alias("tokens")), "line-sets")
+    sets = sets.select("doc_id", "line_no", _tokens(F.col("line"), levels).alias("tokens"))
+    sets = keep(sets.groupBy("doc_id", "line_no").agg(F.max("tokens").alias("tokens")), "line-sets")
     other = sets.select(F.struct("doc_id", "line_no").alias("c"), F.col("tokens").alias("other"))
     both = pairs.join(other, "c").join(sets, ["doc_id", "line_no"])
     shared = F.size(F.array_intersect("tokens", "other"))
