@@ -26,7 +26,7 @@ def tokenizer_path() -> str:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "n_factors")
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
-
-ORACLE: dict[str, str] = {}
+#: Words as in common.WORD, written on its own for DuckDB.
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+LINES = "string_split(coalesce(text, ''), chr(10))"
+
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+        k AS (SELECT doc_id, i, word, count(*) OVER f AS n, string_agg(word, ' ') OVER f AS seq FROM p
+              WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+        e AS (SELECT doc_id, i, word, n = 20 AND row_number() OVER (PARTITION BY seq, n ORDER BY doc_id, i) > 1 AS again FROM k),
+        c AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM e),
+        g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
+    "op5_quality_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        l AS (SELECT doc_id, host, line, len({WORDS.format("line")}) AS n FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d)),
+        n AS (SELECT *, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS folded FROM l WHERE n > 0),
+        common AS (SELECT host, folded FROM n GROUP BY ALL HAVING count(DISTINCT doc_id) > {quality_rules.MAX_DOCS_PER_HOST}),
+        lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+                         CAST(coalesce(sum(n.n) FILTER (c.host IS NOT NULL), 0) AS BIGINT) AS n_shared_words
+                  FROM n LEFT JOIN common c ON c.host = n.host AND c.folded = n.folded GROUP BY doc_id),
+        p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+        g AS (SELECT doc_id, i, count(*) OVER f = 3 AS whole, string_agg(word, ' ') OVER f AS seq FROM p
+              WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+        twice AS (SELECT doc_id, i, whole AND count(*) OVER (PARTITION BY doc_id, seq, whole) > 1 AS again FROM g),
+        met AS (SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS again FROM twice),
+        r AS (SELECT doc_id, count(*) FILTER (again) AS n_repeat_words FROM met GROUP BY doc_id),
+        b AS (SELECT d.doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars,
+                     len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_shared_words, 0) AS n_shared_words
+              FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id)
+        SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_shared_words,
+               NOT (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words)
+               AND n_words - n_shared_words >= {quality_rules.MIN_WORDS} AND n_words - n_shared_words >= {quality_rules.MIN_KEPT_SHARE} * n_words AS kept
+        FROM b""",
+    "op10_line_dedup": f"""
+        WITH l AS (SELECT doc_id, unnest({LINES}) AS line, unnest(range(len({LINES}))) AS i FROM documents),
+        t AS (SELECT doc_id, i, line, list_sort(list_distinct({WORDS.format("lower(line)")})) AS s FROM l),
+        o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth, row_number() OVER (ORDER BY doc_id, i) AS id FROM t),
+        f AS (SELECT id, s, len(s) AS n FROM o WHERE nth = 1 AND len(s) > 0),
+        tok AS (SELECT id, n, unnest(s) AS x FROM f),
+        rare AS (SELECT id, n, tok.x, row_number() OVER (PARTITION BY id ORDER BY df, tok.x) AS k
+                 FROM tok JOIN (SELECT x, count(*) AS df FROM tok GROUP BY x) c ON c.x = tok.x),
+        prefix AS (SELECT id, n, x FROM rare WHERE k <= n - (4 * n + 4) // 5 + 1),
+        pairs AS (SELECT DISTINCT a.id, b.id AS other FROM prefix a JOIN prefix b
+                  ON b.x = a.x AND b.id < a.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+        alike AS (SELECT DISTINCT id FROM (SELECT p.id, a.n + b.n AS n, len(list_intersect(a.s, b.s)) AS m
+                  FROM pairs p JOIN f a ON a.id = p.id JOIN f b ON b.id = p.other) WHERE 5 * m >= 4 * (n - m)),
+        v AS (SELECT doc_id, i, line, len(s) > 0 AS real, len(s) > 0 AND (nth > 1 OR id IN (SELECT id FROM alike)) AS gone FROM o)
+        SELECT doc_id, count(*) FILTER (real) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM v GROUP BY doc_id""",
+}
