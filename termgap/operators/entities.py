@@ -1,11 +1,11 @@
-"""Entity counts from a gazetteer of one- to three-word surfaces."""
+"""Entity counts from a gazetteer of surfaces of any number of words."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termgap.functions.text import SPACES, cased_words
+from termgap.functions.text import SPACES, WORD, cased_words
 from termgap.params import DEFAULT, Params
 from termgap.session import lookup_side
 from termgap.sources.requests import resource_language
@@ -28,60 +28,74 @@ def merged_label(label: Column) -> Column:
     return F.when(label.isin("GPE", "LOC"), "GPE/LOC").otherwise(label)
 
 
+def span_parts(text: Column) -> Column:
+    """The words of a text with what stands before each of them, white space as one blank: ``(before, word)`` in order."""
+    before = F.split(F.regexp_replace(text, SPACES, " "), WORD, -1)
+    return F.zip_with(before, cased_words(text), lambda b, w: F.struct(b.alias("before"), w.alias("word")))
+
+
+def _joined(parts: Column) -> Column:
+    """The text from the first word of the parts to the last one."""
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(p["before"], p["word"]))
+    return F.concat(F.get(parts, F.lit(0))["word"], F.array_join(rest, ""))
+
+
 def usable_gazetteer(gazetteer: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Gazetteer rows keyed by first word: allowed labels, cleaned surfaces of one to three words."""
+    """Gazetteer rows keyed by first word: allowed labels, cleaned surfaces of any number of words.
+
+    ``core`` is the surface from its first word to its last; punctuation at either end is not compared.
+    """
     surface = clean_surface(F.col("surface"))
     return (
         gazetteer.select("lang", surface.alias("surface"), page_label(F.col("label")).alias("label"))
         .where(F.col("label").isin(*ENTITY_LABELS) & keep_surface(F.col("surface"), params))
         .groupBy("lang", "surface")
         .agg(F.min("label").alias("label"))
-        .withColumn("words", F.size(F.split("surface", " ")))
-        .where(F.col("words") <= 3)
-        .withColumn("first_word", F.substring_index("surface", " ", 1))
+        .withColumn("_parts", F.filter(span_parts(F.col("surface")), lambda p: p["word"].isNotNull()))
+        .where(F.size("_parts") > 0)
+        .select(
+            "lang", "surface", "label", F.size("_parts").alias("words"), _joined(F.col("_parts")).alias("core"),
+            F.get("_parts", F.lit(0))["word"].alias("first_word"),
+        )
     )
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    return (a["pos"] < b["pos"] + b["words"]) & (b["pos"] < a["pos"] + a["words"])
+
+
 def entity_matches(docs: DataFrame, gazetteer: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """``(query_id, doc_ord, pos, words, surface, label)`` for every matched span.
 
-    Each word is looked up once by first word; its two followers decide the rest. A match is dropped when it overlaps a
-    longer match, or an equally long one that starts earlier. Spans are at most three words, so range frames over the
-    two positions on either side see every overlap.
+    Each word is looked up once by first word, and carries as many followers as the longest surface needs. Words and what
+    stands between them must equal the surface. Of overlapping matches the longest stays, then the earliest; one that
+    gave way displaces no other. Only runs of overlapping matches meet in one row, never a page or a keyword.
     """
-    found = docs.select(
-        "query_id", "doc_ord", resource_language(F.col("lang"), params).alias("lang"), cased_words(F.col("text")).alias("_w")
-    )
-    nxt = F.slice(F.col("_w"), F.lit(2), F.greatest(F.size("_w"), F.lit(0)))
-    nxt2 = F.slice(F.col("_w"), F.lit(3), F.greatest(F.size("_w"), F.lit(0)))
-    trigrams = F.arrays_zip(F.col("_w").alias("w1"), nxt.alias("w2"), nxt2.alias("w3"))
-    spans = found.select("query_id", "doc_ord", "lang", F.posexplode_outer(trigrams).alias("pos", "_s")).select(
-        "query_id", "doc_ord", "lang", "pos", F.col("_s.w1").alias("first_word"), F.col("_s.w2").alias("w2"), F.col("_s.w3").alias("w3")
-    )
     entry = usable_gazetteer(gazetteer, params)
-    span = F.concat_ws(
-        " ", "first_word", F.when(F.col("words") >= 2, F.col("w2")), F.when(F.col("words") >= 3, F.col("w3"))
+    longest = entry.agg(F.max("words")).first()[0] or 1
+    found = docs.select(
+        "query_id", "doc_ord", resource_language(F.col("lang"), params).alias("lang"),
+        F.filter(span_parts(F.col("text")), lambda p: p["word"].isNotNull()).alias("_p"),
     )
+    ahead = F.transform("_p", lambda p, i: F.slice(F.col("_p"), i + 1, F.lit(longest)))
+    spans = found.select("query_id", "doc_ord", "lang", F.posexplode_outer(ahead).alias("pos", "ahead"))
+    spans = spans.withColumn("first_word", F.get("ahead", F.lit(0))["word"])
     hits = (
         spans.join(lookup_side(entry), ["lang", "first_word"])
-        .where(F.col("surface") == span)
+        .where((F.size("ahead") >= F.col("words")) & (F.col("core") == _joined(F.slice("ahead", F.lit(1), F.col("words")))))
         .groupBy("query_id", "doc_ord", "pos")
         .agg(F.max(F.struct("words", "surface", "label")).alias("_m"))
         .select("query_id", "doc_ord", "pos", "_m.*")
     )
     page = Window.partitionBy("query_id", "doc_ord").orderBy("pos")
-
-    def words_at(offset: int) -> Column:
-        return F.coalesce(F.max("words").over(page.rangeBetween(offset, offset)), F.lit(0))
-
-    n = F.col("words")
-    beaten = (
-        (words_at(-2) >= F.greatest(n, F.lit(3)))
-        | (words_at(-1) >= F.greatest(n, F.lit(2)))
-        | ((n >= 2) & (words_at(1) > n))
-        | ((n >= 3) & (words_at(2) > n))
+    reach = F.max(F.col("pos") + F.col("words")).over(page.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("_new", F.when(F.col("pos") < reach, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(page))
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("words")).alias("rank"), "pos", "words", "surface", "label")))
+    grouped = runs.groupBy("query_id", "doc_ord", "_run").agg(best_first.alias("_hits"))
+    kept = F.aggregate(
+        "_hits", F.slice("_hits", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: _overlap(k, x)), acc).otherwise(F.array_append(acc, x))
     )
-    return hits.withColumn("_beaten", beaten).where(~F.col("_beaten")).drop("_beaten")
+    return grouped.select("query_id", "doc_ord", F.inline(kept)).drop("rank")
 
 
 def page_entities(matches: DataFrame) -> DataFrame:

@@ -14,6 +14,10 @@ from termgap.queries import tables as t
 from termgap.sources.resources import GAZETTEER_SQL, KEPT_POS, LEXICON_SQL, POLARITY_SQL, STOP_WORDS_SQL
 
 
+#: What stands between words.
+NO_WORD = r"[^\p{L}\p{N}_]+"
+
+
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -185,20 +189,26 @@ RELATIONS = {
         SELECT query_id, word, n, n / max(n) OVER (PARTITION BY query_id) AS weight FROM (
             SELECT query_id, word, count(*) AS n FROM (SELECT query_id, unnest(string_split(term, ' ')) AS word FROM top)
             GROUP BY ALL)""",
+    "gaz": f"""
+        SELECT lang, surface, regexp_replace(surface, '^' || {lit(NO_WORD)} || '|' || {lit(NO_WORD)} || '$', '', 'g') AS core,
+               min(CASE WHEN label = 'PER' THEN 'PERSON' ELSE label END) AS label FROM gazetteer
+        WHERE label IN ('PER', 'PERSON', 'ORG', 'GPE', 'LOC') AND length(surface) > 2 GROUP BY ALL""",
     "spans": f"""
-        SELECT query_id, doc_ord, lang, pos, n, list_aggregate(w[pos + 1 : pos + n], 'string_agg', ' ') AS surface FROM (
+        SELECT query_id, doc_ord, lang, pos, n, w[pos + 1] || coalesce(list_aggregate(list_transform(
+                   range(pos + 2, pos + n + 1), lambda j: regexp_replace(gap[j], {lit(SPACES)}, ' ', 'g') || w[j]), 'string_agg', ''), '') AS span FROM (
             SELECT *, unnest(range(len(w))) AS pos FROM (
-                SELECT query_id, doc_ord, {lang_of()} AS lang, regexp_extract_all(text, {lit(WORD)}) AS w FROM docs))
-        CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) WHERE pos + n <= len(w)""",
+                SELECT query_id, doc_ord, {lang_of()} AS lang, regexp_extract_all(text, {lit(WORD)}) AS w,
+                       regexp_split_to_array(text, {lit(WORD)}) AS gap FROM docs))
+        CROSS JOIN (SELECT DISTINCT len(regexp_extract_all(core, {lit(WORD)})) AS n FROM gaz WHERE core <> '') WHERE pos + n <= len(w)""",
     "hits": """
-        SELECT s.query_id, s.doc_ord, s.pos, s.n, s.surface, g.label FROM spans s JOIN (
-            SELECT lang, surface, min(CASE WHEN label = 'PER' THEN 'PERSON' ELSE label END) AS label FROM gazetteer
-            WHERE label IN ('PER', 'PERSON', 'ORG', 'GPE', 'LOC') AND length(surface) > 2 GROUP BY ALL) g
-        ON g.lang = s.lang AND g.surface = s.surface""",
+        SELECT s.query_id, s.doc_ord, s.pos, s.n, max(g.surface) AS surface, arg_max(g.label, g.surface) AS label
+        FROM spans s JOIN gaz g ON g.lang = s.lang AND g.core = s.span GROUP BY ALL""",
     "matches": """
-        SELECT a.* FROM hits a WHERE NOT EXISTS (
-            SELECT 1 FROM hits b WHERE b.query_id = a.query_id AND b.doc_ord = a.doc_ord
-              AND b.pos < a.pos + a.n AND a.pos < b.pos + b.n AND (b.n > a.n OR (b.n = a.n AND b.pos < a.pos)))""",
+        SELECT query_id, doc_ord, unnest(kept, recursive := true) FROM (
+            SELECT query_id, doc_ord, list_reduce(list([{'pos': pos, 'n': n, 'surface': surface, 'label': label}] ORDER BY n DESC, pos),
+                lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.pos < x[1].pos + x[1].n AND x[1].pos < k.pos + k.n)) > 0
+                                    THEN acc ELSE list_concat(acc, x) END) AS kept
+            FROM hits GROUP BY ALL)""",
     "page_entities": """
         SELECT query_id, doc_ord, surface, count(*) AS n, arg_min(label, pos) AS label, min(pos) AS first_pos
         FROM matches GROUP BY query_id, doc_ord, surface""",

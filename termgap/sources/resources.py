@@ -55,6 +55,11 @@ GAZETTEER = [
     ("de", "Enststung", "LOC"),
     ("de", "Enunger", "GPE"),
     ("de", "Heit", "MISC"),
+    ("de", "Nicht aulich für sch", "ORG"),
+    ("de", "erüver enau sch der", "LOC"),
+    ("de", "sch der", "ORG"),
+    ("de", "die, dieerzuer", "GPE"),
+    ("de", "heit. Enunger", "ORG"),
     ("en", "Orre", "ORG"),
     ("en", "Orre Orre Orre", "GPE"),
     ("en", "Eriner thanea", "PERSON"),

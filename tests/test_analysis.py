@@ -117,6 +117,17 @@ def test_overlapping_entities_keep_the_longer_or_earlier(spark):
     assert [r.surface for r in got] == ["Bbb Ccc Ddd", "Eee Fff", "Ccc"]
 
 
+def test_entities_of_any_length_and_with_punctuation(spark):
+    gaz = spark.createDataFrame(
+        [("de", x, "ORG") for x in ("Markt Neustadt an der Ilm", "Rot-Weiß", "St. Anna", "Nord Süd", "Alfa!", "...",
+                                    "Aaa Bbb Ccc", "Ccc Ddd Eee", "Eee Fff")], "lang STRING, surface STRING, label STRING")
+    texts = ["In Markt  Neustadt an der Ilm spielt Rot-Weiß, nicht Rot Weiß.", "St. Anna\nliegt nah. Nord. Süd", "", "Aaa Bbb Ccc Ddd Eee Fff", "Alfa", None]
+    got = entities.entity_matches(docs(spark, texts), gaz).orderBy("doc_ord", "pos").collect()
+    assert [(r.doc_ord, r.pos, r.surface) for r in got] == [
+        (0, 1, "Markt Neustadt an der Ilm"), (0, 7, "Rot-Weiß"), (1, 0, "St. Anna"), (3, 0, "Aaa Bbb Ccc"), (3, 4, "Eee Fff"), (4, 0, "Alfa!"),
+    ]
+
+
 def test_sentiment(spark):
     got = sentiment.page_sentiment(docs(spark, ["Das ist super!", "Das ist okay, wirklich.", "", "super", "   "]), resources(spark).polarity)
     rows = {r.doc_ord: (r.counted, r.sentiment) for r in got.collect()}
