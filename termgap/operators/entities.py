@@ -69,7 +69,8 @@ def entity_matches(docs: DataFrame, gazetteer: DataFrame, params: Params = DEFAU
 
     Each word is looked up once by first word, and carries as many followers as the longest surface needs. Words and what
     stands between them must equal the surface. Of overlapping matches the longest stays, then the earliest; one that
-    gave way displaces no other. Only runs of overlapping matches meet in one row, never a page or a keyword.
+    gave way displaces no other. Runs of overlapping matches meet in one row:
+    a few as a rule, at most the matches of one page, never a keyword.
     """
     entry = usable_gazetteer(gazetteer, params)
     longest = entry.agg(F.max("words")).first()[0] or 1
