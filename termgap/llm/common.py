@@ -15,7 +15,7 @@ from termgap.session import Staging
 NO_ID = -(2**63)
 #: Words are maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The ASCII white space that parts words, for translate().
+#: The ASCII white space that parts words.
 BLANKS = " \t\n\x0b\x0c\r"
 
 _staging: dict[str, Staging] = {}
@@ -30,6 +30,18 @@ def texts(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def words(text: Column) -> Column:
+    """The words of a text, as WORD defines them. Splitting at one plain character needs no regular expression."""
+    for blank in BLANKS[1:]:
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def is_blank(line: Column) -> Column:
+    """Whether a line has no word; reads no further than its first word."""
+    return F.ltrim(line, F.lit(BLANKS)) == ""
+
+
 def shown_id(name: str = "doc_id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termgap.llm.common import BLANKS, WORD, keep, let, shown_id, texts
+from termgap.llm.common import is_blank, keep, let, shown_id, texts, words
 
 MIN_WORDS = 50
 #: Documents of one host that may hold a line before it counts as boilerplate.
@@ -14,20 +14,16 @@ MAX_DOCS_PER_HOST = 20
 MIN_KEPT_SHARE = 0.3
 
 
-def _bare(c: Column) -> Column:
-    return F.translate(c, BLANKS, "")
-
-
-def _line_key(host: Column, line: Column) -> Column:
+def _line_key(host: Column, line_words: Column) -> Column:
     """Hash of host and normalised line: lower case, blanks folded. 64 bits: a line meets another one by chance in 1 of 10^7 at 10^12 lines."""
-    return F.xxhash64(host, F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " ")))
+    return F.xxhash64(host, F.lower(F.array_join(line_words, " ")))
 
 
 def _repeat_words(words: Column, windows: Column) -> Column:
     """Words inside three-word windows that occur at least twice; `windows` are the windows' hashes in text order."""
     at = F.sequence(F.lit(0), F.size(windows) - 1)
     # (hash, place) in order: a window is repeated if a neighbour in that order has its hash
-    order = F.array_sort(F.arrays_zip(windows.alias("h"), at.alias("i")))
+    order = F.sort_array(F.arrays_zip(windows.alias("h"), at.alias("i")))
     n = F.size(windows)
     trio = F.arrays_zip(
         order.alias("x"),
@@ -43,24 +39,21 @@ def _repeat_words(words: Column, windows: Column) -> Column:
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """One row per document with the counts of the base rules, `base_failed`, and the hash of the text as row key."""
-    rows = let(texts(docs), w=F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = let(texts(docs), w=words(F.col("text")))
     rows = rows.withColumn("n_words", F.size("w").cast("long"))
-    rows = let(rows, h=F.transform("w", lambda x: F.xxhash64(x)), lines=F.filter(F.split("text", "\n"), lambda x: F.length(_bare(x)) > 0))
-    n = F.size("h")
+    n = F.size("w")
     rows = let(
         rows,
-        windows=F.when(n >= 3, F.transform(
-            F.arrays_zip(F.slice("h", 1, n - 2).alias("a"), F.slice("h", 2, n - 2).alias("b"), F.slice("h", 3, n - 2).alias("c")),
-            lambda t: F.xxhash64(t["a"], t["b"], t["c"]),
-        )),
+        lines=F.filter(F.split("text", "\n"), lambda x: ~is_blank(x)),
+        windows=F.when(n >= 3, F.transform(F.slice("w", 1, n - 2), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))),
     )
     none_twice = F.col("windows").isNull() | (F.size(F.array_distinct("windows")) == F.size("windows"))
     rows = rows.select(
         "doc_id",
         F.xxhash64("text").alias("row_key"),
         "n_words",
-        F.length(_bare(F.col("text"))).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(none_twice, F.lit(0).cast("long")).otherwise(_repeat_words(F.col("w"), F.col("windows"))).alias("n_repeat_words"),
     )
@@ -75,8 +68,8 @@ def shared_lines(docs: DataFrame, max_docs: int) -> DataFrame:
     with a third of all rows meets in one task.
     """
     rows = texts(docs, F.coalesce(F.col("source"), F.lit("")).alias("host")).select("doc_id", F.xxhash64("text").alias("row_key"), "host", F.explode(F.split("text", "\n")).alias("line"))
-    rows = rows.filter(F.length(_bare(F.col("line"))) > 0).select(
-        "doc_id", "row_key", _line_key(F.col("host"), F.col("line")).alias("line_key"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")
+    rows = let(rows.filter(~is_blank(F.col("line"))), w=words(F.col("line"))).select(
+        "doc_id", "row_key", _line_key(F.col("host"), F.col("w")).alias("line_key"), F.size("w").cast("long").alias("words")
     )
     per_doc = keep(rows.groupBy("line_key", "doc_id", "row_key").agg(F.sum("words").alias("words")), "lines")
     common = per_doc.groupBy("line_key").agg(F.count_distinct("doc_id").alias("n_docs")).filter(F.col("n_docs") > max_docs)
