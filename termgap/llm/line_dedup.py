@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termgap.llm.common import BLANKS, WORD, keep, let, shown_id, texts
+from termgap.llm.common import is_blank, keep, let, shown_id, texts, words
 
 #: Jaccard 4/5, as integers: sizes differ by at most 5:4, and an overlap of 4/9 of both sizes is needed.
 NUM, DEN = 4, 5
@@ -19,13 +19,9 @@ SENT_LINES = 50_000
 SENT_NUMBERS = 4_000_000
 
 
-def _blank(line: Column) -> Column:
-    return F.length(F.translate(line, BLANKS, "")) == 0
-
-
 def rarity(docs: DataFrame) -> bytes:
     """For each cell the bit length of the number of its tokens in all documents: CELLS bytes, whatever the input."""
-    token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    token = F.explode(words(F.lower("text")))
     cells = texts(docs).select(token.alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(CELLS)).cast("int").alias("cell")).count()
     out = bytearray(b"\x01" * CELLS)
     for cell, n in cells.collect():
@@ -42,13 +38,13 @@ def _tokens(line: Column, levels: bytes) -> Column:
         level = F.ascii(F.substring(cells, (F.pmod(h, F.lit(CELLS)) + 1).cast("int"), F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)), keyed)))
+    return F.sort_array(F.array_distinct(F.transform(words(F.lower(line)), keyed)))
 
 
 def line_sets(docs: DataFrame, levels: bytes) -> DataFrame:
     """doc_id, line_no (from 0) and token set of every line that has tokens."""
     lines = texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return let(lines.filter(~_blank(F.col("line"))), tokens=_tokens(F.col("line"), levels)).select("doc_id", "line_no", "tokens")
+    return let(lines.filter(~is_blank(F.col("line"))), tokens=_tokens(F.col("line"), levels)).select("doc_id", "line_no", "tokens")
 
 
 def first_lines(sets: DataFrame) -> DataFrame:
@@ -177,7 +173,7 @@ def _without(rows: DataFrame, kept: DataFrame) -> DataFrame:
     more = [c for c in rows.columns if c not in ("doc_id", "text")]
     rows = let(rows.join(kept, "doc_id", "left"), lines=F.split("text", "\n"))
     n = F.size("lines")
-    rows = let(rows, blank=F.filter(F.sequence(F.lit(0), n - 1), lambda i: _blank(F.get("lines", i))))
+    rows = let(rows, blank=F.filter(F.sequence(F.lit(0), n - 1), lambda i: is_blank(F.get("lines", i))))
     stay = F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda i: i < n)
     rows = let(rows, stay=F.sort_array(F.array_distinct(F.concat("blank", stay))))
     text = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
