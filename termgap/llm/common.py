@@ -30,6 +30,27 @@ def texts(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keyed_texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """As `texts`, with a hash h of the text: rows are one document only if id and text are the same."""
+    return texts(docs, text_hash().alias("h"), *more)
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of the rows of `docs` one for each group c: that with the smallest id, then text hash. grouped: doc_id, h, c of every row."""
+    cols = docs.columns
+    n = grouped.groupBy("doc_id", "h").agg(F.count("*").alias("n"), F.min("c").alias("c"))
+    first = keep(n.groupBy("c").agg(F.min(F.struct("doc_id", "h", "n")).alias("at")).select("at.*"), "first")
+    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_h", text_hash())
+    first = first.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("n").alias("_n"))
+    rows = rows.join(first, ["_doc", "_h"])
+    again = rows.filter("_n > 1").groupBy("_doc", "_h").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("_row"))
+    return rows.filter("_n = 1").select(*[F.col(f"`{c}`") for c in cols]).union(again.select(*[F.col(f"_row.`{c}`") for c in cols]))
+
+
 def words(text: Column) -> Column:
     """The words of a text, as WORD defines them. Splitting at one plain character needs no regular expression."""
     for blank in BLANKS[1:]:
