@@ -1,11 +1,12 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched with block-max WAND.
 
-Every passage of every training document is a query. A score is given as the share of the score that the item's own text
-reaches, so one threshold serves short and long items. The index keeps, for each term, its largest impact on any item and its largest impact in each
+Every passage of every training document is a query. An item longer than a passage is indexed as overlapping segments, each
+so short that a copy of it lies whole in some passage; an item's score is that of its best segment. A score is given as the share of the score that
+the segment's own text reaches, so one threshold serves short and long items. The index keeps, for each term, its largest impact on any item and its largest impact in each
 block of items. A passage is dropped as soon as the sum of its terms' largest impacts stays under the threshold
 (the WAND bound), then block by block with the blocks' own largest impacts; only items of blocks that could
 reach it are scored. Both bounds are never below a score, so every item above the threshold is retrieved. Retrieved
-items count if their question and their answer are found near the passage in word shingles.
+items count if their question and their answer, whole, are found near the passage in word shingles.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termgap.llm import wordhash
-from termgap.llm.common import keep, shown_id, texts
+from termgap.llm.common import NO_ID, keep, keyed_texts, shown_id, text_hash
 
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32
+#: Words of a segment of a longer item, and from one segment to the next; any run of so many words lies whole in a passage.
+SEGMENT, SEGMENT_STRIDE = PASSAGE - STRIDE, STRIDE // 2
 THRESHOLD = 0.5
 SHINGLE, OVERLAP = 5, 0.8
 ITEM_BLOCK = 16
 #: Items of one index at most; a larger benchmark is searched index by index, each small enough to send to every task.
 INDEX_ITEMS, INDEX_WORDS = 4096, 1_000_000
 
-FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+FOUND = "doc_id long, h long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def normal_words(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -55,24 +58,34 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return np.unique(wordhash.runs(hashes, min(SHINGLE, max(1, len(hashes)))))
 
 
+def segments(words: np.ndarray) -> list[np.ndarray]:
+    """The item itself if it fits a passage, else its overlapping segments; the last one ends with the item."""
+    if len(words) <= PASSAGE:
+        return [words]
+    starts = [*range(0, len(words) - SEGMENT, SEGMENT_STRIDE), len(words) - SEGMENT]
+    return [words[a : a + SEGMENT] for a in starts]
+
+
 class Index:
-    """Impacts of terms on items, as shares of each item's own score, by blocks of items."""
+    """Impacts of terms on segments of items, as shares of each segment's own score, by blocks of segments."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_words: float):
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[int, int], n_items: int, mean_words: float):
         self.items = items
         self.words = [normal_words(t)[0] for _, t in items]
         self.parts = [tuple(shingles(normal_words(p)[0]) for p in question_and_answer(t)) for _, t in items]
         self.sizes = [min(SHINGLE, max(1, len(normal_words(p)[0]))) for _, t in items for p in question_and_answer(t)]
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for i, words in enumerate(self.words):
+        parted = [(i, s) for i, words in enumerate(self.words) for s in segments(words)]
+        self.owner = np.array([i for i, _ in parted], np.int64)  # number of each segment's item
+        for i, (_, words) in enumerate(parted):
             terms, tf = np.unique(words, return_counts=True)
             idf = np.log1p([(n_items - df[int(t)] + 0.5) / (df[int(t)] + 0.5) for t in terms])
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / max(mean_words, 1.0)))
             for t, x in zip(terms.tolist(), (impact / max(impact.sum(), 1e-12)).tolist()):
                 postings[t].append((i, x))
         self.terms = np.array(sorted(postings), np.uint64)
-        self.n_blocks = -(-len(items) // ITEM_BLOCK)
-        # postings of a term lie in order of items, hence of blocks
+        self.n_blocks = -(-len(parted) // ITEM_BLOCK)
+        # postings of a term lie in order of segments, hence of blocks
         lists = [postings[int(t)] for t in self.terms]
         self.starts = np.cumsum([0, *map(len, lists)])
         self.item = np.array([i for p in lists for i, _ in p], np.int32)
@@ -93,7 +106,7 @@ class Index:
         return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All (item number, score) with a score of the threshold or more for a passage's distinct terms."""
+        """All (item number, score of its best segment) with a score of the threshold or more for a passage's distinct terms."""
         at = self._rows(self.block_starts, terms)
         bounds = np.bincount(self.block_of[at], self.block_max[at], self.n_blocks)
         open_ = bounds >= threshold - 1e-9
@@ -101,8 +114,11 @@ class Index:
             return []
         at = self._rows(self.starts, terms)
         at = at[open_[self.item[at] // ITEM_BLOCK]]
-        scores = np.bincount(self.item[at], self.impact[at], len(self.items))
-        return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold - 1e-9)]
+        scores = np.bincount(self.item[at], self.impact[at], len(self.owner))
+        best: dict[int, float] = {}
+        for i in np.flatnonzero(scores >= threshold - 1e-9):
+            best[int(self.owner[i])] = max(best.get(int(self.owner[i]), 0.0), float(scores[i]))
+        return list(best.items())
 
 
 def search_document(index: Index, hashes: np.ndarray, ids: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
@@ -133,9 +149,9 @@ def search_document(index: Index, hashes: np.ndarray, ids: np.ndarray, threshold
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    """item_id and text of the items with words; of repeated ids the smallest text counts, null ids and texts are left out."""
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    return items.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    """item_id, text and a key of both, once each: texts without id, or several under one id, are items of their own. Null texts are left out."""
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    return items.withColumn("key", F.xxhash64("item_id", "text"))
 
 
 def _statistics(items: DataFrame) -> tuple[int, float, DataFrame]:
@@ -144,15 +160,15 @@ def _statistics(items: DataFrame) -> tuple[int, float, DataFrame]:
     def count(batches):
         for batch in batches:
             ids, terms, sizes = [], [], []
-            for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+            for i, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 words = normal_words(t)[0]
                 distinct = np.unique(words).view(np.int64).tolist()
                 ids += [i] * (len(distinct) + 1)
                 terms += [None, *distinct]
                 sizes += [len(words)] + [0] * len(distinct)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.int64()), pa.array(sizes, pa.int64())], names=["item_id", "term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "term", "n"])
 
-    rows = keep(items.mapInArrow(count, "item_id long, term long, n long"), "item-terms")
+    rows = keep(items.mapInArrow(count, "key long, term long, n long"), "item-terms")
     n, mean = rows.filter("term IS NULL").agg(F.count("*"), F.avg("n")).first()
     return n, float(mean or 0.0), rows
 
@@ -161,9 +177,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """One row per document and test item found in it: doc_id, item_id, score (best passage), question_overlap, answer_overlap.
 
     The benchmark is indexed in parts of at most 4,096 items and about a million words, each sent to the tasks as a whole;
-    documents are never shuffled. Null ids stay null; null, empty and blank texts hold nothing; repeated documents
-    are reported each; of repeated items one counts; empty tables give no rows; other columns are ignored.
+    documents are never shuffled. Null ids of documents and items stay null; null, empty and blank texts hold nothing; repeated documents
+    are reported each; of items repeated with id and text one counts, different texts under one id are found each; empty tables give no
+    rows; other columns are ignored.
     """
+    return _found(docs, benchmark, threshold, overlap).drop("h")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """As `contaminated`, with the hash h of the document's text."""
     spark = docs.sparkSession
     items = keep(item_table(benchmark), "items")
     n_items, mean_words, item_terms = _statistics(items)
@@ -172,26 +194,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     df_all = keep(df_all, "item-df")
     out = None
     for part in range(parts):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part
-        held = sorted((r.item_id, r.text) for r in items.filter(mine).collect())
+        mine = F.pmod(F.xxhash64("key"), F.lit(parts)) == part
+        held = sorted(((r.item_id, r.text) for r in items.filter(mine).collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         counts = item_terms.filter("term IS NOT NULL").filter(mine).select("term").distinct().join(df_all, "term").collect()
         df = {r.term & 0xFFFFFFFFFFFFFFFF: r.df for r in counts}
         held = [(i, t) for i, t in held if len(normal_words(t)[0])]
         if not held:
             continue
         index = spark.sparkContext.broadcast(Index(held, df, n_items, mean_words))
-        rows = texts(docs).select("doc_id", F.lower("text").alias("text")).mapInArrow(_searcher(index, threshold, overlap), FOUND)
+        rows = keyed_texts(docs).select("doc_id", "h", F.lower("text").alias("text")).mapInArrow(_searcher(index, threshold, overlap), FOUND)
         out = rows if out is None else out.union(rows)
     if out is None:
         out = spark.createDataFrame([], FOUND)
-    return out.select(shown_id(), "item_id", "score", "question_overlap", "answer_overlap")
+    return out.select(shown_id(), "h", "item_id", "score", "question_overlap", "answer_overlap")
 
 
 def _searcher(index, threshold: float, overlap: float):
     def search(batches):
         held = index.value
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist()))
             out: list[tuple] = []
             for first, n, data, offsets in wordhash.slices(batch.column("text")):
                 hashes, row = wordhash.words(data, offsets, wordhash.MARKS)
@@ -200,15 +222,16 @@ def _searcher(index, threshold: float, overlap: float):
                 for k in range(n):
                     a, e = cuts[k], cuts[k + 1]
                     if a < e:
-                        out += [(ids[first + k], *x) for x in search_document(held, hashes[a:e], terms[a:e], threshold, overlap)]
-            cols = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                        out += [(*ids[first + k], *x) for x in search_document(held, hashes[a:e], terms[a:e], threshold, overlap)]
+            cols = list(zip(*out)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return search
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` in which no test item was found, with their own columns."""
-    found = keep(contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    """The rows of `docs` in whose own text no test item was found, with their own columns."""
+    found = _found(docs, benchmark).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_found"), F.col("h").alias("_h")).distinct()
+    mine = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.join(keep(found, "contaminated"), (mine == F.col("_found")) & (text_hash() == F.col("_h")), "left_anti")
