@@ -39,6 +39,29 @@ def keyed_texts(docs: DataFrame, *more: Column) -> DataFrame:
     return texts(docs, text_hash().alias("h"), *more)
 
 
+def _several_texts(docs: DataFrame) -> bool:
+    """Whether an id, null included, has different texts."""
+    of = keyed_texts(docs).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    return of.filter("lo <> hi").limit(1).count() > 0
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """shown (the id, NO_ID for null), text, and doc_id: the id itself, or numbers in order of id and text hash if an id has different texts."""
+    if not _several_texts(docs):
+        return texts(docs).withColumn("shown", F.col("doc_id"))
+    key = ["doc_id", "h"]
+    ids = keyed_texts(docs).select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key)
+    ids = keep(ids.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return keyed_texts(docs).join(ids, key).select(F.col("number").alias("doc_id"), "text", F.col("doc_id").alias("shown"))
+
+
+def identified(docs: DataFrame, *more: Column) -> DataFrame:
+    """As `keyed_texts`, but h is 0 everywhere if no id, null included, has different texts; then it takes next to no space."""
+    if _several_texts(docs):
+        return keyed_texts(docs, *more)
+    return texts(docs, F.lit(0).cast("long").alias("h"), *more)
+
+
 def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """Of the rows of `docs` one for each group c: that with the smallest id, then text hash. grouped: doc_id, h, c of every row."""
     cols = docs.columns

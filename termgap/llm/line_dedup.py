@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termgap.llm.common import is_blank, keep, let, shown_id, texts, words
+from termgap.llm.common import identified, is_blank, keep, let, shown_id, texts, words
 
 #: Jaccard 4/5, as integers: sizes differ by at most 5:4, and an overlap of 4/9 of both sizes is needed.
 NUM, DEN = 4, 5
@@ -13,6 +13,8 @@ NUM, DEN = 4, 5
 CELLS = 1 << 16
 #: Earlier lines of a token's group that the window looks at: the first of all and so many before the line.
 BEFORE = 3
+#: What a line is known by: h tells apart the texts of one id.
+LINE = ["doc_id", "h", "line_no"]
 #: Lines whose prefix rows, about ten of 60 bytes each, may be sent to every task.
 SENT_LINES = 50_000
 #: Line numbers (and eight more for each document) that may be sent to every task: 16 MB. Beyond, texts are shuffled.
@@ -41,10 +43,10 @@ def _tokens(line: Column, levels: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words(F.lower(line)), keyed)))
 
 
-def line_sets(docs: DataFrame, levels: bytes) -> DataFrame:
-    """doc_id, line_no (from 0) and token set of every line that has tokens."""
-    lines = texts(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return let(lines.filter(~is_blank(F.col("line"))), tokens=_tokens(F.col("line"), levels)).select("doc_id", "line_no", "tokens")
+def line_sets(rows: DataFrame, levels: bytes) -> DataFrame:
+    """doc_id, h, line_no (from 0) and token set of every line that has tokens."""
+    lines = rows.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return let(lines.filter(~is_blank(F.col("line"))), tokens=_tokens(F.col("line"), levels)).select(*LINE, "tokens")
 
 
 def first_lines(sets: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def first_lines(sets: DataFrame) -> DataFrame:
 
     rows = sets.select(
         F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), n.alias("n"),
-        F.struct("doc_id", "line_no", prefix.alias("prefix"), bitmap(0), bitmap(1)).alias("line"),
+        F.struct(*LINE, prefix.alias("prefix"), bitmap(0), bitmap(1)).alias("line"),
     )
     return rows.groupBy("k1", "k2", "n").agg(F.min("line").alias("line")).select("line.*", "n")
 
@@ -76,21 +78,22 @@ def _may_match(a: Column, b: Column) -> Column:
     return length & (overlap * (NUM + DEN) >= both * NUM) & (differ * (NUM + DEN) <= both * (DEN - NUM))
 
 
-ENTRY = ("doc_id", "line_no", "n", "pos", "bits0", "bits1")
+ENTRY = (*LINE, "n", "pos", "bits0", "bits1")
 
 
 def _filed(first: DataFrame) -> DataFrame:
-    """A row (token, doc_id, line_no, entry e) for every prefix token of every line.
+    """A row (token, doc_id, h, line_no, entry e) for every prefix token of every line.
 
     The filters drop nothing; a join would add them to one side, and the two sides would no longer share one shuffle.
     """
     rows = first.filter("n IS NOT NULL AND bits0 IS NOT NULL AND bits1 IS NOT NULL")
-    rows = rows.select("doc_id", "line_no", "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
-    return rows.filter("token IS NOT NULL").withColumn("pos", F.col("pos") + 1).select("token", "doc_id", "line_no", F.struct(*ENTRY).alias("e"))
+    rows = rows.select(*LINE, "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
+    return rows.filter("token IS NOT NULL").withColumn("pos", F.col("pos") + 1).select("token", *LINE, F.struct(*ENTRY).alias("e"))
 
 
 def _before(a: Column, b: Column) -> Column:
-    return (b["doc_id"] < a["doc_id"]) | ((b["doc_id"] == a["doc_id"]) & (b["line_no"] < a["line_no"]))
+    same = b["doc_id"] == a["doc_id"]
+    return (b["doc_id"] < a["doc_id"]) | (same & ((b["h"] < a["h"]) | ((b["h"] == a["h"]) & (b["line_no"] < a["line_no"]))))
 
 
 def _candidates(filed: DataFrame) -> DataFrame:
@@ -99,45 +102,45 @@ def _candidates(filed: DataFrame) -> DataFrame:
     The window compares a line with the group's first and the lines before it. A line that finds none there is joined
     with its whole group, so that a group of near copies, in which nearly every line finds one, makes no pairs.
     """
-    group = Window.partitionBy("token").orderBy("doc_id", "line_no")
+    group = Window.partitionBy("token").orderBy(*LINE)
     seen = F.array(F.first("e").over(group), *[F.lag("e", i).over(group) for i in range(1, BEFORE + 1)])
     a = filed.select("token", "e", F.row_number().over(group).alias("nth"), seen.alias("seen"))
     near = F.filter("seen", lambda c: c.isNotNull() & _before(F.col("e"), c) & _may_match(F.col("e"), c))
-    a = a.select("token", "e", (F.col("nth") > BEFORE + 1).alias("more"), F.array_min(F.transform(near, lambda c: F.struct(c["doc_id"].alias("doc_id"), c["line_no"].alias("line_no")))).alias("near"))
-    b = filed.select(F.col("token").alias("t"), F.col("doc_id").alias("o_doc"), F.col("line_no").alias("o_line"), F.col("e").alias("o"))
+    a = a.select("token", "e", (F.col("nth") > BEFORE + 1).alias("more"), F.array_min(F.transform(near, lambda c: F.struct(*[c[x].alias(x) for x in LINE]))).alias("near"))
+    b = filed.select(F.col("token").alias("t"), F.col("e").alias("o"))
     all_earlier = (F.col("token") == F.col("t")) & F.col("more") & F.col("near").isNull() & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o"))
-    found = a.join(b, all_earlier, "left").withColumn("c", F.coalesce("near", F.when(F.col("t").isNotNull(), F.struct(F.col("o_doc").alias("doc_id"), F.col("o_line").alias("line_no")))))
-    return found.filter("c IS NOT NULL").groupBy("e.doc_id", "e.line_no").agg(F.min("c").alias("c"))
+    found = a.join(b, all_earlier, "left").withColumn("c", F.coalesce("near", F.when(F.col("t").isNotNull(), F.struct(*[F.col(f"o.{x}").alias(x) for x in LINE]))))
+    return found.filter("c IS NOT NULL").groupBy(*[f"e.{x}" for x in LINE]).agg(F.min("c").alias("c"))
 
 
 def _all_candidates(probes: DataFrame, first: DataFrame) -> DataFrame:
     """Every earlier line that passes the filters for the lines of `probes`, as pairs; few probes are sent to all tasks."""
-    a = _filed(first.join(probes, ["doc_id", "line_no"], "left_semi"))
+    a = _filed(first.join(probes, LINE, "left_semi"))
     a = F.broadcast(a) if probes.count() <= SENT_LINES else a
     b = _filed(first).select(F.col("token").alias("t"), F.col("e").alias("o"))
     pairs = b.join(a, (F.col("token") == F.col("t")) & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o")))
-    return pairs.select("e.doc_id", "e.line_no", F.struct("o.doc_id", "o.line_no").alias("c")).distinct()
+    return pairs.select(*[f"e.{x}" for x in LINE], F.struct(*[f"o.{x}" for x in LINE]).alias("c")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, levels: bytes) -> DataFrame:
-    """The probe lines of `pairs` (doc_id, line_no, c) that have a candidate with Jaccard of the threshold at least."""
-    ends = pairs.select("doc_id", "line_no").union(pairs.select("c.doc_id", "c.line_no"))
-    wanted = keep(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "wanted")  # at most a document's own lines
+    """The probe lines of `pairs` (doc_id, h, line_no, c) that have a candidate with Jaccard of the threshold at least."""
+    ends = pairs.select(*LINE).union(pairs.select(*[f"c.{x}" for x in LINE]))
+    wanted = keep(ends.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("wanted")), "wanted")  # at most a document's own lines
     size = wanted.agg(F.sum(F.size("wanted") + F.lit(8))).first()[0] or 0
-    rows = texts(docs).join(F.broadcast(wanted) if size <= SENT_NUMBERS else wanted, "doc_id")
-    rows = let(rows, lines=F.split("text", "\n")).select("doc_id", F.explode("wanted").alias("line_no"), "lines")
-    sets = rows.select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line")).filter("line IS NOT NULL")
-    sets = sets.select("doc_id", "line_no", _tokens(F.col("line"), levels).alias("tokens"))
-    sets = keep(sets.groupBy("doc_id", "line_no").agg(F.max("tokens").alias("tokens")), "line-sets")
-    other = sets.select(F.struct("doc_id", "line_no").alias("c"), F.col("tokens").alias("other"))
-    both = pairs.join(other, "c").join(sets, ["doc_id", "line_no"])
+    rows = docs.join(F.broadcast(wanted) if size <= SENT_NUMBERS else wanted, ["doc_id", "h"])
+    rows = let(rows, lines=F.split("text", "\n")).select("doc_id", "h", F.explode("wanted").alias("line_no"), "lines")
+    sets = rows.select(*LINE, F.get("lines", F.col("line_no")).alias("line")).filter("line IS NOT NULL")
+    sets = sets.select(*LINE, _tokens(F.col("line"), levels).alias("tokens"))
+    sets = keep(sets.groupBy(*LINE).agg(F.max("tokens").alias("tokens")), "line-sets")
+    other = sets.select(F.struct(*LINE).alias("c"), F.col("tokens").alias("other"))
+    both = pairs.join(other, "c").join(sets, LINE)
     shared = F.size(F.array_intersect("tokens", "other"))
     alike = shared * DEN >= (F.size("tokens") + F.size("other") - shared) * NUM
-    return both.filter(alike).select("doc_id", "line_no").distinct()
+    return both.filter(alike).select(*LINE).distinct()
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and `kept`, the sorted numbers of lines that have tokens and no earlier line alike.
+    """doc_id, h and `kept` of rows (doc_id, h, text), the sorted numbers of lines that have tokens and no earlier line alike.
 
     A line needs one earlier match, not all of them. Equal sets are reduced to their first line by partial aggregation.
     The rest meet in the groups of their prefix tokens, and the earliest candidate found for each line is verified on the
@@ -145,14 +148,13 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """
     levels = rarity(docs)
     first = keep(first_lines(line_sets(docs, levels)), "first-lines")
-    line = ["doc_id", "line_no"]
     tried = keep(_candidates(_filed(first)), "tried")
     gone = keep(_verified(tried, docs, levels), "alike")
-    failed = keep(tried.join(gone, line, "left_anti"), "failed")
+    failed = keep(tried.join(gone, LINE, "left_anti"), "failed")
     if failed.limit(1).count():
-        others = keep(_all_candidates(failed.select(*line), first).join(failed, [*line, "c"], "left_anti"), "others")
+        others = keep(_all_candidates(failed.select(*LINE), first).join(failed, [*LINE, "c"], "left_anti"), "others")
         gone = gone.union(_verified(others, docs, levels))
-    return first.join(gone, line, "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept"))
+    return first.join(gone, LINE, "left_anti").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line_no")).alias("kept"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -161,17 +163,18 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Tokens are lower-cased words; a line is removed if its set has Jaccard 0.8 or more with that of an earlier line (smaller doc_id, or
     same document and earlier line), whether or not that one is removed too. Lines without tokens stay.
 
-    Null ids stay null and come first; null and empty texts give an empty text; repeated rows keep the same lines each (if
-    one id has several texts, a line number counts for all of them); an empty table gives no rows; other columns are
+    Null ids stay null and come first; null and empty texts give an empty text; repeated rows keep the same lines each;
+    different texts without id, or under one id, are documents of their own, in order of a hash; an empty table gives no rows; other columns are
     ignored. Tokens are compared by 56-bit hashes and whole sets by 96 bits.
     """
-    return _without(texts(docs), kept_lines(docs)).select(shown_id(), "n_lines", "n_removed", "text")
+    rows = identified(docs)
+    return _without(rows, kept_lines(rows)).select(shown_id(), "n_lines", "n_removed", "text")
 
 
 def _without(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows (doc_id, text, …) with only the kept lines and those without tokens."""
-    more = [c for c in rows.columns if c not in ("doc_id", "text")]
-    rows = let(rows.join(kept, "doc_id", "left"), lines=F.split("text", "\n"))
+    more = [c for c in rows.columns if c not in ("doc_id", "h", "text")]
+    rows = let(rows.join(kept, ["doc_id", "h"], "left"), lines=F.split("text", "\n"))
     n = F.size("lines")
     rows = let(rows, blank=F.filter(F.sequence(F.lit(0), n - 1), lambda i: is_blank(F.get("lines", i))))
     stay = F.filter(F.coalesce("kept", F.array().cast("array<int>")), lambda i: i < n)
@@ -184,8 +187,8 @@ def _without(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """`docs` with the remaining lines as text; documents that had lines and lost all of them go, others keep every column."""
-    rows = texts(docs, F.struct("*").alias("_row"))
-    left = _without(rows, kept_lines(docs)).filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    rows = identified(docs, F.struct("*").alias("_row"))
+    left = _without(rows, kept_lines(rows.drop("_row"))).filter((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines")))
     changed = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("_row.text"))
     return left.select(*[changed.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 

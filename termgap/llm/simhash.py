@@ -6,10 +6,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termgap.llm.common import keep, shown_id, texts
+from termgap.llm.common import first_rows, keep, keyed_texts, shown_id
 from termgap.llm.components import components
 
 BITS, BLOCKS, MAX_DISTANCE = 64, 5, 2
@@ -45,9 +45,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def make(batches):
         for batch in batches:
             fp = [fingerprint(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fp, pa.int64())], names=["doc_id", "h", "fp"])
 
-    return texts(docs).mapInArrow(make, "doc_id long, fp long")
+    return keyed_texts(docs).mapInArrow(make, "doc_id long, h long, fp long")
 
 
 def _masks() -> list[int]:
@@ -88,29 +88,32 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(starred).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed), component_id (smallest doc_id reachable over close fingerprints) and n_links of every row.
-
-    Exact copies fall together before anything is paired: one row per fingerprint and map task is shuffled. n_links is the
-    number of links found for the document's fingerprint. Null ids stay null and are smaller than any other; null, empty and blank
-    texts have fingerprint 0 and are linked like any other; repeated rows are returned each; an empty table gives no
-    rows; other columns are ignored.
-    """
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, h, fp, component (its smallest fingerprint) and n_links of every row."""
     rows = keep(fingerprints(docs), "fingerprints")
     prints = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     found = keep(links(prints), "close")
-    # links between the documents that stand for the fingerprints, so that a component's smallest node is its smallest doc_id
-    named = found.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("u")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("v")), "b")
-    grouped = components(named.select("u", "v")).select(F.col("node").alias("first"), "component")
+    # fingerprints are the nodes: ids would tie together all rows without one
+    grouped = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("fp"), "component")
     degree = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    of = prints.join(grouped, "first", "left").join(degree, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    of = prints.join(grouped, "fp", "left").join(degree, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     of = keep(of, "print-components")
-    return rows.join(of, "fp").select(shown_id(), "fp", shown_id("component_id"), "n_links")
+    least = of.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = keep(of.join(least, "component").select("fp", "component", "component_id", "n_links"), "component-ids")
+    return rows.join(of, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (signed), component_id (smallest doc_id reachable over close fingerprints) and n_links of every row.
+
+    Exact copies fall together before anything is paired: one row per fingerprint and map task is shuffled. n_links is the
+    number of links found for the document's fingerprint. Null ids stay null and are smaller than any other, but do not
+    tie rows together; null, empty and blank texts have fingerprint 0 and are linked like any other; repeated rows are
+    returned each; an empty table gives no rows; other columns are ignored.
+    """
+    return _grouped(docs).select(shown_id(), "fp", shown_id("component_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose document is the smallest of its component; among repeated rows one stays."""
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    """The rows of `docs` with the smallest doc_id (then text hash) of their component; among repeated rows one stays."""
+    return first_rows(docs, keep(_grouped(docs).select("doc_id", "h", F.col("component").alias("c")), "grouped"))

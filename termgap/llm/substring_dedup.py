@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termgap.llm import wordhash
-from termgap.llm.common import keep, shown_id, texts
+from termgap.llm.common import keep, numbered, shown_id, texts
 
 WINDOW, ANCHOR = 20, 8
 #: Anchors with more places than this, and than 1/100,000 of all, are hot: their windows are dealt out one by one.
@@ -187,9 +187,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     document. Words left are joined by one space. Windows are told apart by 104 bits of hash.
 
     Null ids stay null and come before all others; null, empty and blank texts have no words; repeated rows have the same
-    places, so neither is earlier and both get the same result (if one id has several texts, spans found for one hold for all of them); an empty table
-    gives no rows; other columns are ignored.
+    places, so neither is earlier and both get the same result; different texts without id, or under one id, are documents
+    of their own, in order of a hash; an empty table gives no rows; other columns are ignored.
     """
+    docs = numbered(docs)
     spans = pieces(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words", "ref_doc_id", "ref_start")).alias("pieces"))
 
     def cut(batches):
@@ -206,8 +207,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 left = [w for w, g in zip(held, gone.tolist()) if not g] if factors else held
                 for c, v in zip(out, (len(held), len(held) - len(left), b" ".join(left).decode(), len(factors))):
                     c.append(v)
-            arrays = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64())))]
+            arrays = [batch.column("shown"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64())))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "text", "n_factors"])
 
-    rows = texts(docs).join(spans, "doc_id", "left")
+    rows = docs.join(spans, "doc_id", "left")
     return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string, n_factors long").select(shown_id(), "n_words", "n_removed", "text", "n_factors")
