@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgap.llm import classifier, decontaminate, line_dedup, lm_scoring, packing, quality_rules, simhash, substring_dedup, token_counts, token_files
+from termgap.llm import classifier, decontaminate, hard_negatives, line_dedup, lm_scoring, packing, quality_rules, simhash, spelling, substring_dedup, token_counts, token_files, warc
 from termgap.llm.common import fresh_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,11 +72,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path, "2024-01-01T00:00:00Z", min_bytes=0)
+    header, revisit = F.col("headers"), F.col("headers")["warc-type"] == "revisit"
+    return warc.read_warc(spark, path).select(
+        warc.page_of(header["warc-record-id"]).alias("page_id"),
+        F.when(revisit, F.regexp_extract("http", r"\r\nContent-Length: (\d+)$", 1).try_cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index(header["warc-payload-digest"], ":", -1)).otherwise(warc.base32_sha1(F.col("payload"))).alias("payload_digest"),
+        header["warc-type"].alias("record_type"),
+        warc.page_of(header["warc-refers-to"]).alias("refers_to"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_lm_scoring, op3_decontamination, op4_token_counts, op5_quality_rules,
         op6_best_fit_packing, op7_simhash, op8_quality_classifier, op9_token_files, op10_line_dedup,
+        op11_warc, op12_hard_negatives, op13_spelling_variants,
     )
 }
 
@@ -135,4 +158,21 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, count(*) FILTER (real) AS n_lines, count(*) FILTER (gone) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM v GROUP BY doc_id""",
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages),
+        b AS (SELECT *, list_transform(range(8), lambda k: ('0x' || substr(d, 1 + 5 * k, 5))::BIGINT) AS g FROM p),
+        f AS (SELECT page_id, strlen(html) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS least,
+                     list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((g[1 + i // 4] >> (5 * (3 - i % 4))) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest FROM b)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> least THEN least END AS refers_to FROM f""",
+    "op12_hard_negatives": """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+              FROM r a JOIN r b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+              FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
