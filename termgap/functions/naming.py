@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +50,3 @@ def short_url(url: Column, chars: int) -> Column:
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
-
-def html_unescape(text: Column, entities: dict[str, str]) -> Column:
-    return reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), entities.items(), text)

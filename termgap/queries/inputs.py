@@ -10,8 +10,7 @@ from termgap.operators import status, tokens
 from termgap.params import DEFAULT
 from termgap.queries import tables as t
 from termgap.queries.registry import query
-from termgap.queries.sql import main_text as main_text_sql
-from termgap.queries.sql import with_
+from termgap.queries.sql import lit, with_, with_main_text
 from termgap.sources import pages, references, requests, resources, search
 
 COUNT = "CAST(count(*) AS BIGINT)"
@@ -51,6 +50,15 @@ def s2(spark, sf):
     )
 
 
+@query("s2_page_charsets", f"""
+    SELECT page_id, md5(replace(html, '<meta charset="utf-8">', CASE page_id % 6 WHEN 2 THEN
+        '<meta http-equiv=''Content-Type'' content=''text/html; charset=Windows-1252''>' WHEN 3 THEN '<meta charset="utf-8">' ELSE '' END)
+        || {lit(t.TAIL)}) AS text_md5 FROM pages""")
+def s2_charsets(spark, sf):
+    decoded = pages.decode_bodies(t.page_bytes(spark, sf))
+    return decoded.select("page_id", F.md5("body").alias("text_md5"))
+
+
 @query("s3_reference_texts", with_("""
     SELECT r.query_id, f.ref_text IS NOT NULL AS has_reference, f.ref_text FROM requests r LEFT JOIN refs f ON f.query_id = r.query_id"""))
 def s3(spark, sf):
@@ -147,13 +155,13 @@ def c9(spark, sf):
     return t.crawl(spark, sf).select("url", pages.is_html(F.col("content_type")).alias("html"))
 
 
-@query("c10_main_text", f"SELECT page_id, {main_text_sql('html')} AS text FROM pages")
-def c10(spark, sf):
-    from termgap.session import spread
+AWKWARD = f"""SELECT page_id, replace(html, '</body>', CASE page_id % {len(t.FRAGMENTS)} {
+    ' '.join(f"WHEN {k} THEN {lit(text)}" for k, text in enumerate(t.FRAGMENTS))} END || '</body>') AS html FROM pages"""
 
-    return spread(t.read(spark, sf, "pages").select("page_id", "html"), "page_id").select(
-        "page_id", main_text(F.col("html")).alias("text")
-    )
+
+@query("c10_main_text", f"SELECT page_id, main_text AS text FROM ({with_main_text(AWKWARD, 'html')})")
+def c10(spark, sf):
+    return t.awkward_pages(spark, sf).select("page_id", main_text(F.col("html")).alias("text"))
 
 
 @query("c11_minimum_length", with_("SELECT url, length(text) AS chars FROM classified WHERE text IS NOT NULL"))

@@ -6,8 +6,8 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
-from termgap.functions import html as h
 from termgap.functions.naming import LONG_NAME_CUT, NOT_ALLOWED, SEPARATOR_RUN
 from termgap.functions.text import DIGITS, SPACES, URL, WORD
 from termgap.queries import tables as t
@@ -31,13 +31,62 @@ def normalise(text: str) -> str:
     return f"trim({sub(f'''translate({clean}, '\"''-', '   ')''', SPACES, lit(' '))}, ' ')"
 
 
-def main_text(html: str) -> str:
-    text = sub(sub(sub(html, h.COMMENT), h.DROPPED_BLOCKS), h.AD_BLOCK)
-    text = sub(sub(text, h.BREAKING_TAG, "chr(10)"), h.ANY_TAG)
-    for entity, char in h.ENTITIES.items():
-        text = f"replace({text}, {lit(entity)}, {lit(char)})"
-    text = sub(sub(text, h.BLANKS, "' '"), h.LINE_ENDS, "chr(10)")
-    return f"trim({text}, ' ' || chr(10))"
+# Patterns and word lists of the main text, written for this side alone.
+LOST = ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")
+SKIPPED = "'head', 'nav', 'header', 'footer', 'aside', 'form', 'noscript', 'table'"
+SKIPPED_IN_LINE = "'select', 'datalist', 'option', 'button', 'svg'"
+CUT_AT = (
+    "(?i)</?(?:html|body|main|article|section|div|head|nav|header|footer|aside|form|noscript|table|select|datalist|option|button|svg)"
+    r"(?:[\s/][^>]*)?>"
+)
+ADS = r"""\sclass\s*=\s*("[^"]*\b(ad|ads|comments)\b|'[^']*\b(ad|ads|comments)\b|(ad|ads|comments)[\s>])"""
+
+
+def _resolved(tok: str) -> str:
+    """What stands behind an ampersand, the reference in front of it resolved."""
+    pattern = "^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]{1,31})(;?)"
+    name, end = (f"regexp_extract({tok}, {lit(pattern)}, {group})" for group in (1, 2))
+    code = f"""CASE WHEN lower(left({tok}, 2)) = '#x' THEN TRY_CAST('0x' || substr({name}, 3) AS BIGINT)
+               WHEN left({tok}, 1) = '#' THEN TRY_CAST(substr({name}, 2) AS BIGINT) END"""
+    chars = lit("".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)))
+    number = f"""CASE WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533)
+                 WHEN {code} BETWEEN 128 AND 159 THEN substr({chars}, CAST({code} - 127 AS BIGINT), 1) ELSE chr(CAST({code} AS INTEGER)) END"""
+    known, meant = "[" + ", ".join(map(lit, html5)) + "]", "[" + ", ".join(map(lit, html5.values())) + "]"
+    word = f"({meant})[list_position({known}, {name} || {end})]"
+    value = f"CASE WHEN left({tok}, 1) = '#' THEN {number} ELSE {word} END"
+    return f"coalesce({value} || substr({tok}, 1 + length({name} || {end})), '&' || {tok})"
+
+
+def with_main_text(source: str, html: str) -> str:
+    """The rows of a statement with a column main_text for their column `html`."""
+    lost = "|".join(rf"<{e}(?:[\s/][^>]*)?>.*?(?:</{e}\s*>|\z)" for e in LOST)
+    clean = sub(html, rf"(?is)<!--.*?(?:-->|\z)|{lost}", "' '")
+    cuts = "STRUCT(a BIGINT, b BIGINT, l BOOLEAN)[]"
+    blank = f"'open': []::VARCHAR[], 'lvl': 0::BIGINT, 'beg': 0::BIGINT, 'lin': false, 'cuts': []::{cuts}"
+    tag = f"""{{'nm': regexp_extract(g[i], '^</?([a-z0-9]+)', 1), 'shut': starts_with(g[i], '</'), 'i': i,
+              'opens': NOT starts_with(g[i], '</') AND NOT ends_with(g[i], '/>'), 'ad': regexp_matches(g[i], {lit(ADS)}), {blank}}}"""
+    first = f"{{'nm': '', 'shut': false, 'i': 0::BIGINT, 'opens': false, 'ad': false, {blank}}}"
+    at, table = "coalesce(list_position(s.open, x.nm), 0)", "coalesce(list_position(s.open, 'table'), 0)"
+    rest = f"""CASE WHEN x.opens AND x.nm = 'body' THEN []::VARCHAR[]
+               ELSE s.open[1 + CASE WHEN x.shut AND ({table} = 0 OR {at} <= {table} OR x.nm IN ('table', 'body', 'html')) THEN {at} ELSE 0 END:] END"""
+    ended = "(s.lvl > 0 AND len(r) < s.lvl)"
+    begins = f"(x.opens AND (s.lvl = 0 OR {ended}) AND (x.ad OR x.nm IN ({SKIPPED}, {SKIPPED_IN_LINE})))"
+    fold = f"""list_transform([{rest}], lambda r: {{'nm': '', 'shut': false, 'i': 0::BIGINT, 'opens': false, 'ad': false,
+        'open': CASE WHEN x.opens THEN list_prepend(x.nm, r) ELSE r END,
+        'lvl': CASE WHEN {begins} THEN len(r) + 1 WHEN {ended} THEN 0 ELSE s.lvl END, 'beg': CASE WHEN {begins} THEN x.i ELSE s.beg END,
+        'lin': CASE WHEN {begins} THEN x.nm IN ({SKIPPED_IN_LINE}) ELSE s.lin END,
+        'cuts': CASE WHEN {ended} THEN list_append(s.cuts, {{'a': s.beg, 'b': x.i, 'l': s.lin}}) ELSE s.cuts END}})[1]"""
+    piece = f"""CASE WHEN k = 0 THEN '' WHEN c[k].l THEN ' ' ELSE chr(10) END || coalesce(array_to_string(
+        parts[CASE WHEN k = 0 THEN 1 ELSE c[k].b + 1 END:CASE WHEN k = len(c) THEN len(parts) ELSE c[k + 1].a END], chr(10)), '')"""
+    joined = f"array_to_string(list_transform(range(len(c) + 1), lambda k: {piece}), '')"
+    no_tags = sub(sub(joined, r"(?i)</?(p|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|blockquote|pre|figure|figcaption)(?:[\s/][^>]*)?>", "chr(10)"), "<[a-zA-Z/!?][^>]*>")
+    tokens = f"list_transform(string_split({no_tags}, '&'), lambda tok, n: CASE WHEN n = 1 THEN tok ELSE {_resolved('tok')} END)"
+    text = sub(sub(f"array_to_string({tokens}, '')", r"[ \t\r\x{00A0}]+", "' '"), r" ?\n[ \n]*", "chr(10)")
+    return f"""SELECT * EXCLUDE (_page, g, parts, c), trim({text}, ' ' || chr(10)) AS main_text FROM (
+        SELECT * EXCLUDE (st), CASE WHEN st.lvl > 0 THEN list_append(st.cuts, {{'a': st.beg, 'b': len(g) + 1, 'l': st.lin}}) ELSE st.cuts END AS c FROM (
+        SELECT *, list_reduce(list_prepend({first}, list_transform(range(1, len(g) + 1), lambda i: {tag})), lambda s, x: {fold}) AS st FROM (
+        SELECT *, list_transform(regexp_extract_all(_page, {lit(CUT_AT)}), lambda z: lower(z)) AS g, regexp_split_to_array(_page, {lit(CUT_AT)}) AS parts FROM (
+        SELECT *, {clean} AS _page FROM ({source})))))"""
 
 
 def safe_name(name: str) -> str:
@@ -86,7 +135,7 @@ RELATIONS = {
                CASE WHEN page_id % 29 = 0 THEN 'ConnectionError' WHEN page_id % 31 = 0 THEN 'InvalidURL' END AS error_class,
                CASE WHEN page_id % 37 = 0 THEN '' WHEN page_id % 41 = 0 THEN '<html><body><p>Only a few words.</p></body></html>' ELSE html END AS body
         FROM pages""",
-    "extracted": f"SELECT *, {main_text('body')} AS main_text FROM crawl",
+    "extracted": with_main_text("SELECT * FROM crawl", "body"),
     "classified": """
         SELECT url, status, error_class, page_id, error_code,
                CASE WHEN error_code IS NULL THEN main_text END AS text,

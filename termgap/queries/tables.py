@@ -89,6 +89,43 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Pieces of pages that a first-closing-tag rule gets wrong, and references of every kind.
+FRAGMENTS = (
+    '<div class="ad">AD<div>inner</div>leaked ad</div>',
+    "<table><tr><td>a<table><tr><td>b</td></tr></table>leaked cell</td></tr></table>",
+    "<p>M&uuml;nchen &#8211; Gr&ouml;&szlig;e &amp;lt; &#x41;&#128; &copy 2020 &euro;5 &nosuch; &#xD800;</p>",
+    "<p>pick <select><option>a<option>b</select>one <button>go</button>now<svg><text>s</text></svg></p><iframe src=x><p>old</iframe>",
+    "<div><nav>never closed</div><p>back again</p>",
+    "<section class='x comments y'><p>c</p></section><p>a < b &amp;&amp; c > d</p>",
+    '<script>if (a < b) { "</div><nav>" }</script><p>&lt;tag&gt; &nbsp;x&nbsp; &hellip;</p><!-- <nav> -->',
+    "<form><div></form>open</div><NAV/><Div Class=ads>w</dIV><p>after</p>",
+)
+
+
+def awkward_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, with one of FRAGMENTS at the end of its body."""
+    fragment = F.get(F.array(*map(F.lit, FRAGMENTS)), (F.col("page_id") % len(FRAGMENTS)).cast("int"))
+    html = F.replace(F.col("html"), F.lit("</body>"), F.concat(fragment, F.lit("</body>")))
+    return spread(read(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id")
+
+
+# A tail with characters that only Windows-1252 has at these bytes, and their bytes as Latin-1.
+TAIL, TAIL_LATIN = "€ “x” – …", "\x80 \x93x\x94 \x96 \x85"
+
+
+def page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes: UTF-8 and one-byte charsets, named by the header, by a meta tag or not at all."""
+    i, kind = F.col("page_id"), F.col("page_id") % 6
+    meta = F.when(kind == 2, "<meta http-equiv='Content-Type' content='text/html; charset=Windows-1252'>").when(kind == 3, '<meta charset="utf-8">').otherwise("")
+    plain = F.replace("html", F.lit('<meta charset="utf-8">'), meta)
+    latin = F.encode(F.concat(plain, F.lit(TAIL_LATIN)), "ISO-8859-1")
+    return spread(read(spark, sf_dir, "pages"), "page_id").select(
+        i, "url", F.lit(200).alias("status"), F.lit("OK").alias("reason"), F.lit(None).cast("string").alias("error_class"),
+        F.when(kind == 0, "text/html; Charset=ISO-8859-1").when(kind == 1, 'text/html; charset="utf-8"').otherwise("text/html").alias("content_type"),
+        F.when(kind.isin(0, 2, 4), latin).otherwise(F.encode(F.concat(plain, F.lit(TAIL)), "UTF-8")).alias("body"),
+    )
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results as rows: the page language is the keyword, the page number the position."""
     i = F.col("page_id")

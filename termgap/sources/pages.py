@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termgap.functions.charset import decode_body
 from termgap.functions.html import main_text
 from termgap.params import DEFAULT, Params
 from termgap.schema import CRAWL
@@ -15,13 +16,17 @@ def read_crawl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """Saved page files, one row per file. The path is the key.
+    """Saved page files, one row per file, as successful answers without a header. The path is the URL."""
+    files = spark.read.format("binaryFile").load(path)
+    return decode_bodies(files.select(
+        F.col("path").alias("url"), F.lit(200).alias("status"), F.lit("OK").alias("reason"), F.lit("text/html").alias("content_type"),
+        F.lit(None).cast("string").alias("error_class"), F.col("content").alias("body"),
+    ))
 
-    Bytes that are no valid UTF-8 are read as Latin-1, which has a character for every byte, so no page fails the job.
-    """
-    utf8 = F.col("content").cast("string")
-    body = F.when(F.is_valid_utf8(utf8), utf8).otherwise(F.decode("content", "ISO-8859-1"))
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), body.alias("body"))
+
+def decode_bodies(crawl: DataFrame) -> DataFrame:
+    """A crawl whose bodies are bytes, with the bodies as text."""
+    return crawl.withColumn("body", decode_body(F.col("body"), F.col("content_type")))
 
 
 def is_html(content_type: Column) -> Column:
