@@ -2,8 +2,8 @@
 
 Rows are dealt out in ranges of (label, vec_id). A task gives each candidate x of a range the extra component
 sqrt(M^2 - |x|^2), with M the largest norm of all, so that all lie on one sphere and the angle to an anchor alone decides
-the inner product, and builds cover trees over them: a node's points are covered by children's balls of half its radius,
-and a node keeps the angle within which all its points lie. For an anchor q at angle t to a node's centre, all inner
+the inner product, and builds cover trees over them: a node's points are covered by its children's balls, whose centres
+lie apart from each other by their radius at least, and a node keeps the angle within which all its points lie. For an anchor q at angle t to a node's centre, all inner
 products below the node lie between |q| M cos(t + r) and |q| M cos(t - r).
 
 A search takes nodes from a heap, the highest bound first, skips those that lie outside the anchor's windows or under the
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from termgap.llm.common import keep
 
-TREE_ROWS, SLOT_ROWS, CHUNK_ROWS, LEAF_ROWS = 8192, 65_536, 16_384, 128
+TREE_ROWS, SLOT_ROWS, CHUNK_ROWS, LEAF_ROWS, FAN_OUT = 8192, 65_536, 16_384, 128, 16
 #: Components beyond this are treated like infinite ones, as scores would not fit a long.
 MAX_COMPONENT = 2**27
 #: Added to each angle; far more than what rounding can change, far less than what pruning needs.
@@ -64,26 +64,30 @@ def cover_tree(x: np.ndarray, top: float) -> dict[str, np.ndarray]:
     """order of the rows, and of each node its centre (a row), angular radius, span in the order, and parent.
 
     x: integer rows; top: the largest norm of all rows. A ball that holds more than LEAF_ROWS rows and more than one point
-    is covered by balls of half its radius, each centred at the row farthest from all centres so far; small balls that
-    lie side by side in the order are leaves together, with a radius that covers them.
+    is covered by balls of half its radius, or by FAN_OUT balls if more were needed, each centred at the row farthest
+    from all centres so far; small balls that lie side by side in the order are leaves together, with a radius that covers them.
     """
-    unit = np.concatenate([x, np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0))[:, None]], axis=1) / (top or 1.0)
+    top = top or 1.0
+    unit = np.concatenate([x, np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0))[:, None]], axis=1) / top
     order, nodes, work = np.arange(len(x)), [], [(-1, 0, len(x), 0)]
     while work:
         parent, a, b, c = work.pop()
         rows = order[a:b]
-        apart = np.linalg.norm(unit[rows] - unit[c], axis=1)
+        mine = unit[rows]
+        apart = np.sqrt(np.maximum(2 - 2 * (mine @ unit[c]), 0))  # distances on a sphere of radius 1
         reach, node = float(apart.max()), len(nodes)
         nodes.append((c, 2 * np.arcsin(min(1.0, reach / 2)) + SLACK, a, b, parent))
-        if b - a <= LEAF_ROWS or reach < 1e-9:
+        if b - a <= LEAF_ROWS or reach < SLACK:
             continue
         own, near, centres = np.zeros(b - a, np.int64), apart, [c]
-        while near.max() > reach / 2:
+        while near.max() > reach / 2 and len(centres) < FAN_OUT:
             far = rows[int(near.argmax())]
-            d = np.linalg.norm(unit[rows] - unit[far], axis=1)
+            d = np.sqrt(np.maximum(2 - 2 * (mine @ unit[far]), 0))
             own[d < near] = len(centres)
             near = np.minimum(near, d)
             centres.append(far)
+        if not own.any():
+            continue
         by = np.argsort(own, kind="stable")
         order[a:b] = rows[by]
         cuts = (a + np.searchsorted(own[by], np.arange(len(centres) + 1))).tolist()

@@ -82,6 +82,13 @@ def test_empty_table(spark):
     assert not mined(spark.createDataFrame([], SCHEMA), 10)
 
 
+@pytest.mark.parametrize("rows", [[[0, 0]] * 500, [[3, -4]] * 500, [[3, -4]] * 300 + [[3, -5]] * 300, [[0, 0]] * 300 + [[1, 0]], [[1, 1, 1]] * 200 + [[0, 0, 0]]])
+def test_copies_make_large_leaves(rows):
+    x = np.array(rows, float)
+    tree = hn.cover_tree(x, float(np.sqrt((x * x).sum(axis=1).max())))
+    assert sorted(tree["order"]) == list(range(len(x))) and tree["last"].max() == len(x)
+
+
 def test_nodes_cover_their_rows_and_bounds_hold():
     rng = np.random.default_rng(1)
     x = np.floor(rng.normal(0, 60, (700, 10)))
