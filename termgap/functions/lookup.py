@@ -37,11 +37,15 @@ class HashTable:
         if len(self.text.encode()) > MAX_LITERAL_BYTES:
             raise ValueError(f"a table in the plan holds at most {MAX_LITERAL_BYTES} bytes; join it instead")
 
+    def _slot(self, key: Column) -> Column:
+        return F.get(F.split(F.lit(self.text), SLOT), F.pmod(F.crc32(key), F.lit(self.slots)).cast("int"))
+
+    def has(self, key: Column) -> Column:
+        return F.contains(self._slot(key), F.concat(F.lit(ENTRY), key, F.lit(VALUE)))
+
     def get(self, key: Column) -> Column:
         """The key's value, null if the table does not have it."""
-        slot = F.get(F.split(F.lit(self.text), SLOT), F.pmod(F.crc32(key), F.lit(self.slots)).cast("int"))
-        named = F.concat(F.lit(ENTRY), key, F.lit(VALUE))
-        found = bind(F.struct(slot.alias("slot"), named.alias("key")), _entry)
+        found = bind(F.struct(self._slot(key).alias("slot"), F.concat(F.lit(ENTRY), key, F.lit(VALUE)).alias("key")), _entry)
         return found if self.text else F.lit(None).cast("string")
 
 

@@ -21,6 +21,7 @@ class Params:
     cloud_terms: int = 50
     entities_per_label: int = 15
     min_entity_chars: int = 3
+    max_listed_surfaces: int = 200_000
     terms_per_cluster: int = 10
     max_clusters: int = 5
     cluster_rounds: int = 300

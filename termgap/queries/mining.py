@@ -56,18 +56,17 @@ def t7(spark, sf):
 
 @query("a8_entity_totals", with_("SELECT query_id, folded, label, n FROM entity_totals"))
 def a8(spark, sf):
-    return entities.entity_totals(per_page(spark, sf))
+    return entities.entity_totals(entities.seen_entities(per_page(spark, sf)))
 
 
 @query("j8_first_spelling", with_("SELECT query_id, folded, surface FROM spellings"))
 def j8(spark, sf):
-    return entities.first_spellings(per_page(spark, sf))
+    return entities.first_spellings(entities.seen_entities(per_page(spark, sf)))
 
 
 @query("a9_named_totals", with_("SELECT query_id, label, surface, n FROM named_totals"))
 def a9(spark, sf):
-    found = per_page(spark, sf)
-    return entities.named_totals(entities.entity_totals(found), entities.first_spellings(found))
+    return entities.named_totals(entities.seen_entities(per_page(spark, sf)))
 
 
 @query("t5_top_entities", with_("SELECT * FROM entities"))

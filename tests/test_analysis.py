@@ -128,6 +128,47 @@ def test_entities_of_any_length_and_with_punctuation(spark):
     ]
 
 
+def _plain_matches(texts, surfaces):
+    """Longest first, then earliest, by comparing every span of every text."""
+    import re
+
+    out = []
+    core = {re.sub(r"^\W+|\W+$", "", s): s for s in sorted(surfaces)}
+    for k, text in enumerate(texts):
+        found = [(m.start(), m.end()) for m in re.finditer(r"\w+", text or "")]
+        hits = []
+        for i, (a, _) in enumerate(found):
+            for j in range(i, len(found)):
+                span = re.sub(r"\s+", " ", text[a : found[j][1]])
+                if span in core:
+                    hits.append((-(j - i + 1), i, core[span]))
+        kept = []
+        for n, i, s in sorted(hits):
+            if all(i - n <= b or b - m <= i for m, b, _ in kept):
+                kept.append((n, i, s))
+        out += [(k, i, -n, s) for n, i, s in kept]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("listed", [200_000, 0])
+def test_entities_as_a_plain_search_finds_them(spark, listed):
+    import random
+    from dataclasses import replace
+
+    from termgap.params import DEFAULT
+
+    rng = random.Random(8)
+    words = ["Aba", "Bab", "Caca", "Dada", "Eee"]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    long = some(30)
+    surfaces = {some(rng.choice((1, 2, 2, 3, 4, 5, 7))) for _ in range(40)} | {long, long + " Eee", "(Caca-Dada)", "Bab, Bab"}
+    surfaces = {s for s in surfaces if s not in ("Eee",)}
+    texts = [some(rng.randrange(60)) for _ in range(30)] + [f"Aba {long} Eee Bab", long.replace(" ", " \n\t"), "Caca-Dada Bab,  Bab", None, "", long[:-1]]
+    gaz = spark.createDataFrame([("de", s, "ORG") for s in surfaces], "lang STRING, surface STRING, label STRING")
+    got = entities.entity_matches(docs(spark, texts), gaz, replace(DEFAULT, max_listed_surfaces=listed)).collect()
+    assert sorted((r.doc_ord, r.pos, r.words, r.surface) for r in got) == _plain_matches(texts, surfaces)
+
+
 def test_sentiment(spark):
     got = sentiment.page_sentiment(docs(spark, ["Das ist super!", "Das ist okay, wirklich.", "", "super", "   "]), resources(spark).polarity)
     rows = {r.doc_ord: (r.counted, r.sentiment) for r in got.collect()}
