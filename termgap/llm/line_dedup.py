@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termgap.llm.common import identified, is_blank, keep, let, shown_id, texts, words
+from termgap.session import lookup_side
 
 #: Jaccard 4/5, as integers: sizes differ by at most 5:4, and an overlap of 4/9 of both sizes is needed.
 NUM, DEN = 4, 5
@@ -82,13 +83,9 @@ ENTRY = (*LINE, "n", "pos", "bits0", "bits1")
 
 
 def _filed(first: DataFrame) -> DataFrame:
-    """A row (token, doc_id, h, line_no, entry e) for every prefix token of every line.
-
-    The filters drop nothing; a join would add them to one side, and the two sides would no longer share one shuffle.
-    """
-    rows = first.filter("n IS NOT NULL AND bits0 IS NOT NULL AND bits1 IS NOT NULL")
-    rows = rows.select(*LINE, "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
-    return rows.filter("token IS NOT NULL").withColumn("pos", F.col("pos") + 1).select("token", *LINE, F.struct(*ENTRY).alias("e"))
+    """A row (token, doc_id, h, line_no, entry e) for every prefix token of every line."""
+    rows = first.select(*LINE, "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
+    return rows.withColumn("pos", F.col("pos") + 1).select("token", *LINE, F.struct(*ENTRY).alias("e"))
 
 
 def _before(a: Column, b: Column) -> Column:
@@ -99,18 +96,26 @@ def _before(a: Column, b: Column) -> Column:
 def _candidates(filed: DataFrame) -> DataFrame:
     """An earlier line (c) that passes the filters for every line that has one in a group of its tokens: the earliest found.
 
-    The window compares a line with the group's first and the lines before it. A line that finds none there is joined
-    with its whole group, so that a group of near copies, in which nearly every line finds one, makes no pairs.
+    The window compares a line with the group's first and the lines before it. Only a line that finds none there in any
+    of its groups is joined with the whole of those that have more, so that a group of near copies, in which nearly every
+    line finds one, makes no pairs and is shuffled once.
     """
     group = Window.partitionBy("token").orderBy(*LINE)
     seen = F.array(F.first("e").over(group), *[F.lag("e", i).over(group) for i in range(1, BEFORE + 1)])
     a = filed.select("token", "e", F.row_number().over(group).alias("nth"), seen.alias("seen"))
     near = F.filter("seen", lambda c: c.isNotNull() & _before(F.col("e"), c) & _may_match(F.col("e"), c))
     a = a.select("token", "e", (F.col("nth") > BEFORE + 1).alias("more"), F.array_min(F.transform(near, lambda c: F.struct(*[c[x].alias(x) for x in LINE]))).alias("near"))
-    b = filed.select(F.col("token").alias("t"), F.col("e").alias("o"))
-    all_earlier = (F.col("token") == F.col("t")) & F.col("more") & F.col("near").isNull() & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o"))
-    found = a.join(b, all_earlier, "left").withColumn("c", F.coalesce("near", F.when(F.col("t").isNotNull(), F.struct(*[F.col(f"o.{x}").alias(x) for x in LINE]))))
-    return found.filter("c IS NOT NULL").groupBy(*[f"e.{x}" for x in LINE]).agg(F.min("c").alias("c"))
+    met = a.filter("near IS NOT NULL OR more").select(*[F.col(f"e.{x}") for x in LINE], "near", F.when(F.col("near").isNull(), F.struct("token", "e")).alias("open"))
+    met = keep(met, "met")
+    found = keep(met.filter("near IS NOT NULL").groupBy(*LINE).agg(F.min("near").alias("c")), "near")
+    left = keep(met.filter("near IS NULL").join(found, LINE, "left_anti").select("open.token", "open.e"), "open")
+    if not left.limit(1).count():
+        return found
+    tokens = keep(left.select("token").distinct(), "open-tokens")
+    b = filed.join(lookup_side(tokens), "token", "left_semi").select(F.col("token").alias("t"), F.col("e").alias("o"))
+    pairs = left.join(b, (F.col("token") == F.col("t")) & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o")))
+    more = pairs.groupBy(*[F.col(f"e.{x}").alias(x) for x in LINE]).agg(F.min(F.struct(*[F.col(f"o.{x}") for x in LINE])).alias("c"))
+    return found.unionByName(more)
 
 
 def _all_candidates(probes: DataFrame, first: DataFrame) -> DataFrame:
