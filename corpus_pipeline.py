@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termgap.llm import classifier, decontaminate, line_dedup, near_copies, packing
+from termgap.llm import classifier, decontaminate, line_dedup, packing, simhash
 from termgap.llm.common import keep
 
 
@@ -20,8 +20,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group connected by Jaccard 0.8 or more of five-word shingles, the one with the smallest doc_id."""
-    return near_copies.one_of_each(docs)
+    """One document of each group linked by SimHash (shingles of three words, two bits at most), the one with the smallest doc_id."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality classifier", quality_classifier),
     ("line dedup", line_deduplication),
-    ("near-dedup by Jaccard", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", best_fit_packing),
 ]
