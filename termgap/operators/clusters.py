@@ -24,19 +24,11 @@ def indexed_vocabulary(vocab: DataFrame) -> DataFrame:
     return vocab.select("query_id", "term", (F.row_number().over(by_term) - 1).alias("ix"))
 
 
-def page_vectors(scores: DataFrame, usable: DataFrame, indexed: DataFrame) -> DataFrame:
+def page_vectors(scored: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """``(query_id, doc_ord, cells, sq)`` for every usable page; a page without kept terms is a zero vector."""
-    cells = (
-        scores.join(lookup_side(indexed), ["query_id", "term"])
-        .groupBy("query_id", "doc_ord")
-        .agg(F.array_sort(F.collect_list(F.struct("ix", "score"))).alias("cells"))
-    )
-    return usable.select("query_id", "doc_ord").join(cells, ["query_id", "doc_ord"], "left").select(
-        "query_id",
-        "doc_ord",
-        F.coalesce("cells", F.array().cast("array<struct<ix:int,score:double>>")).alias("cells"),
-        F.when(F.col("cells").isNull(), 0.0).otherwise(1.0).alias("sq"),
-    )
+    cells = F.transform("scores", lambda s: F.struct(s["ix"].alias("ix"), s["score"].alias("score")))
+    usable = scored.where(F.col("n_tokens") >= params.min_page_tokens)
+    return usable.select("query_id", "doc_ord", cells.alias("cells"), F.when(F.size("scores") == 0, 0.0).otherwise(1.0).alias("sq"))
 
 
 def dense(centres: DataFrame, indexed: DataFrame) -> DataFrame:

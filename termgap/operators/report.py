@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termgap.functions.lookup import bind
 from termgap.functions.naming import short_url
+from termgap.operators.tfidf import vocabulary_rows
 from termgap.params import DEFAULT, Params
+from termgap.session import lookup_side
 
 COLUMNS = ("query_id", "section", "ord", "sub", "label", "value")
 
@@ -118,14 +121,17 @@ def page_summary_rows(page_top: DataFrame, sentiment: DataFrame, failed: DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def wide_scores(scores: DataFrame, pages: DataFrame, terms: list[str]) -> DataFrame:
-    """One row per page and one zero-filled column per term, in term order.
+def term_tables(scored: DataFrame, vocab: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """``(query_id, doc_ord, page, names, weights)``: the wide term table of every keyword.
 
-    ``terms`` is the capped vocabulary of one keyword (at most 200), so the pivot has a fixed number of columns. The
-    left join keeps pages without any kept term.
+    names are all kept terms of the keyword in order, weights their scores on the page, zero where it lacks them. Both
+    are positional, so keywords with different terms share one schema. Every usable page has a row.
     """
-    wide = scores.groupBy("query_id", "doc_ord").pivot("term", sorted(terms)).agg(F.first("score"))
-    return pages.select("query_id", "doc_ord", "url").join(wide, ["query_id", "doc_ord"], "left").fillna(0.0, sorted(terms))
+    usable = scored.where(F.col("n_tokens") >= params.min_page_tokens)
+    names = vocabulary_rows(vocab).select("query_id", "names")
+    weight = lambda at: lambda _, i: F.coalesce(F.get("scores", F.array_position(at, i).cast("int") - 1)["score"], F.lit(0.0))
+    dense = bind(F.transform("scores", lambda s: s["ix"]), lambda at: F.transform("names", weight(at)))
+    return usable.join(lookup_side(names), "query_id").select("query_id", "doc_ord", F.col("url").alias("page"), "names", dense.alias("weights"))
 
 
 def records(df: DataFrame) -> DataFrame:

@@ -1,20 +1,24 @@
 """TF-IDF over one- and two-word terms, grouped by keyword.
 
 Term counts come out of the scan stage already aggregated per page. Document frequencies are partially aggregated per
-task before they meet. The vocabulary is capped per keyword, and joined back on (query_id, term), which spreads one
-very large keyword over all tasks.
+task before they meet. The capped vocabulary of a keyword is one row with a hash table of its terms; a page meets it by
+``query_id`` and prunes, weights and ranks its terms inside the row, so terms of pages are never rows of a shuffle. A very
+large keyword is a skewed join of page rows, which AQE splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termgap.functions.lookup import bind
 from termgap.functions.text import with_term_counts
 from termgap.params import DEFAULT, Params
 from termgap.session import lookup_side
 
 PAGE_MARK = ""
+#: Slots of a keyword's hash table; a vocabulary has fewer entries, so a slot holds one or two.
+SLOTS = 256
 
 
 def page_terms(tokens: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -32,44 +36,33 @@ def usable_counts(pages: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return pages.groupBy("query_id").agg(F.count_if(F.col("n_tokens") >= params.min_page_tokens).alias("n_pages"))
 
 
-def document_frequency(counts: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Pages and total count per term, terms on fewer than ``min_df`` pages dropped."""
+def term_frequency(pages: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """``(query_id, term, df, ctf)``: pages and total count per term, terms on fewer than ``min_df`` pages dropped.
+
+    Every page with terms also counts once under the empty term, so the number of usable pages comes out of the same
+    aggregation as the document frequencies: the texts are tokenised once and nothing is joined.
+    """
+    page_mark = F.array(F.struct(F.lit(PAGE_MARK).alias("term"), F.lit(1).cast("bigint").alias("tf")))
+    marked = pages.select("query_id", F.inline_outer(F.concat(page_mark, "terms")))
     return (
-        counts.groupBy("query_id", "term")
+        marked.where(F.col("term").isNotNull())
+        .groupBy("query_id", "term")
         .agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-        .where(F.col("df") >= params.min_df)
-    )
-
-
-def cap_vocabulary(frequency: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """The ``max_features`` most frequent terms of each keyword (ties: term ascending)."""
-    by_count = Window.partitionBy("query_id").orderBy(F.desc("ctf"), "term")
-    return frequency.withColumn("vocab_rank", F.row_number().over(by_count)).where(
-        F.col("vocab_rank") <= params.max_features
+        .where((F.col("term") == PAGE_MARK) | (F.col("df") >= params.min_df))
     )
 
 
 def vocabulary(pages: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """``(query_id, term, df, ctf, vocab_rank, idf)`` with smoothed idf.
+    """``(query_id, term, df, ctf, vocab_rank, idf)``: the ``max_features`` most frequent terms, with smoothed idf.
 
-    Every usable page also counts once under the empty term, so the number of usable pages comes out of the same
-    aggregation as the document frequencies: the texts are tokenised once and nothing is joined. The empty term is
-    ranked first and leaves again once its count has been read.
+    The empty term is ranked first and leaves again once its count has been read.
     """
-    page_mark = F.array(F.struct(F.lit(PAGE_MARK).alias("term"), F.lit(1).cast("bigint").alias("tf")))
-    marked = pages.select("query_id", F.inline_outer(F.concat(page_mark, "terms")))
     is_mark = F.col("term") == PAGE_MARK
-    frequency = (
-        marked.where(F.col("term").isNotNull())
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-        .where(is_mark | (F.col("df") >= params.min_df))
-    )
     by_count = Window.partitionBy("query_id").orderBy(F.desc(is_mark), F.desc("ctf"), "term")
     keyword = Window.partitionBy("query_id")
     return (
         # the limit is on the bare row number: only then does each task keep no more rows of a keyword than that
-        frequency.withColumn("_nth", F.row_number().over(by_count))
+        term_frequency(pages, params).withColumn("_nth", F.row_number().over(by_count))
         .where(F.col("_nth") <= params.max_features + 1)
         .withColumn("vocab_rank", F.col("_nth") - 1)
         .withColumn("_pages", F.max(F.when(is_mark, F.col("df"))).over(keyword))
@@ -79,27 +72,67 @@ def vocabulary(pages: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def tfidf(pages: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(query_id, doc_ord, term, tf, score)``: weights scaled to unit length over the kept terms of the page.
+def _slot(term: Column) -> Column:
+    return F.pmod(F.hash(term), F.lit(SLOTS))
+
 
-    Stage ``vocab`` first if you can: a written table has an exact size, so it is broadcast whenever it is small.
+def vocabulary_rows(vocab: DataFrame) -> DataFrame:
+    """``(query_id, names, slots)``: the terms of a keyword in order, and a hash table of (term, ix, idf, df)."""
+    listed = vocab.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf", "df"))).alias("_v"))
+    numbered = F.transform("_v", lambda v, i: F.struct(v["term"].alias("term"), i.alias("ix"), v["idf"].alias("idf"), v["df"].alias("df"), _slot(v["term"]).alias("slot")))
+    slots = bind(numbered, lambda v: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.filter(v, lambda e: e["slot"] == s)))
+    return listed.select("query_id", F.transform("_v", lambda v: v["term"]).alias("names"), slots.alias("slots"))
+
+
+def _kept(terms: Column, slots: Column) -> Column:
+    """(term, tf, e) of a page's terms that the vocabulary has, e being its entry."""
+    entry = lambda term: F.get(F.filter(F.get(slots, _slot(term)), lambda e: e["term"] == term), F.lit(0))
+    return F.filter(F.transform(terms, lambda x: F.struct(x["term"].alias("term"), x["tf"].alias("tf"), entry(x["term"]).alias("e"))), lambda y: y["e"].isNotNull())
+
+
+def kept_counts(pages: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(query_id, doc_ord, term, tf, df)`` of the terms in the vocabulary."""
+    joined = pages.join(lookup_side(vocabulary_rows(vocab)), "query_id")
+    rows = joined.select("query_id", "doc_ord", F.inline(_kept(F.col("terms"), F.col("slots"))))
+    return rows.select("query_id", "doc_ord", "term", "tf", "e.df")
+
+
+def page_scores(pages: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The pages with ``scores`` in place of their terms: (ix, term, tf, score) in term order, scaled to unit length.
+
+    ix is the term's place in the keyword's vocabulary in term order. Pages without any kept term have none. Stage
+    ``vocab`` first if you can: a written table has an exact size, so it is broadcast whenever it is small.
     """
-    weighted = (
-        term_counts(pages)
-        .join(lookup_side(vocab.select("query_id", "term", "idf")), ["query_id", "term"])
-        .withColumn("_weight", F.col("tf") * F.col("idf"))
-    )
-    page = Window.partitionBy("query_id", "doc_ord")
-    norm = F.sqrt(F.sum(F.col("_weight") * F.col("_weight")).over(page))
-    return weighted.select("query_id", "doc_ord", "term", "tf", (F.col("_weight") / norm).alias("score"))
 
+    def scaled(kept: Column) -> Column:
+        weight = lambda y: y["tf"] * y["e"]["idf"]
+        norm = F.sqrt(F.aggregate(kept, F.lit(0.0), lambda total, y: total + weight(y) * weight(y)))
+        score = lambda n: F.transform(kept, lambda y: F.struct(y["e"]["ix"].alias("ix"), y["term"].alias("term"), y["tf"].alias("tf"), (weight(y) / n).alias("score")))
+        return bind(norm, score)
 
-def page_top_terms(scores: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    joined = pages.join(lookup_side(vocabulary_rows(vocab).select("query_id", "slots")), "query_id", "left")
+    none = F.array().cast("array<struct<ix:int,term:string,tf:bigint,score:double>>")
+    scores = F.coalesce(bind(_kept(F.col("terms"), F.col("slots")), scaled), none).alias("scores")
+    return joined.select(*[c for c in pages.columns if c != "terms"], scores)
+
+
+def score_rows(scored: DataFrame) -> DataFrame:
+    """A row for each kept term of each page."""
+    return scored.select("query_id", "doc_ord", *[c for c in ("url",) if c in scored.columns], F.inline("scores")).drop("ix")
+
+
+def tfidf(pages: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(query_id, doc_ord, term, tf, score)``."""
+    return score_rows(page_scores(pages, vocab))
+
+
+def page_top_terms(scored: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Best terms of each page above the score threshold; ties at nine decimals go by term."""
-    by_score = Window.partitionBy("query_id", "doc_ord").orderBy(F.desc(F.round("score", 9)), "term")
-    return scores.withColumn("rank", F.row_number().over(by_score)).where(
-        (F.col("rank") <= params.page_terms) & (F.col("score") > params.min_score)
-    )
+    ordered = F.array_sort(F.transform("scores", lambda s: F.struct((-F.round(s["score"], 9)).alias("o"), s["term"].alias("term"), s["score"].alias("score"))))
+    best = F.posexplode(F.slice(ordered, 1, params.page_terms)).alias("_pos", "_t")
+    keys = ["query_id", "doc_ord", *[c for c in ("url",) if c in scored.columns]]
+    rows = scored.select(*keys, best).select(*keys, (F.col("_pos") + 1).alias("rank"), "_t.term", "_t.score")
+    return rows.where(F.col("score") > params.min_score)
 
 
 def term_means(page_top: DataFrame) -> DataFrame:

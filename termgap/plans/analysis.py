@@ -27,8 +27,8 @@ def term_gap(
     it and once more for the weights, which moves less data than writing all term counts.
     """
     pages = tfidf.page_terms(page_tokens(spread(docs, "query_id", "doc_ord"), resources, params), params)
-    scores = tfidf.tfidf(pages, staging.keep(tfidf.vocabulary(pages, params), "vocabulary"))
-    top = tfidf.top_terms(tfidf.term_means(tfidf.page_top_terms(scores, params)), params)
+    scored = tfidf.page_scores(pages, staging.keep(tfidf.vocabulary(pages, params), "vocabulary"))
+    top = tfidf.top_terms(tfidf.term_means(tfidf.page_top_terms(scored, params)), params)
     own = gap.reference_tokens(references, resources, params)
     missing = gap.is_missing(F.col("term"), F.col("ref_norm"), F.col("ref_tokens"))
     return top.join(own, "query_id", "left").select(
@@ -50,18 +50,19 @@ def analyze(
     Optional stages run for the keywords whose request has the flag set.
     """
     docs = spread(docs, "query_id", "doc_ord")
-    pages = staging.keep(tfidf.page_terms(page_tokens(docs, resources, params, carry=("url",)), params), "page_terms")
-    usable = pages.where(F.col("n_tokens") >= params.min_page_tokens).select("query_id", "doc_ord", "url")
-    page_key = usable.select("query_id", "doc_ord")
+    carry = ("url", *[flag for flag in FLAGS if flag in docs.columns])
+    pages = staging.keep(tfidf.page_terms(page_tokens(docs, resources, params, carry=carry), params), "page_terms")
+    page_key = pages.where(F.col("n_tokens") >= params.min_page_tokens).select("query_id", "doc_ord")
     vocab = staging.keep(tfidf.vocabulary(pages, params), "vocabulary")
-    scores = staging.keep(tfidf.tfidf(pages, vocab), "scores")
-    page_top = tfidf.page_top_terms(scores, params)
+    scored = staging.keep(tfidf.page_scores(pages, vocab), "scores")
+    page_top = tfidf.page_top_terms(scored, params)
     top = staging.keep(tfidf.top_terms(tfidf.term_means(page_top), params), "top_terms")
     out = {
         "usable": tfidf.usable_counts(pages, params),
         "vocabulary": vocab,
-        "tfidf": scores.join(usable, ["query_id", "doc_ord"]),
-        "page_terms": page_top.join(usable, ["query_id", "doc_ord"]),
+        "tfidf": tfidf.score_rows(scored),
+        "term_table": report.term_tables(scored, vocab, params),
+        "page_terms": page_top,
         "top_terms": top,
         "missing": gap.missing_terms(top, gap.reference_tokens(references, resources, params)),
         "cloud": tfidf.cloud_weights(top, params),
@@ -77,8 +78,7 @@ def analyze(
     out["overall_sentiment"] = sentiment.overall_sentiment(out["sentiment"])
 
     indexed = staging.keep(cl.indexed_vocabulary(vocab), "indexed_vocabulary")
-    wanted = status.enabled(usable, requests, "cluster")
-    vectors = staging.keep(cl.page_vectors(scores, wanted, indexed), "page_vectors")
+    vectors = staging.keep(cl.page_vectors(status.enabled(scored, requests, "cluster"), params), "page_vectors")
     assigned, centres = cl.fit(vectors, indexed, staging, params)
     out["assigned"] = assigned.select("query_id", "doc_ord", "cluster", "d2")
     out["clusters"] = cl.cluster_terms(centres, indexed, params)

@@ -118,8 +118,7 @@ def vectors(spark, sf):
     found = staging.keep(terms.pages(spark, sf), "page_terms")
     vocab = staging.keep(tfidf.vocabulary(found), "vocabulary")
     indexed = staging.keep(cl.indexed_vocabulary(vocab), "indexed")
-    usable = found.where(F.col("n_tokens") >= DEFAULT.min_page_tokens)
-    return staging.keep(cl.page_vectors(tfidf.tfidf(found, vocab), usable, indexed), "vectors"), indexed, staging
+    return staging.keep(cl.page_vectors(tfidf.page_scores(found, vocab)), "vectors"), indexed, staging
 
 
 FIRST_STEP = """

@@ -224,7 +224,7 @@ def c15_questions(spark, sf):
 def report_parts(spark, sf):
     staging = Staging(spark)
     found = staging.keep(terms.pages(spark, sf, carry=("url",)), "page_terms")
-    page_top = staging.keep(tfidf.page_top_terms(tfidf.tfidf(found, staging.keep(tfidf.vocabulary(found), "vocabulary"))), "page_top")
+    page_top = staging.keep(tfidf.page_top_terms(tfidf.page_scores(found, staging.keep(tfidf.vocabulary(found), "vocabulary"))), "page_top")
     top = staging.keep(tfidf.top_terms(tfidf.term_means(page_top)), "top_terms")
     tone = staging.keep(mining.tone(spark, sf), "tone")
     return {
@@ -235,7 +235,7 @@ def report_parts(spark, sf):
         "overall_sentiment": sentiment.overall_sentiment(tone),
         "sentiment": tone,
         "questions": keyword_questions(spark, sf),
-        "page_terms": page_top.join(found.select("query_id", "doc_ord", "url"), ["query_id", "doc_ord"]),
+        "page_terms": page_top,
         "failed": inputs.w5(spark, sf),
     }
 
@@ -295,8 +295,8 @@ def w2(spark, sf):
     SELECT 'csv' AS format, query_id, count(*) AS n FROM scores GROUP BY ALL
     UNION ALL SELECT 'html', query_id, count(*) FROM top GROUP BY ALL"""))
 def w7(spark, sf):
-    weights = Staging(spark).keep(terms.scores(spark, sf), "scores")
-    top = tfidf.top_terms(tfidf.term_means(tfidf.page_top_terms(weights)))
+    scored = Staging(spark).keep(terms.scored(spark, sf)[0], "scores")
+    weights, top = tfidf.score_rows(scored), tfidf.top_terms(tfidf.term_means(tfidf.page_top_terms(scored)))
     count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("format"), "query_id", "n")
     return count(weights, "csv").unionByName(count(top, "html"))
 

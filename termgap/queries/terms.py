@@ -11,8 +11,9 @@ from termgap.plans.analysis import term_gap
 from termgap.queries import tables as t
 from termgap.queries.registry import query
 from termgap.queries.sql import with_
-from termgap.session import Staging, lookup_side
-from termgap.sources.resources import POLARITY, default_resources
+from termgap.session import Staging
+from termgap.sinks import writers
+from termgap.sources.resources import default_resources
 
 
 def tokens(spark, sf, carry=()):
@@ -27,14 +28,19 @@ def vocab(spark, sf):
     return tfidf.vocabulary(pages(spark, sf))
 
 
+def scored(spark, sf, carry=()):
+    """Pages with their scores, and the vocabulary. It is staged; the folder outlives the call, as the caller runs the query."""
+    found = pages(spark, sf, carry)
+    kept = Staging(spark).keep(tfidf.vocabulary(found), "vocabulary")
+    return tfidf.page_scores(found, kept), kept
+
+
 def scores(spark, sf):
-    """The vocabulary is staged; the folder outlives the call, as the caller runs the query."""
-    found = pages(spark, sf)
-    return tfidf.tfidf(found, Staging(spark).keep(tfidf.vocabulary(found), "vocabulary"))
+    return tfidf.score_rows(scored(spark, sf)[0])
 
 
 def page_top(spark, sf):
-    return tfidf.page_top_terms(scores(spark, sf))
+    return tfidf.page_top_terms(scored(spark, sf)[0])
 
 
 def top(spark, sf):
@@ -91,14 +97,12 @@ def a1(spark, sf):
 
 @query("a2_document_frequency", with_("SELECT query_id, term, df, ctf FROM frequency"))
 def a2(spark, sf):
-    return tfidf.document_frequency(tfidf.term_counts(pages(spark, sf)))
+    return tfidf.term_frequency(pages(spark, sf)).where(F.col("term") != tfidf.PAGE_MARK)
 
 
 @query("a3_vocabulary_cap", with_("SELECT query_id, term, ctf, CAST(vocab_rank AS INTEGER) AS vocab_rank FROM vocab"))
 def a3(spark, sf):
-    return tfidf.cap_vocabulary(tfidf.document_frequency(tfidf.term_counts(pages(spark, sf)))).select(
-        "query_id", "term", "ctf", "vocab_rank"
-    )
+    return vocab(spark, sf).select("query_id", "term", "ctf", "vocab_rank")
 
 
 @query("t2_vocabulary_size", with_("SELECT query_id, count(*) AS terms, CAST(min(ctf) AS BIGINT) AS least FROM vocab GROUP BY 1"))
@@ -115,8 +119,7 @@ def a4(spark, sf):
     SELECT c.query_id, c.doc_ord, c.term, c.tf, v.df FROM counts c JOIN vocab v ON v.query_id = c.query_id AND v.term = c.term"""))
 def j3(spark, sf):
     found = pages(spark, sf)
-    kept = Staging(spark).keep(tfidf.vocabulary(found), "vocabulary").select("query_id", "term", "df")
-    return tfidf.term_counts(found).join(lookup_side(kept), ["query_id", "term"])
+    return tfidf.kept_counts(found, Staging(spark).keep(tfidf.vocabulary(found), "vocabulary"))
 
 
 @query("a5_unit_length", with_("""
@@ -198,47 +201,42 @@ def t9(spark, sf):
     return top(spark, sf).where(F.col("rank") <= 50).select("query_id", "rank", "term")
 
 
-@query("w1_term_table", with_("""
-    SELECT s.query_id, p.url, s.term, round(s.score, 6) AS score FROM scores s
-    JOIN page_sizes p ON p.query_id = s.query_id AND p.doc_ord = s.doc_ord"""))
-def w1(spark, sf):
-    found = pages(spark, sf, carry=("url",))
-    weights = tfidf.tfidf(found, Staging(spark).keep(tfidf.vocabulary(found), "vocabulary"))
-    return weights.join(found.select("query_id", "doc_ord", "url"), ["query_id", "doc_ord"]).select(
-        "query_id", "url", "term", six("score")
-    )
+EVERY_CELL = """
+    SELECT p.query_id, p.doc_ord, p.url AS page, v.term, round(coalesce(s.score, 0), 6) AS score FROM page_sizes p
+    JOIN vocab v ON v.query_id = p.query_id
+    LEFT JOIN scores s ON s.query_id = p.query_id AND s.doc_ord = p.doc_ord AND s.term = v.term WHERE p.n_tokens >= 2"""
 
 
-# The wide table needs its column names ahead of time; these are the listed English and French polarity words.
-WIDE_TERMS = sorted({word for lang, word, _ in POLARITY if lang in ("en", "fr") and word.isascii()})
-WIDE_SUMS = ", ".join(f"round(coalesce(max(CASE WHEN s.term = '{w}' THEN s.score END), 0), 6) AS {w}" for w in WIDE_TERMS)
-WIDE = f"""SELECT p.query_id, p.doc_ord, p.page, {WIDE_SUMS} FROM (SELECT query_id, doc_ord, url AS page FROM page_sizes WHERE n_tokens >= 2) p
-    LEFT JOIN scores s ON s.query_id = p.query_id AND s.doc_ord = p.doc_ord GROUP BY ALL"""
+def term_table(spark, sf):
+    return report.term_tables(*scored(spark, sf, carry=("url",)))
 
 
-def wide(spark, sf):
-    found = pages(spark, sf, carry=("url",))
-    usable = found.where(F.col("n_tokens") >= 2)
-    kept = Staging(spark).keep(tfidf.vocabulary(found), "vocabulary")
-    table = report.wide_scores(tfidf.tfidf(found, kept), usable, WIDE_TERMS)
-    return table.select("query_id", "doc_ord", F.col("url").alias("page"), *[six(w) for w in WIDE_TERMS])
+@query("w1_term_table", with_(f"SELECT query_id, page, term, score FROM ({EVERY_CELL})"))
+def w1(spark, sf):
+    """The table written as CSV files and read back."""
+    path = f"{Staging(spark).root}/term_table"
+    writers.write_term_tables(term_table(spark, sf), path)
+    return writers.read_term_tables(spark, path).select("query_id", "page", "term", six("score"))
 
 
-@query("r4_long_to_wide", with_(WIDE))
+@query("r4_long_to_wide", with_(f"""
+    SELECT query_id, doc_ord, page, string_agg(printf('%.6f', score), ',' ORDER BY term) AS weights FROM ({EVERY_CELL}) GROUP BY ALL"""))
 def r4(spark, sf):
-    return wide(spark, sf)
+    shown = F.array_join(F.transform("weights", lambda w: F.format_string("%.6f", w)), ",")
+    return term_table(spark, sf).select("query_id", "doc_ord", "page", shown.alias("weights"))
 
 
-@query("r2_zero_fill", with_(f"""
-    SELECT query_id, doc_ord, {' + '.join(f'CAST({w} = 0 AS INTEGER)' for w in WIDE_TERMS)} AS zeros FROM ({WIDE})"""))
+@query("r2_zero_fill", with_(f"SELECT query_id, doc_ord, count(*) FILTER (score = 0) AS zeros, count(*) AS terms FROM ({EVERY_CELL}) GROUP BY ALL"))
 def r2(spark, sf):
-    zeros = sum((F.col(w) == 0).cast("int") for w in WIDE_TERMS)
-    return wide(spark, sf).select("query_id", "doc_ord", zeros.alias("zeros"))
+    size = lambda c: F.size(c).cast("bigint")
+    zeros = F.filter("weights", lambda w: F.round(w, 6) == 0)
+    return term_table(spark, sf).select("query_id", "doc_ord", size(zeros).alias("zeros"), size("weights").alias("terms"))
 
 
-@query("r3_key_column", with_("SELECT query_id, url AS page, CAST(n_tokens AS INTEGER) AS n_tokens FROM page_sizes"))
+@query("r3_key_column", with_(f"SELECT query_id, page, string_agg(term, ',' ORDER BY term) AS header FROM ({EVERY_CELL}) GROUP BY query_id, doc_ord, page"))
 def r3(spark, sf):
-    return tokens(spark, sf, carry=("url",)).withColumnRenamed("url", "page").select("query_id", "page", "n_tokens")
+    """The page's URL as the key column in front of the term columns."""
+    return term_table(spark, sf).select("query_id", "page", F.array_join("names", ",").alias("header"))
 
 
 @query("r5_records", with_("""

@@ -16,7 +16,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def _conf_bytes(spark: SparkSession, name: str) -> int:
-    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    value = spark.conf.get(name)
+    return -1 if value.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termgap.operators.report import records
@@ -26,10 +26,38 @@ def write_term_csv(scores: DataFrame, path: str, bom: bool = True, folders: bool
     _by_keyword(out, folders).option("header", True).mode("errorifexists").csv(path)
 
 
-def write_wide_csv(wide: DataFrame, path: str) -> None:
-    wide.drop("query_id", "doc_ord").withColumnRenamed("url", BOM + "url").write.option("header", True).mode(
-        "errorifexists"
-    ).csv(path)
+def _quoted(value: Column) -> Column:
+    """A CSV field: quoted if it has to be."""
+    return F.when(value.rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
+def write_term_tables(tables: DataFrame, path: str, key: str = "page", rows_per_file: int = 100_000) -> None:
+    """A wide CSV table for each keyword: the page, then a column for each of its kept terms, in order.
+
+    Tables with different columns can't share a schema, so they are written as lines. All rows of a file meet in one
+    task, the header first; a keyword with many pages has a file, with a header of its own, for each range of doc_ord.
+    """
+    part = F.floor(F.col("doc_ord") / rows_per_file)
+    values = F.concat(F.array(_quoted(F.col("page"))), F.transform("weights", lambda w: w.cast("string")))
+    lines = tables.select("query_id", part.alias("part"), F.lit(1).alias("_body"), "doc_ord", F.array_join(values, ",").alias("value"))
+    names = F.concat(F.array(F.lit(BOM + key)), F.transform("names", _quoted))
+    heads = tables.groupBy("query_id", part.alias("part")).agg(F.first("names").alias("names"))
+    heads = heads.select("query_id", "part", F.lit(0).alias("_body"), F.lit(None).cast("bigint").alias("doc_ord"), F.array_join(names, ",").alias("value"))
+    dealt = lines.unionByName(heads).repartition("query_id", "part").sortWithinPartitions("query_id", "part", "_body", "doc_ord")
+    dealt.select("query_id", "part", "value").write.partitionBy("query_id", "part").mode("errorifexists").text(path)
+
+
+def read_term_tables(spark: SparkSession, path: str, key: str = "page") -> DataFrame:
+    """``(query_id, page, term, score)`` of every cell of tables that ``write_term_tables`` wrote."""
+    field = r'^("(?:[^"]|"")*"|[^,]*)(?:,(.*))?$'
+    plain = lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    lines = spark.read.schema("value STRING, query_id STRING, part BIGINT").text(path)
+    is_head = F.col("value").rlike(f"^{BOM}?{key}(,|$)")  # the reader drops the mark of a file's start; no URL reads like that
+    heads = lines.where(is_head).select("query_id", "part", F.slice(F.split("value", ","), 2, 2**31 - 1).alias("names"))
+    first = F.regexp_extract("value", field, 1)
+    rows = lines.where(~is_head).select("query_id", "part", plain(first).alias("page"), F.split(F.regexp_extract("value", field, 2), ",").alias("weights"))
+    cells = F.arrays_zip(F.col("names").alias("term"), F.col("weights").alias("score"))
+    return rows.join(heads, ["query_id", "part"]).select("query_id", "page", F.inline(cells)).select("query_id", "page", "term", F.col("score").cast("double").alias("score"))
 
 
 def write_summary(summary: DataFrame, page_parts: DataFrame, path: str, folders: bool = False) -> None:
@@ -89,6 +117,7 @@ def write_outputs(out: dict[str, DataFrame], path: str, run_at, output_format: s
 
     if output_format in ("csv", "all"):
         put("tfidf", write_term_csv, out["tfidf"], f"{path}/tfidf")
+        put("term_table", write_term_tables, out["term_table"], f"{path}/term_table")
     put("summary", write_summary, out["summary"], out["page_summary"], f"{path}/summary")
     put("context", write_context, out["context"], f"{path}/context", run_at)
     if output_format in ("html", "all"):

@@ -184,7 +184,7 @@ def test_clusters_against_brute_force(spark):
         pages = staging.keep(tfidf.page_terms(page_tokens(docs(spark, texts), Resources(STOP))), "p")
         vocab = staging.keep(tfidf.vocabulary(pages), "v")
         indexed = staging.keep(cl.indexed_vocabulary(vocab), "i")
-        vectors = staging.keep(cl.page_vectors(tfidf.tfidf(pages, vocab), pages, indexed), "x")
+        vectors = staging.keep(cl.page_vectors(tfidf.page_scores(pages, vocab)), "x")
         assigned, centres = cl.fit(vectors, indexed, staging, params)
         got = {r.doc_ord: r.cluster for r in assigned.collect()}
         width = indexed.count()
@@ -207,11 +207,43 @@ def test_clusters_against_brute_force(spark):
     assert {r["count"] for r in listed} == {10}
 
 
-def test_wide_table(spark):
-    pages = tfidf.page_terms(page_tokens(docs(spark, ["aaa bbb", "aaa bbb", "ccc ddd"]), Resources(STOP), carry=("url",)))
-    wide = report.wide_scores(tfidf.tfidf(pages, tfidf.vocabulary(pages)), pages, ["bbb", "aaa"])
-    assert wide.columns == ["query_id", "doc_ord", "url", "aaa", "bbb"]
-    assert wide.where("doc_ord = 2").select("aaa", "bbb").first() == (0.0, 0.0)
+def test_term_tables_as_files(spark, tmp_path):
+    from termgap.sinks import writers
+
+    df = docs(spark, ["aaa bbb", "aaa bbb bbb", "ccc ddd"]).withColumn("url", F.concat(F.lit('http://x/"a",'), "doc_ord"))
+    df = df.unionByName(df.withColumn("query_id", F.lit("other")).withColumn("text", F.lit("zzz zzz")))
+    pages = tfidf.page_terms(page_tokens(df, Resources(STOP), carry=("url",)))
+    vocab = tfidf.vocabulary(pages)
+    table = report.term_tables(tfidf.page_scores(pages, vocab), vocab)
+    rows = {(r.query_id, r.doc_ord): (r.names, r.weights) for r in table.collect()}
+    assert rows["q", 2] == (["aaa", "aaa bbb", "bbb"], [0.0, 0.0, 0.0]) and rows["other", 0][0] == ["zzz", "zzz zzz"]
+    assert len(rows) == 6
+    path = str(tmp_path / "tables")
+    writers.write_term_tables(table, path, rows_per_file=2)
+    files = sorted((tmp_path / "tables").glob("query_id=q/part=*/part-*"))
+    assert len(files) == 2 and all(f.read_text("utf-8").startswith("\ufeffpage,aaa,aaa bbb,bbb\n") for f in files)
+    got = {(r.query_id, r.page, r.term): r.score for r in writers.read_term_tables(spark, path).collect()}
+    want = {(q, f'http://x/"a",{d}', t): w for (q, d), (names, weights) in rows.items() for t, w in zip(names, weights)}
+    assert got == want
+
+
+def test_terms_are_not_shuffled(spark):
+    """Without broadcasts the pages meet their vocabulary by keyword; no exchange holds a term of a page."""
+    pages = tfidf.page_terms(page_tokens(docs(spark, ["aaa bbb", "aaa bbb"]), Resources(STOP)))
+    vocab = spark.createDataFrame([("q", "aaa", 2, 1.0)], "query_id STRING, term STRING, df BIGINT, idf DOUBLE")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        top = tfidf.page_top_terms(tfidf.page_scores(pages, vocab))
+        plan = top._jdf.queryExecution().executedPlan().toString()
+        assert top.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin" not in plan and "Window" not in plan
+    # one exchange for the pages and two for the vocabulary's row, which share its partitioning
+    assert 2 <= plan.count("Exchange hashpartitioning(query_id") <= 3 and "Exchange hashpartitioning(query_id#" in plan and "term#" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line
+    )
 
 
 def test_all_options(spark):
