@@ -71,15 +71,15 @@ def s3(spark, sf):
 def s4(spark, sf):
     from termgap.operators import reuse
 
-    live = reuse.well_formed(reuse.fresh(reuse.latest(t.cache(spark, sf)), F.expr(t.NOW)))
+    live = t.store(spark, sf).view().latest().where(reuse.is_fresh(F.expr(t.NOW)) & reuse.is_well_formed())
     return live.select("cache_type", "cache_key", "payload")
 
 
 @query("s5_legacy_snapshots", with_("""
     SELECT cache_key, CASE WHEN page_id % 11 = 0 THEN 'list_shaped' END AS reject_reason FROM cache WHERE cache_type = 'serp_v2'"""))
 def s5(spark, sf):
-    entries = t.cache(spark, sf).where(F.col("cache_type") == "serp_v2")
-    return entries.select("cache_key", F.when(~search.has_search_shape(F.col("payload")), "list_shaped").alias("reject_reason"))
+    _, newer = t.cache(spark, sf)
+    return newer.where(F.col("cache_type") == "serp_v2").select("cache_key", F.when(~search.has_search_shape(F.col("payload")), "list_shaped").alias("reject_reason"))
 
 
 @query("s6_language_resources", with_(f"""

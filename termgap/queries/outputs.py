@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termgap.operators import context, report, reuse, sentiment, status, tfidf
@@ -32,39 +35,39 @@ def k1(spark, sf):
     return t.payloads(spark, sf).select("query_id", key.alias("cache_key"))
 
 
-@query("k2_namespaces", with_("SELECT cache_type, count(*) AS entries, count(DISTINCT cache_key) AS keys FROM cache GROUP BY 1"))
+@query("k2_namespaces", with_("SELECT cache_type, count(*) AS entries, count(DISTINCT cache_key) AS keys FROM stored GROUP BY 1"))
 def k2(spark, sf):
-    return t.cache(spark, sf).groupBy("cache_type").agg(F.count("*").alias("entries"), F.countDistinct("cache_key").alias("keys"))
+    entries = t.store(spark, sf).view().entries()
+    return entries.groupBy("cache_type").agg(F.count("*").alias("entries"), F.countDistinct("cache_key").alias("keys"))
 
 
 @query("k3_fresh_entries", with_(f"""
-    SELECT page_id, cache_type, epoch({t.NOW}) - epoch(cached_at) < 604800 AS fresh, cache_key FROM cache"""))
+    SELECT cache_type, cache_key, CAST(epoch(cached_at) AS BIGINT) AS at FROM stored WHERE epoch({t.NOW}) - epoch(cached_at) < 604800"""))
 def k3(spark, sf):
-    entries = t.cache(spark, sf)
-    keys = ["page_id", "cache_type", "cache_key", "cached_at"]
-    fresh = reuse.fresh(entries, now()).select(*keys, F.lit(True).alias("_f"))
-    return entries.join(fresh, keys, "left").select("page_id", "cache_type", F.coalesce("_f", F.lit(False)).alias("fresh"), "cache_key")
+    fresh = t.store(spark, sf).view().entries().where(reuse.is_fresh(now()))
+    return fresh.select("cache_type", "cache_key", F.unix_timestamp("cached_at").alias("at"))
+
+
+def looked_up(spark, sf, use_cache=True):
+    return t.store(spark, sf).view().lookup(wanted_texts(spark, sf), reuse.TEXT_KIND, now(), use_cache=use_cache)
 
 
 @query("k4_hits_and_misses", with_(f"""
     SELECT w.page_id, w.cache_key, l.payload, l.cache_key IS NOT NULL AS hit FROM ({WANTED}) w
     LEFT JOIN live l ON l.cache_key = w.cache_key AND l.cache_type = 'text_v2'"""))
 def k4(spark, sf):
-    hits, misses = reuse.split_hits(wanted_texts(spark, sf), t.cache(spark, sf), now())
-    return hits.withColumn("hit", F.lit(True)).unionByName(
-        misses.select("*", F.lit(None).cast("string").alias("payload"), F.lit(False).alias("hit"))
-    )
+    return looked_up(spark, sf).select("page_id", "cache_key", "payload", F.col("payload").isNotNull().alias("hit"))
 
 
 @query("j11_cache_lookup", with_(f"""
     SELECT w.page_id FROM ({WANTED}) w WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.cache_key = w.cache_key)"""))
 def j11(spark, sf):
-    return reuse.split_hits(wanted_texts(spark, sf), t.cache(spark, sf), now())[1].select("page_id")
+    return looked_up(spark, sf).where(F.col("payload").isNull()).select("page_id")
 
 
 @query("k5_latest_entry", with_("SELECT cache_type, cache_key, payload, CAST(epoch(cached_at) AS BIGINT) AS at FROM latest"))
 def k5(spark, sf):
-    return reuse.latest(t.cache(spark, sf)).select("cache_type", "cache_key", "payload", F.unix_timestamp("cached_at").alias("at"))
+    return t.store(spark, sf).view().latest().select("cache_type", "cache_key", "payload", F.unix_timestamp("cached_at").alias("at"))
 
 
 @query("k6_stored_outcomes", with_("""
@@ -85,34 +88,63 @@ def k6(spark, sf):
 
 
 @query("w6_cache_entries", with_("""
-    SELECT 'text_v2' AS cache_type, count(*) AS entries FROM classified
-    UNION ALL SELECT 'serp_v2', count(*) FROM searches WHERE error IS NULL"""))
+    SELECT 'text_v2' AS cache_type, md5(lower('text_v2_' || url)) AS cache_key, text, error_code || coalesce(': ' || error_detail, '') AS reason FROM classified
+    UNION ALL SELECT DISTINCT 'serp_v2', md5(lower('serp_v2_' || query || '_' || num_results || '_' || language)), NULL, NULL FROM searches WHERE error IS NULL"""))
 def w6(spark, sf):
-    texts = reuse.text_entries(inputs.classified(spark, sf), now())
+    """Outcomes of a run saved in two commits and read back."""
+    kept = reuse.Store(spark, f"{Staging(spark).root}/store")
+    kept.save(reuse.text_entries(inputs.classified(spark, sf), now()))
     found = t.payloads(spark, sf).join(inputs.searches(spark, sf).select("query_id", "error"), "query_id")
-    return texts.unionByName(reuse.search_entries(found, now())).groupBy("cache_type").agg(F.count("*").alias("entries"))
+    kept.save(reuse.search_entries(found, now()))
+    is_text = F.col("cache_type") == reuse.TEXT_KIND
+    text, reason = reuse.stored_text(F.col("payload"))
+    return kept.view().latest().select("cache_type", "cache_key", F.when(is_text, text).alias("text"), F.when(is_text, reason).alias("reason"))
 
 
-@query("k7_invalidated", with_("""
-    SELECT cache_type, cache_key FROM cache WHERE cache_key NOT IN (
-        SELECT md5(lower('serp_v2_' || query || '_' || num_results || '_' || language)) FROM searches WHERE language = 'de')"""))
-def k7(spark, sf):
-    dropped = t.payloads(spark, sf).where(F.col("language") == "de")
-    return reuse.without_queries(t.cache(spark, sf), dropped).select("cache_type", "cache_key")
+GERMAN = "SELECT md5(lower('serp_v2_' || query || '_' || num_results || '_' || language)) FROM searches WHERE language = 'de'"
 
 
-@query("k8_cleared")
-def k8(spark, sf):
-    """Clear a stored copy of the cache and read it back."""
-    staging = Staging(spark)
-    staging.keep(t.cache(spark, sf), "cache")
-    reuse.clear(spark, f"{staging.root}/cache")
-    return reuse.read_cache(spark, f"{staging.root}/cache").groupBy().agg(F.count("*").alias("entries"))
+def german(spark, sf):
+    return t.payloads(spark, sf).where(F.col("language") == "de")
 
 
-@query("k9_bypass", with_(f"SELECT page_id, cache_key FROM ({WANTED})"))
+@query("k7_invalidated", with_(f"SELECT cache_type, cache_key FROM latest WHERE cache_key NOT IN ({GERMAN})"))
+def k7(spark, sf):
+    kept = t.store(spark, sf)
+    kept.invalidate(german(spark, sf))
+    return kept.view().latest().select("cache_type", "cache_key")
+
+
+@query("k8_cleared", with_(f"""
+    SELECT 1 AS step, 'save' AS action, cache_type, count(DISTINCT cache_key) AS keys FROM cache WHERE payload = '["old",null]' GROUP BY ALL
+    UNION ALL SELECT 2, 'save', cache_type, count(*) FROM latest GROUP BY ALL
+    UNION ALL SELECT 3, 'invalidate', cache_type, count(*) FROM latest WHERE cache_key NOT IN ({GERMAN}) GROUP BY ALL
+    UNION ALL SELECT 5, 'save', cache_type, count(DISTINCT cache_key) FROM cache WHERE payload = '["old",null]' GROUP BY ALL
+    UNION ALL SELECT 6, 'invalidate', cache_type, count(DISTINCT cache_key) FROM cache WHERE payload = '["old",null]' GROUP BY ALL
+    UNION ALL SELECT 7, 'save', cache_type, count(*) FROM latest GROUP BY ALL"""))
+def k8(spark, sf):
+    """Live keys of a store after each of its commits, read by version: the fourth clears it, so that step has no row."""
+    kept = t.store(spark, sf)
+    older, newer = t.cache(spark, sf)
+    kept.invalidate(german(spark, sf))
+    kept.clear()
+    kept.save(older.drop("page_id"))
+    kept.invalidate(german(spark, sf))
+    kept.save(newer.drop("page_id"))
+    states = [
+        kept.view(version).latest().groupBy("cache_type").agg(F.count("*").alias("keys")).select(F.lit(k).alias("step"), F.lit(action).alias("action"), "cache_type", "keys")
+        for k, (version, action) in enumerate(kept.commits(), 1)
+    ]
+    return reduce(DataFrame.unionByName, states)
+
+
+@query("k9_bypass", with_(f"""
+    SELECT w.page_id, l.cache_key IS NOT NULL AS hit, false AS hit_when_bypassed FROM ({WANTED}) w
+    LEFT JOIN live l ON l.cache_key = w.cache_key AND l.cache_type = 'text_v2'"""))
 def k9(spark, sf):
-    return reuse.split_hits(wanted_texts(spark, sf), t.cache(spark, sf), now(), use_cache=False)[1]
+    used = looked_up(spark, sf).select("page_id", F.col("payload").isNotNull().alias("hit"))
+    bypassed = looked_up(spark, sf, use_cache=False).select("page_id", F.col("payload").isNotNull().alias("hit_when_bypassed"))
+    return used.join(bypassed, "page_id")
 
 
 def overall_tone(spark, sf):

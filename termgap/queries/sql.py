@@ -293,6 +293,8 @@ RELATIONS = {
         SELECT page_id, 'serp_v2', md5(lower('serp_v2_' || {TITLE} || '_' || (page_id % 8 + 1) || '_' || {PAGE_LANG})),
                CASE WHEN page_id % 11 = 0 THEN '[{{"url":"' || url || '"}}]'
                     ELSE '{{"organic_results":[],"related_questions":[]}}' END, {t.NOW} - to_hours(page_id) FROM pages""",
+    "stored": """
+        SELECT * FROM cache QUALIFY row_number() OVER (PARTITION BY cache_type, cache_key, payload = '["old",null]' ORDER BY cached_at DESC) = 1""",
     "latest": """
         SELECT cache_type, cache_key, arg_max(payload, cached_at) AS payload, max(cached_at) AS cached_at
         FROM cache GROUP BY ALL""",

@@ -187,8 +187,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two entries per page: a page text stored again later, and a search entry that is sometimes list-shaped."""
+def cache(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Older and newer entries: page texts of which some were stored before, and a search entry that is sometimes list-shaped."""
     i = F.col("page_id")
     pages = read(spark, sf_dir, "pages")
     from termgap.operators.reuse import SEARCH_KIND, TEXT_KIND, search_key, text_key
@@ -214,4 +214,15 @@ def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit('{"organic_results":[],"related_questions":[]}')).alias("payload"),
         at.alias("cached_at"),
     )
-    return text.unionByName(older).unionByName(search)
+    return older, text.unionByName(search)
+
+
+def store(spark: SparkSession, sf_dir: str):
+    """A store with both, saved one after the other. Its folder outlives the call, as the caller runs the query."""
+    from termgap.operators.reuse import Store
+    from termgap.session import Staging
+
+    kept = Store(spark, f"{Staging(spark).root}/store")
+    for entries in cache(spark, sf_dir):
+        kept.save(entries.drop("page_id"))
+    return kept

@@ -1,10 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from termgap.operators import reuse
 from termgap.params import Params
-from termgap.schema import CACHE, CRAWL, PAYLOADS
+from termgap.schema import CRAWL, PAYLOADS
 from termgap.sources import pages, references, requests, search
 
 ORGANIC = [
@@ -113,31 +114,63 @@ def test_reference_files(spark, tmp_path):
     assert got["own.txt"] == "Größe\nzwei" and not got.get("empty.txt")
 
 
+NOW = "TIMESTAMP '2024-01-08 00:00:00'"
+
+
+def entries(spark, values):
+    return spark.sql(f"SELECT 'text_v2' AS cache_type, k AS cache_key, p AS payload, at AS cached_at FROM VALUES {values} AS t(k, p, at)")
+
+
 def test_freshness_latest_and_shape(spark, tmp_path):
-    rows = spark.sql("""
-        SELECT 'text_v2' AS cache_type, k AS cache_key, p AS payload, at AS cached_at FROM VALUES
-            ('new', '["a",null]', TIMESTAMP '2024-01-07 23:00:00'), ('new', '["older",null]', TIMESTAMP '2024-01-07 22:00:00'),
-            ('edge', '["a",null]', TIMESTAMP '2024-01-01 00:00:00'), ('just', '[null,"bad"]', TIMESTAMP '2024-01-01 00:00:01'),
-            ('shape', '["a"]', TIMESTAMP '2024-01-07 23:00:00') AS t(k, p, at)""")
-    reuse.save(rows, str(tmp_path / "cache"))
-    stored = reuse.read_cache(spark, str(tmp_path / "cache"))
-    wanted = spark.createDataFrame([(k,) for k in ("new", "edge", "just", "shape", "unknown")], "cache_key STRING")
-    now = F.expr("TIMESTAMP '2024-01-08 00:00:00'")
-    hits, misses = reuse.split_hits(wanted, stored, now)
-    assert {r.cache_key: r.payload for r in hits.collect()} == {"new": '["a",null]', "just": '[null,"bad"]'}
-    assert {r.cache_key for r in misses.collect()} == {"edge", "shape", "unknown"}
-    assert reuse.split_hits(wanted, stored, now, use_cache=False)[1].count() == 5
-    reuse.clear(spark, str(tmp_path / "cache"))
-    assert reuse.read_cache(spark, str(tmp_path / "cache")).count() == 0
-
-
-def test_invalidation_drops_the_search_only(spark):
-    searches = spark.createDataFrame([("k", 10, "de", "p", None), ("other", 10, "de", "p", None), ("bad", 1, "de", "p", "http: 500")],
+    store = reuse.Store(spark, str(tmp_path / "store"))
+    assert store.view().entries().count() == 0
+    first = store.save(entries(spark, """('new', '["older",null]', TIMESTAMP '2024-01-07 22:00:00'), ('new', '["older",null]', TIMESTAMP '2024-01-07 22:00:00')"""))
+    store.save(entries(spark, """
+        ('new', '["a",null]', TIMESTAMP '2024-01-07 23:00:00'), ('edge', '["a",null]', TIMESTAMP '2024-01-01 00:00:00'),
+        ('just', '[null,"bad"]', TIMESTAMP '2024-01-01 00:00:01'), ('shape', '["a"]', TIMESTAMP '2024-01-07 23:00:00')"""))
+    wanted = spark.createDataFrame([(k,) for k in ("new", "new", "edge", "just", "shape", "unknown")], "cache_key STRING")
+    looked = store.view().lookup(wanted, "text_v2", F.expr(NOW))
+    assert sorted((r.cache_key, r.payload or "") for r in looked.collect()) == [
+        ("edge", ""), ("just", '[null,"bad"]'), ("new", '["a",null]'), ("new", '["a",null]'), ("shape", ""), ("unknown", ""),
+    ]
+    assert store.view().lookup(wanted, "serp_v2", F.expr(NOW)).where("payload IS NOT NULL").count() == 0
+    assert store.view().lookup(wanted, "text_v2", F.expr(NOW), use_cache=False).where("payload IS NOT NULL").count() == 0
+    assert [r.payload for r in store.view(first).latest().collect()] == ['["older",null]']
+    store.clear()
+    assert store.view().latest().count() == 0 and store.view(first).latest().count() == 1
+
+
+def test_a_half_written_commit_is_not_read(spark, tmp_path):
+    store = reuse.Store(spark, str(tmp_path / "store"))
+    store.save(entries(spark, """('a', '["a",null]', TIMESTAMP '2024-01-07 22:00:00')"""))
+    seen = store.view()
+    entries(spark, """('b', '["b",null]', TIMESTAMP '2024-01-07 22:00:00')""").write.partitionBy("cache_type").parquet(f"{store.path}/entries/version=99")
+    assert [r.cache_key for r in store.view().latest().collect()] == ["a"]
+    store.save(entries(spark, """('a', '["newer",null]', TIMESTAMP '2024-01-07 23:00:00')"""))
+    assert [r.payload for r in seen.latest().collect()] == ['["a",null]']  # a view keeps its state
+    with pytest.raises(Exception):
+        store._commit(store.commits()[0][0], reuse.SAVE)
+
+
+def test_lookup_reads_keys_before_payloads(spark, tmp_path):
+    store = reuse.Store(spark, str(tmp_path / "store"))
+    store.save(entries(spark, """('a', '["a",null]', TIMESTAMP '2024-01-07 22:00:00')"""))
+    wanted = spark.createDataFrame([("a",)], "cache_key STRING")
+    plan = store.view().lookup(wanted, "text_v2", F.expr(NOW))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "GreaterThan(cached_at" in plan
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]  # the keys' scan also prunes the commits of the payloads'
+    assert ["payload" in line.split("Batched")[0] for line in scans].count(True) == 1 and scans
+    assert all("cache_type#" in line.split("PartitionFilters")[1] for line in scans)
+
+
+def test_invalidation_drops_the_search_only(spark, tmp_path):
+    searches = spark.createDataFrame([("k", 10, "de", "{}", None), ("k", 10, "de", "{}", None), ("other", 10, "de", "{}", None), ("bad", 1, "de", "{}", "http: 500")],
                                      "query STRING, num_results INT, language STRING, payload STRING, error STRING")
-    at = F.expr("TIMESTAMP '2024-01-08 00:00:00'")
-    cache = reuse.search_entries(searches, at)
-    assert cache.count() == 2
-    assert cache.schema.simpleString().replace("struct<", "").startswith("cache_type:string")
-    left = reuse.without_queries(cache, searches.where("query = 'k'")).collect()
-    assert len(left) == 1
-    assert CACHE.count(",") == 3
+    store = reuse.Store(spark, str(tmp_path / "store"))
+    store.save(reuse.search_entries(searches, F.expr(NOW)))
+    store.save(entries(spark, """('a', '["a",null]', TIMESTAMP '2024-01-07 22:00:00')"""))
+    assert store.view().latest().count() == 3
+    store.invalidate(searches.where("query = 'k'"))
+    assert store.view().latest().groupBy("cache_type").count().count() == 2 and store.view().latest().count() == 2
+    store.save(reuse.search_entries(searches, F.expr(NOW)))
+    assert store.view().latest().count() == 3
