@@ -34,6 +34,15 @@ def text_key(url: Column) -> Column:
     return content_key(F.lit(TEXT_KIND), url)
 
 
+def stored_outcomes(looked: DataFrame) -> DataFrame:
+    """``(url, text, error_code, error_detail)`` of page outcomes that a lookup found."""
+    text, reason = stored_text(F.col("payload"))
+    detail = F.when(F.contains(reason, F.lit(": ")), F.substring(reason, F.instr(reason, ": ") + 2, F.length(reason)))
+    return looked.where(F.col("payload").isNotNull()).select(
+        "url", text.alias("text"), F.substring_index(reason, ": ", 1).alias("error_code"), detail.alias("error_detail")
+    )
+
+
 def is_fresh(now: Column, params: Params = DEFAULT) -> Column:
     """Whether an entry is strictly younger than the time to live; a plain bound on the column, which scans can use."""
     return F.col("cached_at") > now - F.make_interval(secs=F.lit(params.cache_ttl_seconds))

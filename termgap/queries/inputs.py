@@ -11,6 +11,7 @@ from termgap.params import DEFAULT
 from termgap.queries import tables as t
 from termgap.queries.registry import query
 from termgap.queries.sql import lit, with_, with_main_text
+from termgap.session import Staging
 from termgap.sources import pages, references, requests, resources, search
 
 COUNT = "CAST(count(*) AS BIGINT)"
@@ -20,8 +21,13 @@ def classified(spark, sf):
     return pages.classify(t.crawl(spark, sf))
 
 
+def outcomes(spark, sf):
+    """Page outcomes, staged; the folder outlives the call, as the caller runs the query."""
+    return Staging(spark).keep(classified(spark, sf).select("url", "text", "error_code", "error_detail"), "classified")
+
+
 def attached(spark, sf):
-    return pages.attach_pages(t.results(spark, sf).withColumnRenamed("pos", "rank"), classified(spark, sf))
+    return pages.attach_pages(t.results(spark, sf).withColumnRenamed("pos", "rank"), outcomes(spark, sf))
 
 
 def searches(spark, sf):
@@ -194,7 +200,7 @@ def c16(spark, sf):
     from termgap.operators.tfidf import usable_counts
 
     found = searches(spark, sf)
-    texts = pages.attach_pages(organic(spark, sf), classified(spark, sf))
+    texts = pages.attach_pages(organic(spark, sf), outcomes(spark, sf))
     doc = tokens.page_tokens(t.docs(spark, sf), resources.default_resources(spark)).select(
         F.concat(F.lit("q"), F.col("doc_ord").cast("string")).alias("query_id"), "n_tokens"
     )
@@ -248,7 +254,7 @@ def a13(spark, sf):
     FROM accepted a JOIN classified c ON c.url = a.url WHERE c.error_code IS NOT NULL GROUP BY 1"""))
 def a14(spark, sf):
     kept = search.first_accepted(t.results(spark, sf), DEFAULT.max_results)
-    return status.joined_reasons(pages.failed_pages(pages.attach_pages(kept, classified(spark, sf))))
+    return status.joined_reasons(pages.failed_pages(pages.attach_pages(kept, outcomes(spark, sf))))
 
 
 @query("w5_failed_urls", with_("SELECT * FROM failed"))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termgap.operators import context, report, reuse, sentiment, status, tfidf
+from termgap.plans.analysis import run
 from termgap.queries import inputs, mining, terms
 from termgap.queries import tables as t
 from termgap.queries.registry import query
-from termgap.queries.sql import lit, with_
+from termgap.queries.sql import RUN, lit, with_
 from termgap.session import Staging
 from termgap.sinks.writers import context_text
 from termgap.sources.references import attach_references
+from termgap.sources.resources import default_resources
 
 
 def now():
@@ -188,7 +191,7 @@ def contexts(spark, sf):
     )
 
 
-CONTEXT = with_("""
+CONTEXT_SQL = """
     SELECT r.query_id, r.query,
            coalesce(a.v, 'Keine gefunden.') AS top_terms, coalesce(b.v, 'Keine (oder kein Referenztext vorhanden).') AS missing,
            'Keine Cluster gefunden.' AS clusters, coalesce(c.v, 'Keine relevanten Entitäten gefunden.') AS entities,
@@ -203,7 +206,8 @@ CONTEXT = with_("""
                    SELECT query_id, label, string_agg(surface || ' (' || n || 'x)', ', ' ORDER BY rank) AS v
                    FROM entities WHERE rank <= 5 GROUP BY ALL) GROUP BY 1) c ON c.query_id = r.query_id
     LEFT JOIN overall_tone d ON d.query_id = r.query_id
-    LEFT JOIN refs e ON e.query_id = r.query_id""")
+    LEFT JOIN refs e ON e.query_id = r.query_id"""
+CONTEXT = with_(CONTEXT_SQL)
 
 
 @query("c15_recommendation_context", CONTEXT)
@@ -272,25 +276,82 @@ def report_parts(spark, sf):
     }
 
 
-def _report_sql() -> str:
+def _sections(page_tops: str, questions: str, entities: str = "entities", tone: str = "tone", overall: str = "overall_tone") -> str:
     def part(name, ord_, sub, label, value, source):
         return f"SELECT query_id, {lit(name)} AS section, CAST({ord_} AS BIGINT) AS ord, CAST({sub} AS BIGINT) AS sub, {label} AS label, {value} AS value FROM {source}"
 
     url = inputs.URL70
     n = "CAST(round({}, 6) AS VARCHAR)"
-    page_urls = "(SELECT t.*, p.url FROM page_top t JOIN page_sizes p ON p.query_id = t.query_id AND p.doc_ord = t.doc_ord)"
-    asked = "(SELECT 'conv' || conv_id AS query_id, turn, text FROM conversations WHERE role = 'user')"
-    return with_(" UNION ALL ".join([
+    return " UNION ALL ".join([
         part("cloud", 0, 0, "word", n.format("weight"), "cloud"),
         part("top_terms", "rank", 0, "term", n.format("score"), "top"),
         part("missing", "rank", 0, "term", "NULL", "missing"),
-        part("entities", "rank", 0, "label || ': ' || surface", "CAST(n AS VARCHAR)", "entities"),
-        part("overall_sentiment", 0, 0, "NULL", n.format("sentiment"), "overall_tone"),
-        part("sentiment", "doc_ord", 0, url, n.format("sentiment"), "tone"),
-        part("questions", "turn", 0, "text", "NULL", asked),
-        part("page_terms", "doc_ord", "rank", url, "term", page_urls),
+        part("entities", "rank", 0, "label || ': ' || surface", "CAST(n AS VARCHAR)", entities),
+        part("overall_sentiment", 0, 0, "NULL", n.format("sentiment"), overall),
+        part("sentiment", "doc_ord", 0, url, n.format("sentiment"), tone),
+        part("questions", "pos", 0, "question", "NULL", questions),
+        part("page_terms", "doc_ord", "rank", url, "term", page_tops),
         part("failed", "rank", 0, url, "reason", "failed"),
-    ]))
+    ])
+
+
+PAGE_TOPS = "(SELECT t.*, p.url FROM page_top t JOIN page_sizes p ON p.query_id = t.query_id AND p.doc_ord = t.doc_ord)"
+
+
+def _report_sql() -> str:
+    asked = "(SELECT 'conv' || conv_id AS query_id, turn AS pos, text AS question FROM conversations WHERE role = 'user')"
+    return with_(_sections(PAGE_TOPS, asked))
+
+
+def _run_context() -> str:
+    """The context as rows, without its line of clusters."""
+    context = CONTEXT_SQL.replace("FROM entities WHERE", "FROM run_entities WHERE").replace("JOIN overall_tone", "JOIN run_overall")
+    context = context.replace("'Keine ''People Also Ask''-Fragen gefunden.' AS questions", "coalesce('  - ' || q.question, 'Keine ''People Also Ask''-Fragen gefunden.') AS questions")
+    parts = " UNION ALL ".join(
+        f"SELECT query_id, 'context', CAST(0 AS BIGINT), CAST(0 AS BIGINT), {lit(part)}, {part} FROM _context" for part in ("top_terms", "missing", "entities", "questions", "sentiment", "reference")
+    )
+    return parts.replace("_context", f"({context} LEFT JOIN questions q ON q.query_id = r.query_id)")
+
+
+@functools.cache
+def full_run(spark, sf):
+    """Every output of the whole run from requests, payloads and crawled pages, with a store of its own.
+
+    Queries of one session share it: it is staged, and its folder outlives the call, as the caller runs the query.
+    """
+    staging = Staging(spark)
+    kept = reuse.Store(spark, f"{staging.root}/store")
+    out = run(t.run_requests(spark, sf), t.run_payloads(spark, sf), t.crawl(spark, sf), t.run_references(spark, sf), default_resources(spark), staging, now(), store=kept)
+    return out | {"report": staging.keep(out["report"], "report"), "runs": staging.keep(out["runs"], "runs"), "store": kept}
+
+
+@query("m2_full_run", with_(
+    _sections(PAGE_TOPS, "questions", "run_entities", "run_tone", "run_overall").replace(" AS section", " AS part")
+    + " UNION ALL SELECT query_id, 'status', 0, 0, coalesce(error, 'ok'), NULL FROM run_state UNION ALL " + _run_context(), RUN))
+def m2_full(spark, sf):
+    """All sections of the report and every keyword's status; the clusters, which SQL can't repeat, are a query of their own."""
+    out = full_run(spark, sf)
+    rows = out["report"].where("section <> 'clusters' AND NOT (section = 'context' AND label = 'clusters')").withColumnRenamed("section", "part")
+    zero = F.lit(0).cast("bigint")
+    state = out["runs"].select("query_id", F.lit("status").alias("part"), zero.alias("ord"), zero.alias("sub"), F.coalesce("error", F.lit("ok")).alias("label"), F.lit(None).cast("string").alias("value"))
+    return rows.unionByName(state)
+
+
+@query("m2_full_run_clusters")
+def m2_clusters(spark, sf):
+    """The clusters of the whole run, as the report and the context show them."""
+    return full_run(spark, sf)["report"].where("section = 'clusters' OR (section = 'context' AND label = 'clusters')").withColumnRenamed("section", "part")
+
+
+@query("m2_second_run", with_("""
+    SELECT 'search' AS kind, count(*) FILTER (WHERE k % 11 <> 10) AS hits, count(*) FILTER (WHERE k % 11 = 10) AS misses FROM requests
+    UNION ALL SELECT 'page', count(*) FILTER (WHERE c.url IS NOT NULL), count(*) FILTER (WHERE c.url IS NULL)
+    FROM (SELECT DISTINCT url FROM run_results) r LEFT JOIN classified c ON c.url = r.url""", RUN))
+def m2_second(spark, sf):
+    """What a second run finds stored: all searches but the failed ones, and every page that was crawled."""
+    staging, store = Staging(spark), full_run(spark, sf)["store"]
+    out = run(t.run_requests(spark, sf), t.run_payloads(spark, sf), t.crawl(spark, sf), t.run_references(spark, sf), default_resources(spark), staging, now(), store=store)
+    return out["reuse"].select("kind", "hits", "misses")
 
 
 @query("w3_report", _report_sql())

@@ -304,20 +304,49 @@ RELATIONS = {
 }
 
 
-def _needs(sql: str) -> list[str]:
-    return [name for name in RELATIONS if re.search(rf"\b(FROM|JOIN)\s+{name}\b", sql)]
+# The whole run: a keyword for each dozen of pages. These relations stand in for those of the same name above.
+RUN = {
+    "raw_keywords": f"""
+        SELECT k, 'k' || k AS query_id, CASE WHEN k % 10 = 9 THEN ' ' ELSE 'topic ' || k END AS query,
+               CASE k % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'es' ELSE 'fr' END AS language,
+               CASE WHEN k % 7 = 5 THEN 1 WHEN k % 7 <> 6 THEN 9 ELSE 10 END AS num_results, k % 2 = 0 AS ner, k % 5 <> 0 AS sentiment
+        FROM (SELECT DISTINCT page_id // {t.GROUP} AS k FROM pages)""",
+    "requests": "SELECT * FROM raw_keywords WHERE k % 10 <> 9",
+    "refs": "SELECT 'k' || item_id AS query_id, 'en' AS lang, text AS ref_text FROM benchmark",
+    "run_results": f"""
+        SELECT r.query_id, r.language, p.rank, CASE WHEN r.k % 8 = 3 THEN 'https://nowhere.example/' || p.page_id ELSE p.url END AS url
+        FROM requests r JOIN (SELECT *, page_id // {t.GROUP} AS k, row_number() OVER (PARTITION BY page_id // {t.GROUP} ORDER BY page_id) AS rank
+                              FROM pages WHERE {TITLE} <> '') p ON p.k = r.k
+        WHERE p.rank <= r.num_results AND r.k % 11 <> 10 AND r.k % 9 <> 4""",
+    "run_attached": """
+        SELECT r.*, c.text, coalesce(c.error_code, CASE WHEN c.url IS NULL THEN 'not_crawled' END) AS error_code, c.error_detail
+        FROM run_results r LEFT JOIN classified c ON c.url = r.url""",
+    "docs": "SELECT query_id, rank AS doc_ord, url, language AS lang, text FROM run_attached WHERE error_code IS NULL",
+    "failed": "SELECT query_id, rank, url, error_code || coalesce(': ' || error_detail, '') AS reason FROM run_attached WHERE error_code IS NOT NULL",
+    "questions": "SELECT query_id, 1 AS pos, 'What of ' || k || '?' AS question FROM requests WHERE k % 11 <> 10",
+    "run_entities": "SELECT e.* FROM entities e JOIN requests r ON r.query_id = e.query_id WHERE r.ner",
+    "run_tone": "SELECT t.* FROM tone t JOIN requests r ON r.query_id = t.query_id JOIN page_sizes p ON p.query_id = t.query_id AND p.doc_ord = t.doc_ord WHERE r.sentiment AND p.n_tokens >= 2",
+    "run_overall": "SELECT query_id, coalesce(avg(sentiment) FILTER (WHERE counted), 0.0) AS sentiment FROM run_tone GROUP BY query_id",
+    "run_state": """
+        SELECT w.query_id, CASE WHEN w.k % 10 = 9 THEN 'rejected: empty_keyword' WHEN w.k % 11 = 10 THEN 'search_failed' WHEN a.n IS NULL THEN 'no_results'
+                                WHEN a.ok = 0 THEN 'no_texts' WHEN coalesce(u.n_pages, 0) = 0 THEN 'no_usable_texts' WHEN v.n IS NULL THEN 'no_features' END AS error
+        FROM raw_keywords w LEFT JOIN (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE error_code IS NULL) AS ok FROM run_attached GROUP BY 1) a ON a.query_id = w.query_id
+        LEFT JOIN usable u ON u.query_id = w.query_id LEFT JOIN (SELECT query_id, count(*) AS n FROM vocab GROUP BY 1) v ON v.query_id = w.query_id""",
+}
 
 
-def with_(body: str) -> str:
+def with_(body: str, instead: dict[str, str] | None = None) -> str:
+    """A statement with the relations it needs in front; `instead` has relations that replace those of their name."""
+    relations = RELATIONS | (instead or {})
     order: list[str] = []
 
     def visit(sql: str) -> None:
-        for name in _needs(sql):
-            if name not in order:
-                visit(RELATIONS[name])
+        for name in relations:
+            if re.search(rf"\b(FROM|JOIN)\s+{name}\b", sql) and name not in order:
+                visit(relations[name])
                 if name not in order:
                     order.append(name)
 
     visit(body)
-    parts = [f"{name} AS MATERIALIZED ({RELATIONS[name].strip()})" for name in order]
+    parts = [f"{name} AS MATERIALIZED ({relations[name].strip()})" for name in order]
     return f"WITH {', '.join(parts)} {body.strip()}" if parts else body.strip()

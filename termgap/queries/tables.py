@@ -137,6 +137,47 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+GROUP = 12  # pages of a keyword of the whole run
+
+
+def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw request for each dozen of pages; some are faulty, some ask for one result."""
+    k = F.floor(F.col("page_id") / GROUP)
+    keyword = read(spark, sf_dir, "pages").select(k.alias("k")).distinct()
+    k = F.col("k")
+    return keyword.select(
+        F.concat(F.lit("k"), k.cast("string")).alias("query_id"),
+        F.when(k % 10 == 9, " ").otherwise(F.concat(F.lit("topic "), k.cast("string"))).alias("query"),
+        F.when(k % 4 == 0, "de").when(k % 4 == 1, "en").when(k % 4 == 2, "es").otherwise("fr").alias("language"),
+        F.when(k % 7 == 5, "1").when(k % 7 != 6, "9").alias("num_results_raw"),
+        F.lit(None).cast("string").alias("reference_name"),
+        (k % 2 == 0).alias("ner"), (k % 3 == 0).alias("cluster"), (k % 5 != 0).alias("sentiment"),
+    )
+
+
+def run_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captured search of each keyword: its pages as results, and a question. Some failed, some found nothing or only
+    pages that nobody crawled.
+    """
+    k = F.floor(F.col("page_id") / GROUP)
+    link = F.when(k % 8 == 3, F.concat(F.lit("https://nowhere.example/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    item = F.struct(F.col("page_id").alias("position"), F.regexp_extract("html", TITLE, 1).alias("title"), link.alias("link"))
+    pages = read(spark, sf_dir, "pages").select(k.alias("k"), item.alias("item"))
+    k = F.col("k")
+    found = pages.groupBy("k").agg(F.sort_array(F.collect_list("item")).alias("items"))  # a dozen
+    organic = F.when(k % 9 == 4, F.lit("[]")).otherwise(F.to_json("items"))
+    asked = F.to_json(F.array(F.struct(F.concat(F.lit("What of "), k.cast("string"), F.lit("?")).alias("question"))))
+    return found.select(
+        F.concat(F.lit("k"), k.cast("string")).alias("query_id"), F.lit("").alias("query"), F.lit("").alias("language"),
+        F.when(k % 11 == 10, 500).otherwise(200).alias("status"), F.lit(None).cast("string").alias("error_class"),
+        F.concat(F.lit('{"organic_results":'), organic, F.lit(',"related_questions":'), asked, F.lit("}")).alias("payload"),
+    )
+
+
+def run_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.concat(F.lit("k"), F.col("item_id").cast("string")).alias("query_id"), F.lit("en").alias("lang"), F.col("text").alias("ref_text"))
+
+
 def _items(html: Column, url: Column, own_title: Column) -> Column:
     """Organic items of a page's payload: the page itself, then its navigation links, some of them unusable."""
     hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termgap.functions.naming import output_base
 from termgap.operators.report import records
 
 BOM = "\ufeff"
@@ -123,5 +126,36 @@ def write_outputs(out: dict[str, DataFrame], path: str, run_at, output_format: s
     if output_format in ("html", "all"):
         put("report", write_report, out["report"], f"{path}/report")
     put("failed", write_failed, out["failed"], f"{path}/failed")
-    put("runs", write_runs, out["runs"], f"{path}/runs")
+    if "runs" in out:
+        put("runs", write_runs, out["runs"], f"{path}/runs")
     return done
+
+
+def write_run(out: dict[str, DataFrame], root: str, run_at, prefix: str = "", output_format: str = "all", started: float | None = None) -> str:
+    """Write a run to a folder of its own below ``root`` and return the folder.
+
+    The folder is named by the prefix and the time of the run. The run table comes after the other outputs and names
+    them, with the seconds since ``started`` (or the start of writing); the manifest comes last, so a folder without one
+    is a run that did not end, and is not read.
+    """
+    started = time.time() if started is None else started
+    spark = out["runs"].sparkSession
+    name = spark.range(1).select(output_base(F.lit(prefix), F.lit("analysis"), run_at)).first()[0]
+    folder = f"{root.rstrip('/')}/{name}"
+    done = write_outputs({k: v for k, v in out.items() if k != "runs"}, folder, run_at, output_format)
+    files, seconds = F.array(*[F.lit(f.rsplit("/", 1)[1]) for f in done]), F.lit(round(time.time() - started, 3))
+    write_runs(out["runs"].withColumn("output_files", files).withColumn("duration_seconds", seconds), f"{folder}/runs")
+    manifest = spark.range(1).select(F.lit(name).alias("name"), F.lit(output_format).alias("format"), F.concat(files, F.array(F.lit("runs"))).alias("outputs"))
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")
+    return folder
+
+
+def complete_runs(spark: SparkSession, root: str) -> list[str]:
+    """Folders below ``root`` whose run was written to the end."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/manifest/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted(f.getPath().getParent().getParent().toString() for f in found)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("name STRING, format STRING, outputs ARRAY<STRING>").json(f"{folder}/manifest")

@@ -9,6 +9,7 @@ from termgap.functions.charset import decode_body
 from termgap.functions.html import main_text
 from termgap.params import DEFAULT, Params
 from termgap.schema import CRAWL
+from termgap.session import lookup_side
 
 
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
@@ -78,15 +79,25 @@ def classify(crawl: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
+def one_per_url(classified: DataFrame) -> DataFrame:
+    """One outcome for each URL: with a text if one of its rows has one, then the smallest text.
+
+    URLs crawled once, nearly all, pass as they are; texts are compared only for the others.
+    """
+    again = classified.groupBy("url").count().where("count > 1").select("url")
+    least = F.min(F.struct(F.col("error_code").isNotNull().alias("_bad"), "error_code", "error_detail", "text"))
+    columns = ["url", "text", "error_code", "error_detail"]
+    several = classified.join(lookup_side(again), "url", "left_semi").groupBy("url").agg(least.alias("_o"))
+    once = classified.join(lookup_side(again), "url", "left_anti").select(*columns)
+    return once.unionByName(several.select("url", "_o.text", "_o.error_code", "_o.error_detail"))
+
+
 def attach_pages(results: DataFrame, classified: DataFrame) -> DataFrame:
     """Join result URLs to their page outcome; a URL nobody crawled fails as ``not_crawled``.
 
-    A URL crawled more than once counts once: with a text if one of its rows has one, the smallest on a tie.
+    Stage ``classified`` first if its extraction is costly: it is read three times.
     """
-    best = F.min(F.struct(F.col("error_code").isNotNull().alias("_bad"), "error_code", "error_detail", "text"))
-    outcome = classified.groupBy("url").agg(best.alias("_o")).select(
-        "url", "_o.text", "_o.error_code", "_o.error_detail", F.lit(True).alias("_seen")
-    )
+    outcome = one_per_url(classified).withColumn("_seen", F.lit(True))
     return (
         results.join(outcome, "url", "left")
         .withColumn("error_code", F.when(F.col("_seen").isNull(), "not_crawled").otherwise(F.col("error_code")))

@@ -53,3 +53,11 @@ def search_manifest(requests: DataFrame) -> DataFrame:
         F.when(F.length(lang) == 2, F.upper(lang)).otherwise("DE").alias("gl"),
         F.concat(F.lit("lang_"), lang).alias("lr"),
     )
+
+
+def accept_requests(raw: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Accepted requests with defaults filled in, and rejected ones with their ``reject_reason``."""
+    checked = with_defaults(validate_requests(raw, params), params)
+    filled = checked.withColumn("language", F.col("language_effective")).withColumn("num_results", F.col("num_results_effective"))
+    kept = ["query_id", "query", "language", "num_results", "ner", "cluster", "sentiment"]
+    return filled.where(F.col("reject_reason").isNull()).select(*kept), filled.where(F.col("reject_reason").isNotNull()).select(*kept, "reject_reason")

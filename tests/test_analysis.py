@@ -11,7 +11,7 @@ from termgap.params import Params
 from termgap.plans.analysis import analyze, run
 from termgap.schema import CRAWL, DOCS, PAYLOADS, REFERENCES, REQUESTS
 from termgap.session import Staging
-from termgap.sinks.writers import write_outputs
+from termgap.sinks.writers import complete_runs, read_manifest, write_outputs, write_run
 from termgap.sources.resources import Resources
 
 STOP = {"de": "das der die ein eine in ist mit und von war im dies wir wie auch".split(), "en": ["the"]}
@@ -292,13 +292,50 @@ def test_run_from_payloads_to_files(spark, tmp_path):
         context = {r.query_id: r for r in out["context"].collect()}
         assert context["never"].top_terms == "Keine gefunden." and context["never"].reference == "Keiner vorhanden."
         assert context["ok"].questions == "  - Wo?" and context["ok"].reference == "'Eine Stadt.'"
-        written = write_outputs(out, str(tmp_path / "out"), at)
-        assert len(written) == 6
-        table = spark.read.option("header", True).csv(str(tmp_path / "out" / "tfidf"))
-        assert {c.lstrip("﻿") for c in table.columns} == {"query_id", "url", "term", "score"}
-        summary = spark.read.json(str(tmp_path / "out" / "summary" / "keywords")).where("query_id = 'ok'").first()
+        folder = write_run(out, str(tmp_path / "out"), at, "my run")
+        assert folder.endswith("/my_run_20240108-120000") and [f.rsplit("/", 1)[1] for f in complete_runs(spark, str(tmp_path / "out"))] == ["my_run_20240108-120000"]
+        manifest = read_manifest(spark, folder).first()
+        assert manifest.outputs == ["tfidf", "term_table", "summary", "context", "report", "failed", "runs"] and manifest.format == "all"
+        runs = {r.query_id: r for r in spark.read.parquet(f"{folder}/runs").collect()}
+        assert runs["ok"].output_files == manifest.outputs[:-1] and runs["ok"].duration_seconds > 0 and runs["ok"].reference_used and not runs["off"].reference_used
+        table = spark.read.option("header", True).csv(f"{folder}/tfidf")
+        assert {c.lstrip("\ufeff") for c in table.columns} == {"query_id", "url", "term", "score"}
+        summary = spark.read.json(f"{folder}/summary/keywords").where("query_id = 'ok'").first()
         assert summary.success and summary.related_questions[0].question == "Wo?"
-        sections = {r.section for r in spark.read.parquet(str(tmp_path / "out" / "report")).collect()}
+        sections = {r.section for r in spark.read.parquet(f"{folder}/report").collect()}
         assert {"cloud", "top_terms", "missing", "entities", "clusters", "sentiment", "questions", "page_terms", "context", "failed"} <= sections
         only = write_outputs(out, str(tmp_path / "json"), at, "json")
         assert {w.rsplit("/", 1)[1] for w in only} == {"summary", "context", "failed", "runs"}
+        (tmp_path / "out" / "half").mkdir()
+        assert len(complete_runs(spark, str(tmp_path / "out"))) == 1
+
+
+def test_a_second_run_works_on_misses_only(spark, tmp_path, monkeypatch):
+    from termgap.operators.reuse import Store
+    from termgap.plans import analysis
+
+    text = "<p>" + "Berlin tolle Stadt " * 12 + "</p>"
+    crawl = spark.createDataFrame([(f"https://a/{i}", 404 if i == 3 else 200, "x", "text/html", None, text) for i in range(1, 6)] + [("https://a/9", 200, "x", "text/html", None, text)], CRAWL)
+    body = lambda ids: '{"organic_results":[' + ",".join(f'{{"title":"t","link":"https://a/{i}"}}' for i in ids) + '],"related_questions":[]}'
+    raw = lambda *ids: spark.createDataFrame([(q, f"Stadt {q}", "de", n, None, False, False, False) for q, n in ids], "query_id STRING, query STRING, language STRING, num_results_raw STRING, reference_name STRING, ner BOOLEAN, cluster BOOLEAN, sentiment BOOLEAN")
+    found = spark.createDataFrame([("a", "x", "de", 200, None, body((1, 2, 3))), ("b", "x", "de", 200, None, body((2, 4))), ("c", "x", "de", 500, None, "")], PAYLOADS)
+    own = spark.createDataFrame([], REFERENCES)
+    store = Store(spark, str(tmp_path / "store"))
+    extracted = []
+    real = analysis.classify
+    monkeypatch.setattr(analysis, "classify", lambda df, params: extracted.append(sorted(r.url for r in df.select("url").collect())) or real(df, params))
+
+    def go(asked, at, **more):
+        with Staging(spark) as staging:
+            out = analysis.run(asked, found, crawl, own, resources(spark), staging, F.expr(f"TIMESTAMP '{at}'"), store=store, **more)
+            counts = {r.kind: (r.hits, r.misses) for r in out["reuse"].collect()} if "reuse" in out else None
+            state = {r.query_id: r.error for r in out["runs"].collect()}
+            return counts, state, sorted((r.query_id, r.url, r.reason) for r in out["failed"].collect()), sorted((r.query_id, r.term) for r in out["top_terms"].collect())
+
+    first = go(raw(("a", "10"), ("c", None), ("bad", "0")), "2024-01-01 00:00:00")
+    assert first[0] == {"search": (0, 2), "page": (0, 3)} and first[1] == {"a": None, "c": "search_failed", "bad": "rejected: bad_num_results"}
+    again = go(raw(("a", "10"), ("b", "10"), ("c", None)), "2024-01-02 00:00:00")
+    assert again[0] == {"search": (1, 2), "page": (3, 1)} and again[2] == first[2] == [("a", "https://a/3", "http_client: 404 (x)")]
+    assert [x for x in again[3] if x[0] == "a"] == first[3] and first[3]
+    assert extracted == [["https://a/1", "https://a/2", "https://a/3"], ["https://a/4"]]
+    assert go(raw(("a", "10")), "2024-03-02 00:00:00", use_cache=False)[0] is None and len(extracted[-1]) == 3
