@@ -186,29 +186,6 @@ def c12(spark, sf):
     )
 
 
-@query("c16_status", with_("""
-    SELECT s.query_id, CASE WHEN s.error IS NOT NULL THEN 'search_failed' WHEN o.n IS NULL THEN 'no_results'
-                            WHEN o.ok = 0 THEN 'no_texts' WHEN coalesce(u.n_pages, 0) = 0 THEN 'no_usable_texts'
-                            WHEN NOT coalesce(u.featured, false) THEN 'no_features' END AS error
-    FROM searches s
-    LEFT JOIN (SELECT o.query_id, count(*) AS n, count(*) FILTER (WHERE c.url IS NOT NULL AND c.error_code IS NULL) AS ok
-               FROM organic o LEFT JOIN classified c ON c.url = o.url GROUP BY 1) o ON o.query_id = s.query_id
-    LEFT JOIN (SELECT 'q' || CAST(d.doc_ord AS VARCHAR) AS query_id, count(*) FILTER (WHERE d.n_tokens >= 2) AS n_pages,
-                      max(d.n_tokens) >= 40 AS featured FROM page_sizes d GROUP BY 1) u ON u.query_id = s.query_id"""))
-def c16(spark, sf):
-    """Page counts of each search against usable pages and features taken from the document of the same number."""
-    from termgap.operators.tfidf import usable_counts
-
-    found = searches(spark, sf)
-    texts = pages.attach_pages(organic(spark, sf), outcomes(spark, sf))
-    doc = tokens.page_tokens(t.docs(spark, sf), resources.default_resources(spark)).select(
-        F.concat(F.lit("q"), F.col("doc_ord").cast("string")).alias("query_id"), "n_tokens"
-    )
-    features = doc.where(F.col("n_tokens") >= 40)
-    asked = found.select("query_id")
-    return status.run_status(asked, found, status.page_counts(texts), usable_counts(doc), features).select("query_id", "error")
-
-
 @query("c18_optional_stages", with_("""
     SELECT d.query_id, d.doc_ord FROM docs d JOIN requests r ON r.query_id = d.query_id WHERE r.ner"""))
 def c18(spark, sf):

@@ -147,7 +147,8 @@ FIRST_STEP = """
 
 
 def step_sql(body: str) -> str:
-    base = with_("SELECT * FROM scores JOIN page_sizes USING (query_id) JOIN vocab USING (query_id)")
+    """A statement over the first step's relations and any of the shared ones that it names."""
+    base = with_(f"SELECT * FROM scores JOIN page_sizes USING (query_id) JOIN vocab USING (query_id) -- {' '.join(body.split())}")
     head = base[: base.rindex(" SELECT * FROM scores JOIN page_sizes")]
     return head + "," + FIRST_STEP.replace("WITH_PLACEHOLDER", "") + body
 
@@ -198,13 +199,16 @@ def j9(spark, sf):
     return parts.join(indexed, ["query_id", "ix"]).select("query_id", "cluster", "term", terms.six("weight"))
 
 
-@query("t6_cluster_terms", step_sql(f"""
+CLUSTER_TERMS = f"""
     SELECT query_id, cluster, CAST(rank AS INTEGER) AS rank, term FROM (
         SELECT c.query_id, c.cluster, v.term, row_number() OVER (
             PARTITION BY c.query_id, c.cluster ORDER BY round(coalesce(w.weight, 0), 9) DESC, v.term) AS rank
         FROM (SELECT DISTINCT query_id, CAST(cluster AS INTEGER) AS cluster FROM nearest) c JOIN vocab v ON v.query_id = c.query_id
         LEFT JOIN ({CENTROIDS.replace('6) AS weight', '12) AS weight')}) w
-        ON w.query_id = c.query_id AND w.cluster = c.cluster AND w.term = v.term) WHERE rank <= 10"""))
+        ON w.query_id = c.query_id AND w.cluster = c.cluster AND w.term = v.term) WHERE rank <= 10"""
+
+
+@query("t6_cluster_terms", step_sql(CLUSTER_TERMS))
 def t6(spark, sf):
     centres, indexed = centroids(spark, sf)
     return cl.cluster_terms(centres, indexed).select("query_id", "cluster", "rank", "term")

@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termgap.operators import context, report, reuse, sentiment, status, tfidf
+from termgap.operators import context, report, reuse, sentiment, tfidf
 from termgap.plans.analysis import run
 from termgap.queries import inputs, mining, terms
 from termgap.queries import tables as t
 from termgap.queries.registry import query
 from termgap.queries.sql import RUN, lit, with_
 from termgap.session import Staging
+from termgap.sinks import writers
 from termgap.sinks.writers import context_text
 from termgap.sources.references import attach_references
 from termgap.sources.resources import default_resources
@@ -163,15 +164,14 @@ def cluster_lines_input(spark, sf):
 
 
 def keyword_questions(spark, sf):
-    """User turns of the conversations as the questions of keyword ``src<conversation number mod 20>``.
+    """The user turns of one conversation as the questions of keyword ``src<n>``: the first of those with number n mod 20."""
+    turns = t.read(spark, sf, "conversations").withColumn("query_id", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")))
+    first = turns.groupBy("query_id").agg(F.min("conv_id").alias("conv_id"))
+    return turns.join(first, ["query_id", "conv_id"], "left_semi").where("role = 'user'").select("query_id", F.col("turn").alias("pos"), F.col("text").alias("question"))
 
-    The questions of a keyword are grouped per conversation, which bounds each list.
-    """
-    return t.read(spark, sf, "conversations").where("role = 'user'").select(
-        F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("query_id"),
-        F.col("turn").alias("pos"),
-        F.col("text").alias("question"),
-    )
+
+ASKED = """SELECT 'src' || (conv_id % 20) AS query_id, turn AS pos, text AS question FROM conversations
+    WHERE role = 'user' AND conv_id IN (SELECT min(conv_id) FROM conversations GROUP BY conv_id % 20)"""
 
 
 def context_parts(spark, sf):
@@ -185,9 +185,8 @@ def context_parts(spark, sf):
 
 def contexts(spark, sf):
     top, gaps, found, own = context_parts(spark, sf)
-    no_clusters = spark.createDataFrame([], "query_id STRING, cluster INT, rank INT, term STRING, weight DOUBLE")
     return context.recommendation_context(
-        t.requests(spark, sf), top, gaps, no_clusters, found, keyword_questions(spark, sf), overall_tone(spark, sf), own
+        t.requests(spark, sf), top, gaps, cluster_lines_input(spark, sf), found, keyword_questions(spark, sf), overall_tone(spark, sf), own
     )
 
 
@@ -207,7 +206,18 @@ CONTEXT_SQL = """
                    FROM entities WHERE rank <= 5 GROUP BY ALL) GROUP BY 1) c ON c.query_id = r.query_id
     LEFT JOIN overall_tone d ON d.query_id = r.query_id
     LEFT JOIN refs e ON e.query_id = r.query_id"""
-CONTEXT = with_(CONTEXT_SQL)
+CLUSTER_LINES = f"""
+    SELECT query_id, string_agg('  - Cluster ' || cluster || ': ' || v || CASE WHEN n > 8 THEN '...' ELSE '' END, chr(10) ORDER BY cluster) AS clusters
+    FROM (SELECT query_id, cluster, string_agg(term, ', ' ORDER BY rank) FILTER (WHERE rank <= 8) AS v, max(rank) AS n
+          FROM ({mining.CLUSTER_TERMS}) GROUP BY ALL) GROUP BY 1"""
+QUESTION_LINES = f"SELECT query_id, string_agg('  - ' || question, chr(10) ORDER BY pos) AS questions FROM ({ASKED}) GROUP BY 1"
+NO_QUESTIONS = "'Keine ''People Also Ask''-Fragen gefunden.' AS questions"
+CONTEXT_OF_STEP = (
+    CONTEXT_SQL.replace("'Keine Cluster gefunden.' AS clusters", "coalesce(k.clusters, 'Keine Cluster gefunden.') AS clusters")
+    .replace(NO_QUESTIONS, "coalesce(q.questions, " + NO_QUESTIONS.replace(" AS", ") AS"))
+    + f" LEFT JOIN ({CLUSTER_LINES}) k ON k.query_id = r.query_id LEFT JOIN ({QUESTION_LINES}) q ON q.query_id = r.query_id"
+)
+CONTEXT = mining.step_sql(CONTEXT_OF_STEP)
 
 
 @query("c15_recommendation_context", CONTEXT)
@@ -215,10 +225,10 @@ def c15(spark, sf):
     return contexts(spark, sf)
 
 
-@query("w4_context_file", f"""
+@query("w4_context_file", mining.step_sql(f"""
     SELECT query_id, concat_ws(chr(10), 'Empfehlungen für: ' || query, '20240108-000000', repeat('=', 30), '',
         'top_terms: ' || top_terms, 'missing: ' || missing, 'clusters: ' || clusters, 'entities: ' || entities,
-        'questions: ' || questions, 'sentiment: ' || sentiment, 'reference: ' || reference) AS value FROM ({CONTEXT})""")
+        'questions: ' || questions, 'sentiment: ' || sentiment, 'reference: ' || reference) AS value FROM ({CONTEXT_OF_STEP})"""))
 def w4(spark, sf):
     return context_text(contexts(spark, sf), now())
 
@@ -237,22 +247,12 @@ def t8(spark, sf):
     return listed.select("query_id", F.lit("terms").alias("part"), "shown").unionByName(excerpt)
 
 
-@query("c15_cluster_lines", mining.step_sql(f"""
-    SELECT query_id, string_agg('  - Cluster ' || cluster || ': ' || v || CASE WHEN n > 8 THEN '...' ELSE '' END, chr(10) ORDER BY cluster) AS clusters
-    FROM (SELECT query_id, cluster, string_agg(term, ', ' ORDER BY rank) FILTER (WHERE rank <= 8) AS v, max(rank) AS n FROM (
-            SELECT c.query_id, c.cluster, v.term, row_number() OVER (
-                PARTITION BY c.query_id, c.cluster ORDER BY round(coalesce(w.weight, 0), 9) DESC, v.term) AS rank
-            FROM (SELECT DISTINCT query_id, CAST(cluster AS INTEGER) AS cluster FROM nearest) c JOIN vocab v ON v.query_id = c.query_id
-            LEFT JOIN ({mining.CENTROIDS.replace('6) AS weight', '12) AS weight')}) w
-            ON w.query_id = c.query_id AND w.cluster = c.cluster AND w.term = v.term)
-          WHERE rank <= 10 GROUP BY ALL) GROUP BY 1"""))
+@query("c15_cluster_lines", mining.step_sql(CLUSTER_LINES))
 def c15_clusters(spark, sf):
     return context.cluster_lines(cluster_lines_input(spark, sf))
 
 
-@query("c15_question_lines", """
-    SELECT 'conv' || conv_id AS query_id, string_agg('  - ' || text, chr(10) ORDER BY turn) AS questions
-    FROM conversations WHERE role = 'user' GROUP BY 1""")
+@query("c15_question_lines", QUESTION_LINES)
 def c15_questions(spark, sf):
     return context.question_lines(keyword_questions(spark, sf))
 
@@ -270,8 +270,10 @@ def report_parts(spark, sf):
         "entities": mining.entities.overall_entities(mining.per_page(spark, sf)),
         "overall_sentiment": sentiment.overall_sentiment(tone),
         "sentiment": tone,
+        "clusters": cluster_lines_input(spark, sf),
         "questions": keyword_questions(spark, sf),
         "page_terms": page_top,
+        "context": contexts(spark, sf),
         "failed": inputs.w5(spark, sf),
     }
 
@@ -298,19 +300,25 @@ def _sections(page_tops: str, questions: str, entities: str = "entities", tone:
 PAGE_TOPS = "(SELECT t.*, p.url FROM page_top t JOIN page_sizes p ON p.query_id = t.query_id AND p.doc_ord = t.doc_ord)"
 
 
+def _context_rows(context: str, parts: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT query_id, 'context' AS section, CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS sub, {lit(part)} AS label, {part} AS value FROM ({context})" for part in parts
+    )
+
+
+PARTS = ("top_terms", "missing", "entities", "questions", "sentiment", "reference")
+
+
 def _report_sql() -> str:
-    asked = "(SELECT 'conv' || conv_id AS query_id, turn AS pos, text AS question FROM conversations WHERE role = 'user')"
-    return with_(_sections(PAGE_TOPS, asked))
+    clusters = f"SELECT query_id, 'clusters', CAST(cluster AS BIGINT), CAST(rank AS BIGINT), term, NULL FROM ({mining.CLUSTER_TERMS})"
+    return " UNION ALL ".join([_sections(PAGE_TOPS, f"({ASKED})"), clusters, _context_rows(CONTEXT_OF_STEP, (*PARTS, "clusters"))])
 
 
 def _run_context() -> str:
     """The context as rows, without its line of clusters."""
     context = CONTEXT_SQL.replace("FROM entities WHERE", "FROM run_entities WHERE").replace("JOIN overall_tone", "JOIN run_overall")
-    context = context.replace("'Keine ''People Also Ask''-Fragen gefunden.' AS questions", "coalesce('  - ' || q.question, 'Keine ''People Also Ask''-Fragen gefunden.') AS questions")
-    parts = " UNION ALL ".join(
-        f"SELECT query_id, 'context', CAST(0 AS BIGINT), CAST(0 AS BIGINT), {lit(part)}, {part} FROM _context" for part in ("top_terms", "missing", "entities", "questions", "sentiment", "reference")
-    )
-    return parts.replace("_context", f"({context} LEFT JOIN questions q ON q.query_id = r.query_id)")
+    context = context.replace(NO_QUESTIONS, "coalesce('  - ' || q.question, " + NO_QUESTIONS.replace(" AS", ") AS")) + " LEFT JOIN questions q ON q.query_id = r.query_id"
+    return _context_rows(context, PARTS)
 
 
 @functools.cache
@@ -354,56 +362,105 @@ def m2_second(spark, sf):
     return out["reuse"].select("kind", "hits", "misses")
 
 
-@query("w3_report", _report_sql())
+@query("w3_report", mining.step_sql(_report_sql()))
 def w3(spark, sf):
     return report.report_rows(report_parts(spark, sf))
 
 
-@query("u3_report_sections", f"SELECT section, count(*) AS n FROM ({_report_sql()}) GROUP BY 1")
+@query("u3_report_sections", mining.step_sql(f"SELECT section, count(*) AS n FROM ({_report_sql()}) GROUP BY 1"))
 def u3(spark, sf):
     return w3(spark, sf).groupBy("section").agg(F.count("*").alias("n"))
 
 
-@query("a16_summary")
+COUNTED = """
+    SELECT r.query_id, r.query, r.language, r.num_results, s.error IS NULL AS success, s.error, coalesce(a.n, 0) AS n_results, coalesce(a.ok, 0) AS n_processed,
+           coalesce(u.n_pages, 0) AS n_pages, coalesce(v.n, 0) AS n_features, e.query_id IS NOT NULL AND e.ref_text <> '' AS reference_used
+    FROM requests r JOIN run_state s ON s.query_id = r.query_id
+    LEFT JOIN (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE error_code IS NULL) AS ok FROM run_attached GROUP BY 1) a ON a.query_id = r.query_id
+    LEFT JOIN usable u ON u.query_id = r.query_id LEFT JOIN (SELECT query_id, count(*) AS n FROM vocab GROUP BY 1) v ON v.query_id = r.query_id
+    LEFT JOIN refs e ON e.query_id = r.query_id"""
+
+
+def _counted(runs):
+    """The record of each accepted keyword."""
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    known = runs.where("error IS NULL OR error NOT LIKE 'rejected%'")
+    return known.select("query_id", "query", "language", "num_results", "success", "error", zero("n_results"), zero("n_processed"), zero("n_pages"), zero("n_features"), "reference_used")
+
+
+@query("a16_summary", with_(f"""
+    SELECT c.query_id, c.success, coalesce(t.n, 0) AS terms, coalesce(m.n, 0) AS missing, coalesce(e.n, 0) AS labels, coalesce(e.first, '') AS first_entity,
+           coalesce(q.n, 0) AS questions, round(o.sentiment, 6) AS sentiment, r.k % 3 = 0 AND coalesce(c.n_features, 0) > 0 AS clustered
+    FROM ({COUNTED}) c JOIN requests r ON r.query_id = c.query_id
+    LEFT JOIN (SELECT query_id, count(*) AS n FROM top GROUP BY 1) t ON t.query_id = c.query_id
+    LEFT JOIN (SELECT query_id, count(*) AS n FROM missing GROUP BY 1) m ON m.query_id = c.query_id
+    LEFT JOIN (SELECT query_id, count(DISTINCT label) AS n, arg_min(surface || ' ' || n, label) FILTER (WHERE rank = 1) AS first FROM run_entities GROUP BY 1) e ON e.query_id = c.query_id
+    LEFT JOIN (SELECT query_id, count(*) AS n FROM questions GROUP BY 1) q ON q.query_id = c.query_id
+    LEFT JOIN run_overall o ON o.query_id = c.query_id""", RUN))
 def a16(spark, sf):
-    top, gaps, found, _ = context_parts(spark, sf)
-    no_clusters = spark.createDataFrame([], "query_id STRING, cluster INT, rank INT, term STRING, weight DOUBLE")
-    rows = report.summary_rows(
-        t.requests(spark, sf), top, gaps, found, no_clusters, overall_tone(spark, sf), keyword_questions(spark, sf)
+    """The nested summary of the whole run, told by the sizes of its lists, its first entity and whether it has clusters."""
+    rows = full_run(spark, sf)["summary"].where("error IS NULL OR error NOT LIKE 'rejected%'")
+    size = lambda c: F.greatest(F.size(F.coalesce(c, F.array().cast(dict(rows.dtypes)[c]))), F.lit(0)).cast("bigint")
+    entities = F.array_sort(F.map_entries("overall_entities"))
+    first = F.get(F.get(entities, F.lit(0))["value"], F.lit(0))
+    return rows.select(
+        "query_id", "success", size("overall_top_terms_with_scores").alias("terms"), size("missing_terms").alias("missing"),
+        F.coalesce(F.size(F.map_keys("overall_entities")), F.lit(0)).cast("bigint").alias("labels"), F.coalesce(F.concat(first["entity"], F.lit(" "), first["count"].cast("string")), F.lit("")).alias("first_entity"),
+        size("related_questions").alias("questions"), F.round("overall_sentiment", 6).alias("sentiment"), (F.coalesce(F.size(F.map_keys("clusters")), F.lit(0)) > 0).alias("clustered"),
     )
-    return rows.select("query_id", F.to_json(F.struct(*[c for c in rows.columns if c != "query_id"])).alias("summary"))
 
 
 @query("w2_summary", with_("""
     SELECT query_id, 'top_terms_by_url' AS part, doc_ord AS ord, '["' || string_agg(term, '","' ORDER BY rank) || '"]' AS payload
     FROM page_top GROUP BY query_id, doc_ord
+    UNION ALL SELECT query_id, 'sentiment_by_url', doc_ord, CAST(round(sentiment, 6) AS VARCHAR) FROM tone
     UNION ALL SELECT query_id, 'failed_urls', rank, reason FROM failed"""))
 def w2(spark, sf):
     parts = report_parts(spark, sf)
     rows = report.page_summary_rows(parts["page_terms"], parts["sentiment"], parts["failed"])
-    return rows.where(F.col("part") != "sentiment_by_url").select("query_id", "part", "ord", "payload")
+    shown = F.when(F.col("part") == "sentiment_by_url", F.round(F.col("payload").try_cast("double"), 6).cast("string")).otherwise(F.col("payload"))
+    return rows.select("query_id", "part", "ord", shown.alias("payload"))
+
+
+@functools.cache
+def written_run(spark, sf, output_format):
+    """The whole run written in a format; its folder."""
+    return writers.write_run(full_run(spark, sf), Staging(spark).root, now(), "whole run", output_format)
+
+
+@query("w2_keyword_records", with_(COUNTED, RUN))
+def w2_records(spark, sf):
+    """The keyword records of the written summary, read back."""
+    schema = "query_id STRING, query STRING, language STRING, num_results INT, success BOOLEAN, error STRING, n_results BIGINT, n_processed BIGINT, n_pages BIGINT, n_features BIGINT, reference_used BOOLEAN"
+    return _counted(spark.read.schema(schema).json(f"{written_run(spark, sf, 'json')}/summary/keywords"))
 
 
-@query("w7_selected_format", with_("""
-    SELECT 'csv' AS format, query_id, count(*) AS n FROM scores GROUP BY ALL
-    UNION ALL SELECT 'html', query_id, count(*) FROM top GROUP BY ALL"""))
+ROWS_WRITTEN = {"tfidf": "scores", "failed": "failed", "runs": "raw_keywords"}
+
+
+@query("w7_selected_format", with_(" UNION ALL ".join(
+    f"SELECT '{kind}' AS format, '{name}' AS output, count(*) AS n FROM {source}"
+    for kind in writers.FORMATS for name, source in ROWS_WRITTEN.items() if name != "tfidf" or kind in ("csv", "all")), RUN))
 def w7(spark, sf):
-    scored = Staging(spark).keep(terms.scored(spark, sf)[0], "scores")
-    weights, top = tfidf.score_rows(scored), tfidf.top_terms(tfidf.term_means(tfidf.page_top_terms(scored)))
-    count = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("format"), "query_id", "n")
-    return count(weights, "csv").unionByName(count(top, "html"))
-
-
-@query("w8_run_table", with_("""
-    SELECT r.query_id, r.query, r.language, u.n_pages, coalesce(v.n, 0) AS n_features,
-           CASE WHEN u.n_pages = 0 THEN 'no_usable_texts' WHEN v.n IS NULL THEN 'no_features' END AS error,
-           u.n_pages > 0 AND v.n IS NOT NULL AS success
-    FROM requests r JOIN usable u ON u.query_id = r.query_id
-    LEFT JOIN (SELECT query_id, count(*) AS n FROM vocab GROUP BY 1) v ON v.query_id = r.query_id"""))
+    """Rows of the outputs that each format writes, read back from runs whose manifest names them."""
+    counted = []
+    for kind in writers.FORMATS:
+        folder = written_run(spark, sf, kind)
+        for name in set(writers.read_manifest(spark, folder).first().outputs) & set(ROWS_WRITTEN):
+            rows = spark.read.option("header", True).csv(f"{folder}/{name}") if name == "tfidf" else spark.read.parquet(f"{folder}/{name}")
+            counted.append(rows.groupBy().agg(F.lit(kind).alias("format"), F.lit(name).alias("output"), F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, counted)
+
+
+@query("w8_run_table", with_(f"SELECT *, true AS timed, 'summary context failed' AS outputs FROM ({COUNTED})", RUN))
 def w8(spark, sf):
-    asked = t.requests(spark, sf)
-    texts = t.docs(spark, sf).select("query_id", "text", F.lit(None).cast("string").alias("error_code"))
-    found = terms.pages(spark, sf)
-    no_error = asked.select("query_id", F.lit(None).cast("string").alias("error"))
-    runs = status.run_status(asked, no_error, status.page_counts(texts), tfidf.usable_counts(found), tfidf.vocabulary(found))
-    return runs.select("query_id", "query", "language", "n_pages", F.coalesce("n_features", F.lit(0)).alias("n_features"), "error", "success")
+    """The run table of a run written as JSON."""
+    runs = spark.read.parquet(f"{written_run(spark, sf, 'json')}/runs")
+    extra = runs.select("query_id", (F.col("duration_seconds") > 0).alias("timed"), F.array_join("output_files", " ").alias("outputs"))
+    return _counted(runs).join(extra, "query_id")
+
+
+@query("c16_status", with_("SELECT query_id, error FROM run_state", RUN))
+def c16(spark, sf):
+    """The status of every keyword of the whole run, from its own searches, pages and terms."""
+    return full_run(spark, sf)["runs"].select("query_id", "error")
