@@ -2,12 +2,15 @@
 
 All keywords are clustered at once. A page is a sparse vector over its keyword's vocabulary (at most 200 entries), the
 centres of a keyword are one row (at most five vectors), so assigning pages is a row-local distance after one lookup by
-``query_id``. New centres are sums that fold per task before they are shuffled. No group is gathered anywhere: a keyword
-with very many pages spreads over all tasks. Each round is written to the staging area, which cuts the lineage.
+``query_id``. A keyword of a request has at most a hundred pages, and is fitted by one task. A keyword with very many
+pages spreads over all tasks: new centres are sums that fold per task before they are shuffled, and each round is written
+to the staging area, which cuts the lineage.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,10 @@ from termgap.functions.naming import cluster_count
 from termgap.params import DEFAULT, Params
 from termgap.session import Staging, lookup_side
 
+#: Squared way below which a centre has not moved.
+SETTLED = 1e-9
+CENTRES_DDL = "query_id string, cluster int, vec array<double>, rounds int, moving boolean"
+CENTRES = pa.schema([("query_id", pa.string()), ("cluster", pa.int32()), ("vec", pa.list_(pa.float64())), ("rounds", pa.int32()), ("moving", pa.bool_())])
 MEMBER = -1  # index under which a page counts itself when sums are gathered
 
 
@@ -105,10 +112,10 @@ def new_centres(assigned: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def cluster_sizes(vectors: DataFrame, indexed: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """``(query_id, k)``: how many clusters. Keywords without terms drop out."""
+    """``(query_id, k, pages)``: how many clusters. Keywords without terms drop out."""
     pages = vectors.groupBy("query_id").agg(F.count("*").alias("pages"))
     k = F.least(cluster_count(F.col("pages"), params.max_clusters), F.col("pages")).cast("int")
-    return pages.join(indexed.select("query_id").distinct(), "query_id").select("query_id", k.alias("k"))
+    return pages.join(indexed.select("query_id").distinct(), "query_id").select("query_id", k.alias("k"), "pages")
 
 
 def first_centres(vectors: DataFrame, sizes: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -132,30 +139,71 @@ def next_centres(
     return dense(chosen.select("query_id", F.lit(number).alias("cluster"), "cells"), indexed)
 
 
-def fit(
-    vectors: DataFrame, indexed: DataFrame, staging: Staging, params: Params = DEFAULT
-) -> tuple[DataFrame, DataFrame]:
-    """Deterministic k-means: farthest-first start, then rounds until no centre moves or the round limit is reached.
-
-    A keyword leaves the rounds once its own centres stay, so a round reads only the keywords that still move.
-
-    ``vectors`` should be a staged table, as every round reads it. Returns ``(assigned, centres)``.
+def _local_fit(rounds: int):
+    """The whole fit of one keyword in numpy, by the same rules as the distributed rounds."""
+
+    def fit_keyword(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["doc_ord"])
+        x = np.zeros((len(rows), rows[0]["width"]))
+        for n, r in enumerate(rows):
+            for cell in r["cells"]:
+                x[n, cell["ix"]] = cell["score"]
+        sq = np.array([r["sq"] for r in rows])
+        distance = lambda c: np.round(sq[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 9)
+        centres = x[[int(np.argmax(sq))]]  # argmax and argmin take the first of equals: the smaller doc_ord, the lower cluster
+        while len(centres) < rows[0]["k"]:
+            centres = np.vstack([centres, x[int(np.argmax(distance(centres).min(axis=1)))]])
+        turn, moving = 0, True
+        while moving and turn < rounds:
+            near, old, turn = distance(centres).argmin(axis=1), centres, turn + 1
+            centres = np.array([x[near == c].mean(axis=0) if (near == c).any() else old[c] for c in range(len(old))])
+            moving = bool(((centres - old) ** 2).sum(axis=1).max() > SETTLED)
+        return pa.Table.from_pylist(
+            [{"query_id": rows[0]["query_id"], "cluster": c, "vec": v.tolist(), "rounds": turn, "moving": moving} for c, v in enumerate(centres)], schema=CENTRES
+        )
+
+    return fit_keyword
+
+
+def _distributed_fit(vectors: DataFrame, sizes: DataFrame, indexed: DataFrame, staging: Staging, params: Params) -> DataFrame:
+    """Rounds over all tasks, for keywords too large for one. The state is one table a round, settled keywords included;
+    pages of settled keywords are not read again.
     """
-    sizes = staging.keep(cluster_sizes(vectors, indexed, params), "cluster_sizes")
     centres = staging.keep(first_centres(vectors, sizes, indexed), "centres_start_0")
     for number in range(1, params.max_clusters):
         grown = centres.unionByName(next_centres(vectors, sizes, indexed, centres, number))
         centres = staging.keep(grown, f"centres_start_{number}")
-    settled = None
+    state = centres.select("query_id", "cluster", "vec", F.lit(0).alias("rounds"), F.lit(True).alias("moving"))
     keyword = Window.partitionBy("query_id")
     for turn in range(params.cluster_rounds):
-        moved = new_centres(assign(vectors, centres), centres).withColumn("moving", F.max("shift").over(keyword) > 1e-9)
-        kept = staging.keep(moved.select("query_id", "cluster", "vec", "moving"), f"centres_{turn}")
-        still, centres = kept.where(~F.col("moving")).drop("moving"), kept.where("moving").drop("moving")
-        settled = still if settled is None else settled.unionByName(still)
-        if centres.isEmpty():
+        still = state.where("moving")
+        if still.isEmpty():
             break
-    centres = staging.keep(centres if settled is None else settled.unionByName(centres), "centres_final")
+        moved = new_centres(assign(vectors, still), still).withColumn("moving", F.max("shift").over(keyword) > SETTLED)
+        moved = moved.select("query_id", "cluster", "vec", F.lit(turn + 1).alias("rounds"), "moving")
+        state = staging.keep(state.where("NOT moving").unionByName(moved), f"centres_{turn}")
+    return state
+
+
+def fit(
+    vectors: DataFrame, indexed: DataFrame, staging: Staging, params: Params = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
+    """Deterministic k-means: farthest-first start, then rounds until no centre moves or the round limit is reached.
+
+    A keyword of up to ``local_pages`` pages, as every request asks for, is fitted in one task after one shuffle; larger
+    ones take distributed rounds. ``vectors`` should be a staged table. Returns ``(assigned, centres)``; centres has the
+    rounds of its keyword and whether it ``converged``.
+    """
+    sizes = staging.keep(cluster_sizes(vectors, indexed, params), "cluster_sizes")
+    width = indexed.groupBy("query_id").agg(F.count("*").cast("int").alias("width"))
+    small = lookup_side(sizes.where(F.col("pages") <= params.local_pages).join(width, "query_id").select("query_id", "k", "width"))
+    local = vectors.join(small, "query_id").groupBy("query_id").applyInArrow(_local_fit(params.cluster_rounds), CENTRES_DDL)
+    large = sizes.where(F.col("pages") > params.local_pages)
+    if not large.isEmpty():
+        big = vectors.join(lookup_side(large.select("query_id")), "query_id", "left_semi")
+        local = local.unionByName(_distributed_fit(big, large.select("query_id", "k"), indexed, staging, params))
+    done = F.when(~F.col("moving"), True).otherwise(False)
+    centres = staging.keep(local.withColumn("converged", done).drop("moving"), "centres_final")
     return assign(vectors, centres), centres
 
 

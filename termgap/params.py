@@ -25,6 +25,7 @@ class Params:
     terms_per_cluster: int = 10
     max_clusters: int = 5
     cluster_rounds: int = 300
+    local_pages: int = 2000
     min_sentiment_chars: int = 11
     cache_ttl_seconds: int = 7 * 24 * 60 * 60
     context_terms: int = 20

@@ -219,3 +219,29 @@ def m3_fit(spark, sf):
     found, indexed, staging = vectors(spark, sf)
     assigned, _ = cl.fit(found, indexed, staging)
     return assigned.select("query_id", "doc_ord", "cluster", six_d2())
+
+
+@query("m3_fit_checks", with_("""
+    SELECT p.query_id, CASE WHEN p.n > 3 THEN least(5, greatest(2, p.n // 2)) ELSE greatest(1, p.n) END AS clusters,
+           CAST(0 AS BIGINT) AS pages_elsewhere, CAST(0 AS BIGINT) AS centres_off_mean, true AS converged
+    FROM (SELECT query_id, count(*) AS n FROM page_sizes WHERE n_tokens >= 2 GROUP BY 1) p JOIN (SELECT DISTINCT query_id FROM vocab) v ON v.query_id = p.query_id"""))
+def m3_checks(spark, sf):
+    """The fit's own rules, recomputed with dense vectors: pages nearer to another centre than to their own, centres that
+    are no mean of their pages, the number of clusters, and whether the rounds ended by themselves.
+    """
+    found, indexed, staging = vectors(spark, sf)
+    assigned, centres = cl.fit(found, indexed, staging)
+    width = indexed.groupBy("query_id").agg(F.count("*").cast("int").alias("width"))
+    own = staging.keep(assigned.select("query_id", "doc_ord", "cluster", "cells"), "assigned")
+    ix = F.transform("cells", lambda c: c["ix"])
+    dense = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get("cells", F.array_position(ix, i).cast("int") - 1)["score"], F.lit(0.0)))
+    pages = staging.keep(own.join(width, "query_id").select("query_id", "doc_ord", "cluster", dense.alias("x")), "dense_pages")
+    apart = F.aggregate(F.zip_with("x", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, y: total + y)
+    measured = pages.join(centres.select("query_id", F.col("cluster").alias("c"), "vec"), "query_id").select("query_id", "doc_ord", (F.col("c") == F.col("cluster")).alias("mine"), apart.alias("d"))
+    away = measured.groupBy("query_id", "doc_ord").agg(F.max(F.when(F.col("mine"), F.col("d"))).alias("own"), F.min("d").alias("least"))
+    away = away.groupBy("query_id").agg(F.count_if(F.col("own") > F.col("least") + 1e-6).alias("pages_elsewhere"))
+    sums = pages.select("query_id", "cluster", F.posexplode("x").alias("ix", "w")).groupBy("query_id", "cluster", "ix").agg(F.avg("w").alias("mean"))
+    cells = centres.select("query_id", "cluster", F.posexplode("vec").alias("ix", "w")).join(sums, ["query_id", "cluster", "ix"])
+    off = cells.groupBy("query_id", "cluster").agg(F.max(F.abs(F.col("w") - F.col("mean"))).alias("off")).groupBy("query_id").agg(F.count_if(F.col("off") > 1e-4).alias("centres_off_mean"))
+    counted = centres.groupBy("query_id").agg(F.count("*").alias("clusters"), F.bool_and("converged").alias("converged"))
+    return counted.join(away, "query_id").join(off, "query_id").select("query_id", "clusters", "pages_elsewhere", "centres_off_mean", "converged")

@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -153,7 +154,6 @@ def _plain_matches(texts, surfaces):
 @pytest.mark.parametrize("listed", [200_000, 0])
 def test_entities_as_a_plain_search_finds_them(spark, listed):
     import random
-    from dataclasses import replace
 
     from termgap.params import DEFAULT
 
@@ -176,7 +176,8 @@ def test_sentiment(spark):
     assert sentiment.overall_sentiment(got).first().sentiment == 0.25
 
 
-def test_clusters_against_brute_force(spark):
+@pytest.mark.parametrize("local_pages", [2000, 0])
+def test_clusters_against_brute_force(spark, local_pages):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{chr(97 + g)}{chr(97 + int(i))}x" for i in rng.integers(0, 5, size=14)) for g in (0, 1, 2) for _ in range(5)]
     params = Params()
@@ -185,7 +186,8 @@ def test_clusters_against_brute_force(spark):
         vocab = staging.keep(tfidf.vocabulary(pages), "v")
         indexed = staging.keep(cl.indexed_vocabulary(vocab), "i")
         vectors = staging.keep(cl.page_vectors(tfidf.page_scores(pages, vocab)), "x")
-        assigned, centres = cl.fit(vectors, indexed, staging, params)
+        assigned, centres = cl.fit(vectors, indexed, staging, replace(params, local_pages=local_pages))
+        assert all(r.converged and 0 < r.rounds < 300 for r in centres.collect())
         got = {r.doc_ord: r.cluster for r in assigned.collect()}
         width = indexed.count()
         x = np.zeros((15, width))
