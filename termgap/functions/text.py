@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termgap.functions.lookup import HashTable
+
 # Patterns that read the same in Java regex and RE2.
 SPACE_CHARS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 URL = rf"https?://[^{SPACE_CHARS}]+"
@@ -66,18 +68,12 @@ def keep_words(column: str, stop_words: list[str], min_chars: int) -> Column:
 def keep_lemmas(column: str, stop_words: list[str], lemmas: dict[str, str | None], min_chars: int) -> Column:
     """Drop stop words, forms without a kept lemma and short unknown words; replace the listed forms.
 
-    ``lemmas`` maps a form to its lemma, or to None where it is dropped. The hashed set sends only listed forms to the
-    map, whose lookup is linear: meant for short lists, longer lexicons are joined.
+    ``lemmas`` maps a form to its lemma, or to None where it is dropped. They and the stop words are one hash table of
+    the plan, so a word costs one lookup whatever the lexicon's size.
     """
-    dropped = sorted(set(stop_words) | {form for form, lemma in lemmas.items() if lemma is None})
-    listed = {form: lemma for form, lemma in lemmas.items() if lemma is not None and form not in dropped}
-    if not listed:
-        return keep_words(column, dropped, min_chars)
-    forms = _quoted(sorted(listed))
-    unwanted = f"w NOT IN ({_quoted(dropped)}) AND " if dropped else ""
-    kept = f"filter({column}, w -> {unwanted}(length(w) >= {min_chars} OR w IN ({forms})))"
-    lookup = f"map_from_arrays(array({forms}), array({_quoted([listed[form] for form in sorted(listed)])}))"
-    return F.expr(f"transform({kept}, w -> CASE WHEN w IN ({forms}) THEN element_at({lookup}, w) ELSE w END)")
+    table = HashTable({form: lemma or "" for form, lemma in lemmas.items()} | {word: "" for word in stop_words})
+    wanted = F.filter(column, lambda w: F.when(table.has(w), True).otherwise(F.length(w) >= min_chars))
+    return F.filter(F.transform(wanted, lambda w: F.when(table.has(w), table.get(w)).otherwise(w)), lambda w: w != "")
 
 
 def by_language(language: Column, per_language: dict[str, Column], other: Column) -> Column:

@@ -1,8 +1,8 @@
 """Language resources as lookup tables: stop words, lexicon, gazetteer, polarity.
 
 They stand in for statistical language models, so results differ from those of a tagger or a sentiment model. The
-defaults below are short; pass your own tables for real corpora. No join hint is given on them: Catalyst broadcasts a
-table only while its size is under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+defaults below are short examples in the language of the test tables; pass your own tables for real corpora. Joined
+tables are broadcast while they are under ``spark.sql.autoBroadcastJoinThreshold`` and shuffled beyond it.
 """
 
 from __future__ import annotations
@@ -123,15 +123,12 @@ GAZETTEER_SQL = values_sql(GAZETTEER, ("lang", "surface", "label"))
 POLARITY_SQL = values_sql(POLARITY, ("lang", "word", "polarity"))
 
 
-MAX_LISTED_FORMS = 500
-
-
 @dataclass
 class Resources:
     """Lookup tables by language.
 
-    ``stop_words`` are inlined as hashed sets. ``lexicon`` is a short list of (lang, form, lemma, pos), inlined too, or
-    a table of any size, joined. The other tables are joined.
+    ``lexicon`` is a list of (lang, form, lemma, pos), which travels in the plan with the stop words as a hash table (up
+    to 32 MB a language), or a table of any size, joined. The other tables are joined.
     """
 
     stop_words: dict[str, list[str]] = field(default_factory=lambda: STOP_WORDS)
@@ -139,10 +136,6 @@ class Resources:
     gazetteer: DataFrame | None = None
     polarity: DataFrame | None = None
 
-    def __post_init__(self):
-        if isinstance(self.lexicon, list) and len(self.lexicon) > MAX_LISTED_FORMS:
-            raise ValueError(f"a listed lexicon holds at most {MAX_LISTED_FORMS} forms; pass a DataFrame")
-
     def lemmas(self, lang: str, min_chars: int) -> dict[str, str | None]:
         """Form to lemma for one language; None where the part of speech or the length is not kept.
 

@@ -54,11 +54,6 @@ def test_preprocessing_listed_and_joined_lexicon_agree(spark):
         assert [got[i] for i in range(len(SENTENCES))] == [b for _, b in SENTENCES]
 
 
-def test_listed_lexicon_is_bounded():
-    with pytest.raises(ValueError):
-        Resources(STOP, [("de", str(i), "x", "NOUN") for i in range(501)])
-
-
 def brute_scores(token_lists, params):
     pages = [t for t in token_lists if len(t) >= 2]
     grams = [t + [f"{a} {b}" for a, b in zip(t, t[1:])] for t in pages]
@@ -229,6 +224,19 @@ def test_term_tables_as_files(spark, tmp_path):
     assert got == want
 
 
+def test_a_large_lexicon_in_the_row_equals_the_joined_one(spark):
+    entries = [("de", f"form{i}", f"lemma{i % 7}x" if i % 3 else f"Form{i}", ("NOUN", "ADV", "VERB", "ADP")[i % 4]) for i in range(100_000)]
+    entries += [("de", "zwei", "zwei", "ADV"), ("de", "zwei", "zweig", "NOUN"), ("de", "kurz", "ab", "NOUN"), ("en", "form5", "other", "NOUN")]
+    df = docs(spark, ["form0 Form1 form2 form3 form99998 form100000 zwei kurz und der form5 ab", "", None, "der die das"])
+    table = spark.createDataFrame(entries, "lang STRING, form STRING, lemma STRING, pos STRING")
+    listed = page_tokens(df, Resources(STOP, entries))
+    joined = page_tokens(df, Resources(STOP, table))
+    rows = lambda d: sorted((r.doc_ord, r.tokens or [], r.n_tokens) for r in d.collect() if r.tokens)
+    assert rows(listed) == rows(joined) and rows(listed)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_terms_are_not_shuffled(spark):
     """Without broadcasts the pages meet their vocabulary by keyword; no exchange holds a term of a page."""
     pages = tfidf.page_terms(page_tokens(docs(spark, ["aaa bbb", "aaa bbb"]), Resources(STOP)))
