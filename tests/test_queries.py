@@ -10,7 +10,7 @@ CHEAP = (
     "s1_search_results", "s4_cached_results", "s5_legacy_snapshots", "c1_request_validation", "c5_organic_results",
     "c6_related_questions", "c8_fetch_outcome", "c10_main_text", "c12_valid_failed_split", "f5_words", "f13_safe_names",
     "j1_pages_by_url", "k4_hits_and_misses", "k6_stored_outcomes", "m1_tfidf", "m2_term_gap", "m4_entities", "m5_sentiment",
-    "m3_cluster_step",
+    "m3_cluster_step", "s2_page_charsets", "w1_term_table", "k5_latest_entry", "m2_full_run", "w8_run_table",
 )
 
 
@@ -30,4 +30,4 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {n for n in QUERIES if n not in entry.oracle_sql()} == {"m3_cluster_fit", "k8_cleared", "a16_summary"}
+    assert {n for n in QUERIES if n not in entry.oracle_sql()} == {"m3_cluster_fit", "m2_full_run_clusters"}
