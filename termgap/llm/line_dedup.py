@@ -15,7 +15,7 @@ CELLS = 1 << 16
 BEFORE = 3
 #: What a line is known by: h tells apart the texts of one id.
 LINE = ["doc_id", "h", "line_no"]
-#: Lines whose prefix rows, about ten of 60 bytes each, may be sent to every task.
+#: Lines whose prefix tokens, about ten of 4 bytes each, may be sent to every task.
 SENT_LINES = 50_000
 #: Line numbers (and eight more for each document) that may be sent to every task: 16 MB. Beyond, texts are shuffled.
 SENT_NUMBERS = 4_000_000
@@ -114,10 +114,15 @@ def _candidates(filed: DataFrame) -> DataFrame:
 
 
 def _all_candidates(probes: DataFrame, first: DataFrame) -> DataFrame:
-    """Every earlier line that passes the filters for the lines of `probes`, as pairs; few probes are sent to all tasks."""
+    """Every earlier line that passes the filters for the lines of `probes`, as pairs.
+
+    The tokens of few probes, a hash each, are sent to all tasks, so that only rows under one of them are shuffled.
+    """
     a = _filed(first.join(probes, LINE, "left_semi"))
-    a = F.broadcast(a) if probes.count() <= SENT_LINES else a
-    b = _filed(first).select(F.col("token").alias("t"), F.col("e").alias("o"))
+    b = _filed(first)
+    if probes.count() <= SENT_LINES:
+        b = b.join(F.broadcast(a.select("token").distinct()), "token", "left_semi")
+    b = b.select(F.col("token").alias("t"), F.col("e").alias("o"))
     pairs = b.join(a, (F.col("token") == F.col("t")) & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o")))
     return pairs.select(*[f"e.{x}" for x in LINE], F.struct(*[f"o.{x}" for x in LINE]).alias("c")).distinct()
 
