@@ -4,9 +4,10 @@ Every passage of every training document is a query. An item longer than a passa
 so short that a copy of it lies whole in some passage; an item's score is that of its best segment. A score is given as the share of the score that
 the segment's own text reaches, so one threshold serves short and long items. The index keeps, for each term, its largest impact on any item and its largest impact in each
 block of items. A passage is dropped as soon as the sum of its terms' largest impacts stays under the threshold
-(the WAND bound), then block by block with the blocks' own largest impacts; only items of blocks that could
-reach it are scored. Both bounds are never below a score, so every item above the threshold is retrieved. Retrieved
-items count if their question and their answer, whole, are found near the passage in word shingles.
+(the WAND bound); its pivot then says which terms may open blocks, and the blocks' own largest impacts which of these are read; only
+items of blocks that could reach the threshold are scored. No bound is below a score, so every item above the threshold is retrieved.
+The passages of a slice of texts are searched together. Retrieved items count if their question and their answer, whole, are found near
+the passage in word shingles.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ SEGMENT, SEGMENT_STRIDE = PASSAGE - STRIDE, STRIDE // 2
 THRESHOLD = 0.5
 SHINGLE, OVERLAP = 5, 0.8
 ITEM_BLOCK = 16
+#: Passages searched together, and cells (passage, block of segments) of them at most: they bound a task's memory only.
+STEP_PASSAGES, STEP_CELLS = 4096, 1 << 21
+#: Room for rounding in sums of bounds.
+SLACK = 1e-7
 #: Items of one index at most; a larger benchmark is searched index by index, each small enough to send to every task.
 INDEX_ITEMS, INDEX_WORDS = 4096, 1_000_000
 
@@ -95,57 +100,105 @@ class Index:
         head = np.flatnonzero(np.diff(block, prepend=-1) | np.isin(np.arange(len(block)), self.starts[:-1]))
         self.block_of, self.block_max = block[head], np.maximum.reduceat(self.impact, head) if len(head) else self.impact
         self.block_starts = np.searchsorted(head, self.starts)
+        self.heads = np.append(head, len(block))
 
     def term_ids(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
         return np.where(self.terms[at] == hashes, at, -1)
 
     @staticmethod
-    def _rows(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        a, n = starts[terms], starts[terms + 1] - starts[terms]
-        return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+    def _rows(starts: np.ndarray, lists: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all entries of the lists, and what `of` says of each entry's list."""
+        a, n = starts[lists], starts[lists + 1] - starts[lists]
+        return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(of, n)
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All (item number, score of its best segment) with a score of the threshold or more for a passage's distinct terms."""
-        at = self._rows(self.block_starts, terms)
-        bounds = np.bincount(self.block_of[at], self.block_max[at], self.n_blocks)
-        open_ = bounds >= threshold - 1e-9
-        if not open_.any():
-            return []
-        at = self._rows(self.starts, terms)
-        at = at[open_[self.item[at] // ITEM_BLOCK]]
-        scores = np.bincount(self.item[at], self.impact[at], len(self.owner))
         best: dict[int, float] = {}
-        for i in np.flatnonzero(scores >= threshold - 1e-9):
-            best[int(self.owner[i])] = max(best.get(int(self.owner[i]), 0.0), float(scores[i]))
+        for segment, score in zip(*self.search_passages(np.zeros(len(terms), np.int64), terms, 1, threshold)[1:]):
+            best[int(self.owner[segment])] = max(best.get(int(self.owner[segment]), 0.0), float(score))
         return list(best.items())
 
-
-def search_document(index: Index, hashes: np.ndarray, ids: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
-    """(item_id, score, question overlap, answer overlap) of the items verified in one document."""
-    n = len(ids)
+    def search_passages(self, passage: np.ndarray, terms: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, segment, score) of every score of the threshold or more, for `n` passages given as distinct (passage, term) pairs in order.
+
+        The terms of a passage, in order of their largest impacts, have a pivot: those before it stay under the threshold together, so a
+        segment needs one from the pivot on. Blocks are opened by these alone, the others counted at their largest; lists of the terms before the
+        pivot, which are the long ones, are read only for passages with an open block.
+        """
+        enough = threshold - SLACK
+        order = np.lexsort((self.largest[terms], passage))
+        sums = np.concatenate(([0.0], np.cumsum(self.largest[terms[order]])))
+        heads = np.searchsorted(passage, np.arange(n + 1))
+        leads = np.zeros(len(terms), bool)
+        leads[order] = sums[1:] - sums[heads[passage]] >= enough
+        spare = np.bincount(passage[~leads], self.largest[terms[~leads]], n)  # of the terms before the pivot
+        at, of = self._rows(self.block_starts, terms[leads], passage[leads])
+        bounds = np.bincount(of * self.n_blocks + self.block_of[at], self.block_max[at], n * self.n_blocks).reshape(n, -1)
+        left = ((bounds > 0) & (bounds + spare[:, None] >= enough)).any(axis=1)[passage]
+        passage, terms = passage[left], terms[left]
+        at, of = self._rows(self.block_starts, terms, passage)
+        cells = of * self.n_blocks + self.block_of[at]
+        open_ = np.bincount(cells, self.block_max[at], n * self.n_blocks)[cells] >= enough
+        at, of = self._rows(self.heads, at[open_], of[open_])
+        keys, inverse = np.unique(of * len(self.owner) + self.item[at], return_inverse=True)
+        scores = np.bincount(inverse, self.impact[at], len(keys))
+        good = scores >= threshold - 1e-9
+        return keys[good] // len(self.owner), keys[good] % len(self.owner), scores[good]
+
+
+def _passages(index: Index, ids: np.ndarray, cuts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, end) of the passages of all rows whose known words could reach the threshold; row k has the words from cuts[k] to cuts[k + 1].
+
+    A repeated word counts again in this bound, so it is no smaller than the bound over distinct words.
+    """
+    size = np.diff(cuts)
+    n = np.where(size > 0, -(-np.maximum(1, size - PASSAGE + STRIDE) // STRIDE), 0)
+    row = np.repeat(np.arange(len(size)), n)
+    starts = cuts[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    ends = np.minimum(starts + PASSAGE, cuts[row + 1])
     bound = np.concatenate(([0.0], np.cumsum(np.where(ids >= 0, index.largest[ids], 0.0))))
-    starts = np.arange(0, max(1, n - PASSAGE + STRIDE), STRIDE)
-    ends = np.minimum(starts + PASSAGE, n)
-    best: dict[int, tuple] = {}
-    # a repeated term counts again in this bound, so it is no smaller than the bound over distinct terms
-    for a, e in zip(starts.tolist(), ends.tolist()):
-        if bound[e] - bound[a] < threshold - 1e-9:
-            continue
-        terms = np.unique(ids[a:e])
-        terms = terms[terms >= 0]
-        if index.largest[terms].sum() < threshold - 1e-9:
-            continue
-        for i, score in index.search(terms, threshold):
+    open_ = bound[ends] - bound[starts] >= threshold - SLACK
+    return row[open_], starts[open_], ends[open_]
+
+
+def _terms(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (number of the passage, known term), in order."""
+    size = ends - starts
+    passage = np.repeat(np.arange(len(starts)), size)
+    found = ids[np.arange(len(passage)) + np.repeat(starts - np.cumsum(size) + size, size)]
+    keys = np.sort((passage * n_terms + found)[found >= 0])
+    keys = keys[np.diff(keys, prepend=-1) > 0]
+    return keys // n_terms, keys % n_terms
+
+
+def search_rows(index: Index, hashes: np.ndarray, ids: np.ndarray, cuts: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
+    """(row, item_id, score, question overlap, answer overlap) of the items verified in each row of a slice, all passages of it at once."""
+    row, starts, ends = _passages(index, ids, cuts, threshold)
+    step = max(1, min(STEP_PASSAGES, STEP_CELLS // max(1, index.n_blocks)))
+    best: dict[tuple[int, int], tuple] = {}
+    for at in range(0, len(row), step):
+        a, e = starts[at : at + step], ends[at : at + step]
+        passage, segment, scores = index.search_passages(*_terms(ids, a, e, len(index.terms)), len(a), threshold)
+        retrieved: dict[tuple[int, int], float] = {}
+        for p, i, score in zip(passage.tolist(), index.owner[segment].tolist(), scores.tolist()):
+            retrieved[p, i] = max(retrieved.get((p, i), 0.0), score)
+        for (p, i), score in retrieved.items():
+            k = int(row[at + p])
             reach = len(index.words[i])
-            around = hashes[max(0, a - reach) : e + reach]
+            around = hashes[max(cuts[k], a[p] - reach) : min(cuts[k + 1], e[p] + reach)]
             shares = []
             for part, size in zip(index.parts[i], index.sizes[2 * i : 2 * i + 2]):
                 shares.append(float(np.isin(part, wordhash.runs(around, size)).mean()) if len(part) else 0.0)
             if min(shares) >= overlap:
                 found = (score, *shares)
-                best[i] = max(best.get(i, found), found)
-    return [(index.items[i][0], *x) for i, x in sorted(best.items())]
+                best[k, i] = max(best.get((k, i), found), found)
+    return [(k, index.items[i][0], *x) for (k, i), x in sorted(best.items())]
+
+
+def search_document(index: Index, hashes: np.ndarray, ids: np.ndarray, threshold: float, overlap: float) -> list[tuple]:
+    """(item_id, score, question overlap, answer overlap) of the items verified in one document."""
+    return [x[1:] for x in search_rows(index, hashes, ids, np.array([0, len(ids)]), threshold, overlap)]
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
@@ -219,10 +272,7 @@ def _searcher(index, threshold: float, overlap: float):
                 hashes, row = wordhash.words(data, offsets, wordhash.MARKS)
                 terms = held.term_ids(hashes)
                 cuts = np.searchsorted(row, np.arange(n + 1))
-                for k in range(n):
-                    a, e = cuts[k], cuts[k + 1]
-                    if a < e:
-                        out += [(*ids[first + k], *x) for x in search_document(held, hashes[a:e], terms[a:e], threshold, overlap)]
+                out += [(*ids[first + k], *x) for k, *x in search_rows(held, hashes, terms, cuts, threshold, overlap)]
             cols = list(zip(*out)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
