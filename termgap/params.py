@@ -27,6 +27,7 @@ class Params:
     cluster_rounds: int = 300
     local_pages: int = 2000
     min_sentiment_chars: int = 11
+    modifier_words: int = 3
     cache_ttl_seconds: int = 7 * 24 * 60 * 60
     context_terms: int = 20
     context_cluster_terms: int = 8

@@ -75,7 +75,7 @@ def analyze(
     out["page_entities"] = staging.keep(per_page, "page_entities")
     out["entities"] = entities.overall_entities(out["page_entities"], params)
 
-    tone = sentiment.page_sentiment(status.enabled(docs, requests, "sentiment"), resources.polarity, params)
+    tone = sentiment.page_sentiment(status.enabled(docs, requests, "sentiment"), resources.polarity, params, resources.modifiers)
     out["sentiment"] = staging.keep(tone.join(page_key, ["query_id", "doc_ord"], "left_semi"), "page_sentiment")
     out["overall_sentiment"] = sentiment.overall_sentiment(out["sentiment"])
 

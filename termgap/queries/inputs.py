@@ -8,6 +8,7 @@ from termgap.functions import naming
 from termgap.functions.html import main_text
 from termgap.operators import status, tokens
 from termgap.params import DEFAULT
+from termgap.queries import fixtures
 from termgap.queries import tables as t
 from termgap.queries.registry import query
 from termgap.queries.sql import lit, with_, with_main_text
@@ -95,8 +96,8 @@ def s5(spark, sf):
     ON r.lang = w.lang AND r.word = w.word GROUP BY ALL"""))
 def s6(spark, sf):
     stop = spark.sql(resources.STOP_WORDS_SQL).select(F.lit("stop_word").alias("kind"), "lang", "word")
-    lexicon = spark.sql(resources.LEXICON_SQL).select(F.lit("lexicon").alias("kind"), "lang", F.col("form").alias("word"))
-    polarity = spark.sql(resources.POLARITY_SQL).select(F.lit("polarity").alias("kind"), "lang", "word")
+    lexicon = spark.sql(fixtures.LEXICON_SQL).select(F.lit("lexicon").alias("kind"), "lang", F.col("form").alias("word"))
+    polarity = spark.sql(fixtures.POLARITY_SQL).select(F.lit("polarity").alias("kind"), "lang", "word")
     listed = stop.unionByName(lexicon).unionByName(polarity)
     used = tokens.word_rows(t.docs(spark, sf)).groupBy("lang", "word").agg(F.count("*").alias("n"))
     return used.join(listed, ["lang", "word"]).select("kind", "lang", "word", F.col("n").alias("uses"))
@@ -210,7 +211,7 @@ def j4(spark, sf):
     LEFT JOIN lexicon l ON l.lang = w.lang AND l.form = w.word
     WHERE coalesce(l.pos, 'NOUN') IN ('NOUN', 'VERB', 'ADJ', 'PROPN') GROUP BY ALL"""))
 def j5(spark, sf):
-    rows = tokens.lemmas(tokens.word_rows(t.docs(spark, sf)), spark.sql(resources.LEXICON_SQL))
+    rows = tokens.lemmas(tokens.word_rows(t.docs(spark, sf)), spark.sql(fixtures.LEXICON_SQL))
     return rows.where(F.col("lemma").isNotNull()).groupBy("query_id", "word", "lemma").agg(F.count("*").alias("n"))
 
 

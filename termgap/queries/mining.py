@@ -9,10 +9,10 @@ from termgap.operators import entities, sentiment, tfidf
 from termgap.params import DEFAULT
 from termgap.queries import tables as t
 from termgap.queries import terms
+from termgap.queries.fixtures import GAZETTEER_SQL, MODIFIERS, POLARITY_SQL
 from termgap.queries.registry import query
 from termgap.queries.sql import with_
 from termgap.session import Staging
-from termgap.sources.resources import GAZETTEER_SQL, POLARITY_SQL
 
 
 def matches(spark, sf):
@@ -93,6 +93,12 @@ def a10(spark, sf):
     return tone(spark, sf).select("query_id", "doc_ord", "counted", terms.six("sentiment"))
 
 
+@query("a10_modified_sentiment", with_("SELECT query_id, doc_ord, counted, round(sentiment, 6) AS sentiment FROM turned_tone"))
+def a10_modified(spark, sf):
+    pages = sentiment.page_sentiment(t.docs(spark, sf), spark.sql(POLARITY_SQL), modifiers=MODIFIERS)
+    return pages.select("query_id", "doc_ord", "counted", terms.six("sentiment"))
+
+
 @query("a11_mean_sentiment", with_("SELECT query_id, round(sentiment, 6) AS sentiment FROM overall_tone"))
 def a11(spark, sf):
     return sentiment.overall_sentiment(tone(spark, sf)).select("query_id", terms.six("sentiment"))

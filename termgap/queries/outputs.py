@@ -12,13 +12,13 @@ from termgap.operators import context, report, reuse, sentiment, tfidf
 from termgap.plans.analysis import run
 from termgap.queries import inputs, mining, terms
 from termgap.queries import tables as t
+from termgap.queries.fixtures import resources
 from termgap.queries.registry import query
 from termgap.queries.sql import RUN, lit, with_
 from termgap.session import Staging
 from termgap.sinks import writers
 from termgap.sinks.writers import context_text
 from termgap.sources.references import attach_references
-from termgap.sources.resources import default_resources
 
 
 def now():
@@ -329,7 +329,7 @@ def full_run(spark, sf):
     """
     staging = Staging(spark)
     kept = reuse.Store(spark, f"{staging.root}/store")
-    out = run(t.run_requests(spark, sf), t.run_payloads(spark, sf), t.crawl(spark, sf), t.run_references(spark, sf), default_resources(spark), staging, now(), store=kept)
+    out = run(t.run_requests(spark, sf), t.run_payloads(spark, sf), t.crawl(spark, sf), t.run_references(spark, sf), resources(spark), staging, now(), store=kept)
     return out | {"report": staging.keep(out["report"], "report"), "runs": staging.keep(out["runs"], "runs"), "store": kept}
 
 
@@ -358,7 +358,7 @@ def m2_clusters(spark, sf):
 def m2_second(spark, sf):
     """What a second run finds stored: all searches but the failed ones, and every page that was crawled."""
     staging, store = Staging(spark), full_run(spark, sf)["store"]
-    out = run(t.run_requests(spark, sf), t.run_payloads(spark, sf), t.crawl(spark, sf), t.run_references(spark, sf), default_resources(spark), staging, now(), store=store)
+    out = run(t.run_requests(spark, sf), t.run_payloads(spark, sf), t.crawl(spark, sf), t.run_references(spark, sf), resources(spark), staging, now(), store=store)
     return out["reuse"].select("kind", "hits", "misses")
 
 

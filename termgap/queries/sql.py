@@ -11,7 +11,8 @@ from html.entities import html5
 from termgap.functions.naming import LONG_NAME_CUT, NOT_ALLOWED, SEPARATOR_RUN
 from termgap.functions.text import DIGITS, SPACES, URL, WORD
 from termgap.queries import tables as t
-from termgap.sources.resources import GAZETTEER_SQL, KEPT_POS, LEXICON_SQL, POLARITY_SQL, STOP_WORDS_SQL
+from termgap.queries.fixtures import GAZETTEER_SQL, LEXICON_SQL, MODIFIERS_SQL, POLARITY_SQL
+from termgap.sources.resources import KEPT_POS, STOP_WORDS_SQL
 
 
 #: What stands between words.
@@ -113,6 +114,7 @@ RELATIONS = {
     "lexicon": LEXICON_SQL,
     "gazetteer": GAZETTEER_SQL,
     "polarity": POLARITY_SQL,
+    "modifiers": MODIFIERS_SQL,
     "docs": "SELECT source AS query_id, doc_id AS doc_ord, 'doc://' || doc_id AS url, lang, text FROM documents",
     "refs": "SELECT 'src' || item_id AS query_id, 'en' AS lang, text AS ref_text FROM benchmark",
     "requests": """
@@ -280,6 +282,16 @@ RELATIONS = {
         FROM docs d LEFT JOIN (SELECT w.query_id, w.doc_ord, avg(p.polarity) AS mean FROM words w
                                JOIN polarity p ON p.lang = w.lang AND p.word = w.word GROUP BY ALL) s
         ON s.query_id = d.query_id AND s.doc_ord = d.doc_ord""",
+    "turned": """
+        SELECT query_id, doc_ord, lang, word, coalesce(lag(factor, 1) OVER o, 1.0) * coalesce(lag(factor, 2) OVER o, 1.0) * coalesce(lag(factor, 3) OVER o, 1.0) AS factor
+        FROM (SELECT w.*, coalesce(m.factor, 1.0) AS factor FROM words w LEFT JOIN modifiers m ON m.lang = w.lang AND m.word = w.word)
+        WINDOW o AS (PARTITION BY query_id, doc_ord ORDER BY pos)""",
+    "turned_tone": """
+        SELECT d.query_id, d.doc_ord, length(d.text) > 10 AS counted,
+               CASE WHEN length(d.text) > 10 THEN coalesce(s.mean, 0.0) ELSE 0.0 END AS sentiment
+        FROM docs d LEFT JOIN (SELECT w.query_id, w.doc_ord, avg(greatest(-1.0, least(1.0, p.polarity * w.factor))) AS mean FROM turned w
+                               JOIN polarity p ON p.lang = w.lang AND p.word = w.word GROUP BY ALL) s
+        ON s.query_id = d.query_id AND s.doc_ord = d.doc_ord""",
     "overall_tone": """
         SELECT query_id, coalesce(avg(sentiment) FILTER (WHERE counted), 0.0) AS sentiment FROM tone GROUP BY query_id""",
     "cache": f"""

@@ -9,15 +9,15 @@ from termgap.operators import gap, report, tfidf
 from termgap.operators.tokens import page_tokens
 from termgap.plans.analysis import term_gap
 from termgap.queries import tables as t
+from termgap.queries.fixtures import resources
 from termgap.queries.registry import query
 from termgap.queries.sql import with_
 from termgap.session import Staging
 from termgap.sinks import writers
-from termgap.sources.resources import default_resources
 
 
 def tokens(spark, sf, carry=()):
-    return page_tokens(t.docs(spark, sf), default_resources(spark), carry=carry)
+    return page_tokens(t.docs(spark, sf), resources(spark), carry=carry)
 
 
 def pages(spark, sf, carry=()):
@@ -48,7 +48,7 @@ def top(spark, sf):
 
 
 def ref_tokens(spark, sf):
-    return gap.reference_tokens(t.references(spark, sf), default_resources(spark))
+    return gap.reference_tokens(t.references(spark, sf), resources(spark))
 
 
 def missing(spark, sf):
@@ -187,7 +187,7 @@ def m7(spark, sf):
     SELECT t.query_id, CAST(t.rank AS INTEGER) AS rank, t.term, round(t.score, 6) AS score, t.pages, m.term IS NOT NULL AS is_missing
     FROM top t LEFT JOIN missing m ON m.query_id = t.query_id AND m.term = t.term"""))
 def m2(spark, sf):
-    found = term_gap(t.docs(spark, sf), t.references(spark, sf), default_resources(spark), Staging(spark))
+    found = term_gap(t.docs(spark, sf), t.references(spark, sf), resources(spark), Staging(spark))
     return found.withColumn("score", F.round("score", 6))
 
 

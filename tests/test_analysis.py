@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from termgap.operators import clusters as cl
 from termgap.operators import entities, report, sentiment, tfidf
 from termgap.operators.tokens import page_tokens
-from termgap.params import Params
+from termgap.params import DEFAULT, Params
 from termgap.plans.analysis import analyze, run
 from termgap.schema import CRAWL, DOCS, PAYLOADS, REFERENCES, REQUESTS
 from termgap.session import Staging
 from termgap.sinks.writers import complete_runs, read_manifest, write_outputs, write_run
-from termgap.sources.resources import Resources
+from termgap.sources.resources import Resources, default_resources, read_resources
 
 STOP = {"de": "das der die ein eine in ist mit und von war im dies wir wie auch".split(), "en": ["the"]}
 LEXICON = [
@@ -150,7 +150,6 @@ def _plain_matches(texts, surfaces):
 def test_entities_as_a_plain_search_finds_them(spark, listed):
     import random
 
-    from termgap.params import DEFAULT
 
     rng = random.Random(8)
     words = ["Aba", "Bab", "Caca", "Dada", "Eee"]
@@ -171,6 +170,45 @@ def test_sentiment(spark):
     assert sentiment.overall_sentiment(got).first().sentiment == 0.25
 
 
+def test_modifiers_turn_and_scale_polarity(spark):
+    listed = [("de", "nicht", -1.0), ("de", "sehr", 1.5), ("de", "kaum", 0.5), ("de", "extrem", 4.0), ("en", "super", -1.0)]
+    texts = [
+        "Das ist super heute.", "Das ist nicht super heute.", "Das ist nicht sehr super.", "Das ist extrem tolle Ware.",
+        "nicht eins zwei drei super", "nicht eins zwei super", "super nicht gewesen", "nicht nicht super hier", "kaum schlechte Ware", None,
+        "super super super", "nichts davon gelistet",
+    ]
+    pages, polarity = docs(spark, texts), resources(spark).polarity
+    got = {r.doc_ord: r.sentiment for r in sentiment.page_sentiment(pages, polarity, modifiers=listed).collect()}
+    want = [0.5, -0.5, -0.75, 1.0, 0.5, -0.5, 0.5, 0.5, -0.25, 0.0, 0.5, 0.0]
+    assert [got[i] for i in range(len(texts))] == want
+    plain = sentiment.page_sentiment(pages, polarity).collect()
+    assert sorted(plain) == sorted(sentiment.page_sentiment(pages, polarity, modifiers=[]).collect())
+    narrow = replace(DEFAULT, modifier_words=1)
+    assert {r.doc_ord: r.sentiment for r in sentiment.page_sentiment(pages, polarity, narrow, listed).collect()}[5] == 0.5
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(sentiment.page_sentiment(pages, polarity, modifiers=listed)) == exchanges(sentiment.page_sentiment(pages, polarity))
+
+
+def test_resources_of_a_folder(spark, tmp_path):
+    assert read_resources(spark, str(tmp_path)).lexicon == []
+    (tmp_path / "stop_words.csv").write_text("lang,word\nde,und\nde,und\nde,\nnl,een\n")
+    (tmp_path / "modifiers.csv").write_text("lang,word,factor\nde,nicht,-1\nde,nicht,0.5\nde,sehr,viel\n")
+    (tmp_path / "polarity.csv").write_text('lang,word,polarity\nde,"gut, sehr",1\nde,schlecht,-0.5\n')
+    spark.createDataFrame([("de", "Häuser", "Haus", "NOUN"), ("de", "x", None, "NOUN")], "lang STRING, form STRING, lemma STRING, pos STRING").write.parquet(str(tmp_path / "lexicon.parquet"))
+    got = read_resources(spark, str(tmp_path))
+    assert got.stop_words == {"de": ["und"], "nl": ["een"]} and got.modifiers == [("de", "nicht", -1.0)]
+    assert got.lexicon == [("de", "Häuser", "Haus", "NOUN")] and got.gazetteer.count() == 0
+    assert sorted(tuple(r) for r in got.polarity.collect()) == [("de", "gut, sehr", 1.0), ("de", "schlecht", -0.5)]
+
+
+def test_analysis_without_tables_of_ones_own(spark):
+    listed = default_resources(spark)
+    assert len({m[:2] for m in listed.modifiers}) == len(listed.modifiers) and {m[0] for m in listed.modifiers} == set(listed.stop_words)
+    pages = docs(spark, SENTENCES)
+    assert entities.entity_matches(pages, listed.gazetteer).count() == 0
+    assert {r.sentiment for r in sentiment.page_sentiment(pages, listed.polarity, modifiers=listed.modifiers).collect()} == {0.0}
+
+
 @pytest.mark.parametrize("local_pages", [2000, 0])
 def test_clusters_against_brute_force(spark, local_pages):
     rng = np.random.default_rng(3)

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 CHEAP = (
     "s1_search_results", "s4_cached_results", "s5_legacy_snapshots", "c1_request_validation", "c5_organic_results",
     "c6_related_questions", "c8_fetch_outcome", "c10_main_text", "c12_valid_failed_split", "f5_words", "f13_safe_names",
-    "j1_pages_by_url", "k4_hits_and_misses", "k6_stored_outcomes", "m1_tfidf", "m2_term_gap", "m4_entities", "m5_sentiment",
+    "j1_pages_by_url", "k4_hits_and_misses", "k6_stored_outcomes", "m1_tfidf", "m2_term_gap", "m4_entities", "m5_sentiment", "a10_modified_sentiment", "s6_language_resources",
     "m3_cluster_step", "s2_page_charsets", "w1_term_table", "k5_latest_entry", "m2_full_run", "w8_run_table",
 )
 
