@@ -82,13 +82,13 @@ ENTRY = (*LINE, "n", "pos", "bits0", "bits1")
 
 
 def _filed(first: DataFrame) -> DataFrame:
-    """A row (token, doc_id, h, line_no, entry e) for every prefix token of every line.
+    """A row (token, ENTRY) for every prefix token of every line.
 
     The filters drop nothing; a join would add them to one side, and the two sides would no longer share one shuffle.
     """
     rows = first.filter("n IS NOT NULL AND bits0 IS NOT NULL AND bits1 IS NOT NULL")
     rows = rows.select(*LINE, "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
-    return rows.filter("token IS NOT NULL").withColumn("pos", F.col("pos") + 1).select("token", *LINE, F.struct(*ENTRY).alias("e"))
+    return rows.filter("token IS NOT NULL").select("token", *LINE, "n", (F.col("pos") + 1).alias("pos"), "bits0", "bits1")
 
 
 def _before(a: Column, b: Column) -> Column:
@@ -102,12 +102,14 @@ def _candidates(filed: DataFrame) -> DataFrame:
     The window compares a line with the group's first and the lines before it. A line that finds none there is joined
     with its whole group, so that a group of near copies, in which nearly every line finds one, makes no pairs.
     """
-    group = Window.partitionBy("token").orderBy(*LINE)
+    filed = filed.repartition("token")  # structs are made behind the one shuffle that both sides read
+    entries = filed.select("token", F.struct(*ENTRY).alias("e"))
+    group = Window.partitionBy("token").orderBy(*[f"e.{x}" for x in LINE])
     seen = F.array(F.first("e").over(group), *[F.lag("e", i).over(group) for i in range(1, BEFORE + 1)])
-    a = filed.select("token", "e", F.row_number().over(group).alias("nth"), seen.alias("seen"))
+    a = entries.select("token", "e", F.row_number().over(group).alias("nth"), seen.alias("seen"))
     near = F.filter("seen", lambda c: c.isNotNull() & _before(F.col("e"), c) & _may_match(F.col("e"), c))
     a = a.select("token", "e", (F.col("nth") > BEFORE + 1).alias("more"), F.array_min(F.transform(near, lambda c: F.struct(*[c[x].alias(x) for x in LINE]))).alias("near"))
-    b = filed.select(F.col("token").alias("t"), F.col("e").alias("o"))
+    b = filed.select(F.col("token").alias("t"), F.struct(*ENTRY).alias("o"))
     all_earlier = (F.col("token") == F.col("t")) & F.col("more") & F.col("near").isNull() & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o"))
     found = a.join(b, all_earlier, "left").withColumn("c", F.coalesce("near", F.when(F.col("t").isNotNull(), F.struct(*[F.col(f"o.{x}").alias(x) for x in LINE]))))
     return found.filter("c IS NOT NULL").groupBy(*[f"e.{x}" for x in LINE]).agg(F.min("c").alias("c"))
@@ -118,11 +120,11 @@ def _all_candidates(probes: DataFrame, first: DataFrame) -> DataFrame:
 
     The tokens of few probes, a hash each, are sent to all tasks, so that only rows under one of them are shuffled.
     """
-    a = _filed(first.join(probes, LINE, "left_semi"))
+    a = _filed(first.join(probes, LINE, "left_semi")).select("token", F.struct(*ENTRY).alias("e"))
     b = _filed(first)
     if probes.count() <= SENT_LINES:
         b = b.join(F.broadcast(a.select("token").distinct()), "token", "left_semi")
-    b = b.select(F.col("token").alias("t"), F.col("e").alias("o"))
+    b = b.select(F.col("token").alias("t"), F.struct(*ENTRY).alias("o"))
     pairs = b.join(a, (F.col("token") == F.col("t")) & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o")))
     return pairs.select(*[f"e.{x}" for x in LINE], F.struct(*[f"o.{x}" for x in LINE]).alias("c")).distinct()
 
