@@ -31,3 +31,14 @@ def test_registry():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {n for n in QUERIES if n not in entry.oracle_sql()} == {"m3_cluster_fit", "m2_full_run_clusters"}
+
+
+def test_freshness_of_every_entry(spark, tmp_path):
+    from termgap.queries import QUERIES
+
+    html = '<html lang="de"><title>same</title></html>'
+    rows = [(i, f"https://e.com/{i % 2}", html) for i in (1, 2, 9, 200)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.cache_type, r.fresh) for r in QUERIES["k3_fresh_entries"](spark, str(tmp_path)).collect())
+    text = [(1, True), (2, True), (2, False), (9, True), (200, False), (200, False)]
+    assert got == sorted([(i, "text_v2", f) for i, f in text] + [(i, "serp_v2", i < 168) for i, *_ in rows])
