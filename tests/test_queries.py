@@ -33,6 +33,15 @@ def test_registry():
     assert {n for n in QUERIES if n not in entry.oracle_sql()} == {"m3_cluster_fit", "m2_full_run_clusters"}
 
 
+def test_question_lines_of_every_conversation(spark, tmp_path):
+    from termgap.queries import QUERIES
+
+    rows = [(c, k, role, f"{role} {c} {k}") for c in (1, 21, 41) for k, role in ((0, "user"), (1, "assistant"), (2, "user"))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.query_id: r.questions for r in QUERIES["c15_question_lines"](spark, str(tmp_path)).collect()}
+    assert got == {f"conv{c}": f"  - user {c} 0\n  - user {c} 2" for c in (1, 21, 41)}
+
+
 def test_freshness_of_every_entry(spark, tmp_path):
     from termgap.queries import QUERIES
 
