@@ -73,12 +73,17 @@ def f8(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(found).cast("bigint").alias("n"))
 
 
+#: Bytes of documents whose pairs one task counts.
+PAIRS_BYTES = 4 << 20
+
+
 @query("f9_bigrams", s.with_("""
     SELECT doc_ord, pair, CAST(count(*) AS BIGINT) AS n FROM (
         SELECT doc_ord, word || ' ' || lead(word) OVER (PARTITION BY query_id, doc_ord ORDER BY pos) AS pair FROM words)
     WHERE pair IS NOT NULL GROUP BY ALL"""))
 def f9(spark, sf):
-    found = t.docs(spark, sf).select("doc_ord", text.words(F.col("text")).alias("w"))
+    """Pairs are counted where their document lies; a task holds those of a few MB of texts, however many there are."""
+    found = t.docs(spark, sf, task_bytes=PAIRS_BYTES).select("doc_ord", text.words(F.col("text")).alias("w"))
     pairs = found.select("doc_ord", F.when(F.size("w") > 1, text.bigrams(F.col("w"))).alias("pairs"))
     rows = pairs.select("doc_ord", F.explode_outer("pairs").alias("pair")).where(F.col("pair").isNotNull())
     return rows.groupBy("doc_ord", "pair").agg(F.count("*").alias("n"))

@@ -51,3 +51,17 @@ def test_freshness_of_every_entry(spark, tmp_path):
     got = sorted((r.page_id, r.cache_type, r.fresh) for r in QUERIES["k3_fresh_entries"](spark, str(tmp_path)).collect())
     text = [(1, True), (2, True), (2, False), (9, True), (200, False), (200, False)]
     assert got == sorted([(i, "text_v2", f) for i, f in text] + [(i, "serp_v2", i < 168) for i, *_ in rows])
+
+
+def test_bigrams_spread_over_more_tasks_as_the_texts_grow(spark, tmp_path, monkeypatch):
+    from termgap.queries import QUERIES, scalars
+
+    rows = [(i // 2, "aa bb aa bb " + "".join(chr(97 + (i * k) % 26) for k in range(200)), "en", "src0", 1) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, tasks = [], []
+    for size in (1 << 30, 256):
+        monkeypatch.setattr(scalars, "PAIRS_BYTES", size)
+        found = QUERIES["f9_bigrams"](spark, str(tmp_path))
+        tasks.append(int(found._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(doc_ord")[1].split(", ")[1].split(")")[0]))
+        rows.append(sorted(map(tuple, found.collect())))
+    assert rows[0] == rows[1] and (0, "aa bb", 4) in rows[0] and tasks[1] > tasks[0]
