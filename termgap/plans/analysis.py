@@ -25,10 +25,11 @@ def term_gap(
 ) -> DataFrame:
     """Top terms per keyword and whether the own text lacks them.
 
-    Only the vocabulary is staged: it is small and its exact size decides how it is joined. The texts are tokenised for
-    it and once more for the weights, which moves less data than writing all term counts.
+    The texts are tokenised for the frequent words and once more for the counts of the terms made of them. These and the
+    vocabulary are staged: it is small and its exact size decides how it is joined.
     """
-    pages = tfidf.page_terms(page_tokens(spread(docs, "query_id", "doc_ord"), resources, params), params)
+    tokens = page_tokens(spread(docs, "query_id", "doc_ord"), resources, params)
+    pages = staging.keep(tfidf.frequent_terms(tokens, staging, params), "page_terms")
     scored = tfidf.page_scores(pages, staging.keep(tfidf.vocabulary(pages, params), "vocabulary"))
     top = tfidf.top_terms(tfidf.term_means(tfidf.page_top_terms(scored, params)), params)
     own = gap.reference_tokens(references, resources, params)
@@ -48,12 +49,13 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """All analysis outputs for ``docs(query_id, doc_ord, url, lang, text)``.
 
-    Pages are tokenised once: their term counts are staged and every later step reads only the columns it needs.
+    Pages are tokenised for the frequent words and for the counts of their terms, which are staged; every later step reads
+    only the columns it needs.
     Optional stages run for the keywords whose request has the flag set.
     """
     docs = spread(docs, "query_id", "doc_ord")
     carry = ("url", *[flag for flag in FLAGS if flag in docs.columns])
-    pages = staging.keep(tfidf.page_terms(page_tokens(docs, resources, params, carry=carry), params), "page_terms")
+    pages = staging.keep(tfidf.frequent_terms(page_tokens(docs, resources, params, carry=carry), staging, params), "page_terms")
     page_key = pages.where(F.col("n_tokens") >= params.min_page_tokens).select("query_id", "doc_ord")
     vocab = staging.keep(tfidf.vocabulary(pages, params), "vocabulary")
     scored = staging.keep(tfidf.page_scores(pages, vocab), "scores")

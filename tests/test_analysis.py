@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from termgap.functions import text
 from termgap.operators import clusters as cl
 from termgap.operators import entities, report, sentiment, tfidf
 from termgap.operators.tokens import page_tokens
@@ -387,3 +388,29 @@ def test_a_second_run_works_on_misses_only(spark, tmp_path, monkeypatch):
     assert [x for x in again[3] if x[0] == "a"] == first[3] and first[3]
     assert extracted == [["https://a/1", "https://a/2", "https://a/3"], ["https://a/4"]]
     assert go(raw(("a", "10")), "2024-03-02 00:00:00", use_cache=False)[0] is None and len(extracted[-1]) == 3
+
+
+def test_frequent_terms_give_the_same_vocabulary(spark, tmp_path):
+    """Only terms that can be in the capped vocabulary are counted; ties, null and repeated keys, and tokens of two words included."""
+    words = ["aaa", "bbb", "ccc", "ddd", "eee", "fff", "ggg", "hhh"]
+    rows = [("k", i % 30, [words[(i * i + j * j * (i % 5)) % 8] for j in range(i % 9)] + [f"rare{i}"]) for i in range(60)]
+    rows += [(None, None, ["aaa", "bbb", "aaa"]), (None, 1, ["aaa", "bbb"]), ("few", 1, ["xxx", "yyy"]), ("few", 2, ["xxx", "yyy", "zzz"]), ("one", 1, ["solo"])]
+    rows += [("s", i, ["new york", "new", "york", "new", "york", "qqq"][i % 3 :]) for i in range(6)]
+    tokens = spark.createDataFrame(rows, "query_id string, doc_ord bigint, tokens array<string>").withColumn("n_tokens", F.size("tokens"))
+    for params in (Params(max_features=4), Params(max_features=200), Params(max_features=3, min_df=1), Params(max_features=5, min_df=3)):
+        with Staging(spark) as staging:
+            every, frequent = tfidf.page_terms(tokens, params), tfidf.frequent_terms(tokens, staging, params)
+            want = sorted(map(repr, tfidf.vocabulary(every, params).collect()))
+            assert sorted(map(repr, tfidf.vocabulary(frequent, params).collect())) == want and want
+            left = lambda pages: pages.select("query_id", F.explode("terms.term").alias("t"))
+            assert left(frequent).where("query_id = 'k' AND t LIKE '%rare%'").isEmpty() == (params.min_df > 1 or params.max_features < 4)
+            assert frequent.where("n_tokens >= 2 AND terms IS NULL OR n_tokens < 2 AND terms IS NOT NULL").isEmpty()
+
+
+def test_listed_lemmas_with_a_set_and_with_a_table_alone(spark, monkeypatch):
+    words = spark.createDataFrame([(["ab", "abc", "it's", "going", "the", "xx", "was", "other"],)], "w array<string>")
+    found = []
+    for most in (0, 5000):
+        monkeypatch.setattr(text, "MAX_SET_WORDS", most)
+        found.append(words.select(text.keep_lemmas("w", ["the", "it's"], {"going": "go", "xx": "be", "was": None}, 3)).first()[0])
+    assert found[0] == found[1] == ["abc", "go", "be", "other"]
