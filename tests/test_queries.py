@@ -65,3 +65,30 @@ def test_bigrams_spread_over_more_tasks_as_the_texts_grow(spark, tmp_path, monke
         tasks.append(int(found._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(doc_ord")[1].split(", ")[1].split(")")[0]))
         rows.append(sorted(map(tuple, found.collect())))
     assert rows[0] == rows[1] and (0, "aa bb", 4) in rows[0] and tasks[1] > tasks[0]
+
+
+def test_report_does_each_step_once(spark, tmp_path, monkeypatch):
+    from collections import Counter
+
+    from termgap.queries import mining, outputs, terms
+
+    docs = [(i, f"word{i % 3} apple pear apple {'plum' * (i % 4)} cherry", "en", f"src{i % 2}", 30) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "apple and pear")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0, "user", "why")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    page = '<html lang="de"><title>t</title><body><p>short</p></body></html>'
+    spark.createDataFrame([(5, "https://e.com/5", page)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    done = Counter()
+
+    def counted(module, name):
+        step = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **k: (done.update([name]), step(*a, **k))[1])
+
+    for module, name in ((terms, "tokens"), (mining, "tone"), (mining, "per_page"), (mining, "first_step")):
+        counted(module, name)
+    sections = {r.section for r in outputs.w3(spark, str(tmp_path)).select("section").distinct().collect()}
+    assert done == {"tokens": 1, "tone": 1, "per_page": 1, "first_step": 1}
+    assert {"top_terms", "page_terms", "clusters", "context", "sentiment", "questions", "failed"} <= sections
+    done.clear()
+    assert {r.part for r in outputs.w2(spark, str(tmp_path)).collect()} == {"top_terms_by_url", "sentiment_by_url", "failed_urls"}
+    assert done == {"tokens": 1, "tone": 1}
