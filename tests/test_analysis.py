@@ -407,6 +407,18 @@ def test_frequent_terms_give_the_same_vocabulary(spark, tmp_path):
             assert frequent.where("n_tokens >= 2 AND terms IS NULL OR n_tokens < 2 AND terms IS NOT NULL").isEmpty()
 
 
+def test_every_term_counted_from_tokens(spark):
+    """The same counts as from page terms, without a function over an array of terms; null and repeated keys included."""
+    rows = [("k", i % 7, [["aaa", "bbb", "aaa", "ccc"], ["bbb", "aaa"], ["solo"], [], None, ["ccc"] * 4][i % 6]) for i in range(20)]
+    rows += [(None, None, ["aaa", "aaa", "aaa"]), (None, 1, ["aaa", "aaa"]), ("s", 1, ["new york", "new", "york"]), ("s", 2, ["new", "york"])]
+    tokens = spark.createDataFrame(rows, "query_id string, doc_ord bigint, tokens array<string>").withColumn("n_tokens", F.size("tokens"))
+    for params in (Params(), Params(min_df=1), Params(min_df=3), Params(min_page_tokens=3)):
+        every = tfidf.every_frequency(tokens, params)
+        want = tfidf.term_frequency(tfidf.page_terms(tokens, params), params).where(F.col("term") != tfidf.PAGE_MARK)
+        assert sorted(map(repr, every.collect())) == sorted(map(repr, want.collect())) and every.count()
+        assert "filter(" not in every._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_listed_lemmas_with_a_set_and_with_a_table_alone(spark, monkeypatch):
     words = spark.createDataFrame([(["ab", "abc", "it's", "going", "the", "xx", "was", "other"],)], "w array<string>")
     found = []
