@@ -25,8 +25,8 @@ def term_gap(
 ) -> DataFrame:
     """Top terms per keyword and whether the own text lacks them.
 
-    The texts are tokenised for the frequent words and once more for the counts of the terms made of them. These and the
-    vocabulary are staged: it is small and its exact size decides how it is joined.
+    The tokens of the texts are staged: frequent words are counted from them, then the terms made of these. The terms and
+    the vocabulary are staged too: it is small and its exact size decides how it is joined.
     """
     tokens = page_tokens(spread(docs, "query_id", "doc_ord"), resources, params)
     pages = staging.keep(tfidf.frequent_terms(tokens, staging, params), "page_terms")
@@ -49,8 +49,8 @@ def analyze(
 ) -> dict[str, DataFrame]:
     """All analysis outputs for ``docs(query_id, doc_ord, url, lang, text)``.
 
-    Pages are tokenised for the frequent words and for the counts of their terms, which are staged; every later step reads
-    only the columns it needs.
+    Pages are tokenised once. Their tokens and the counts of the terms made of frequent words are staged; every later step
+    reads only the columns it needs.
     Optional stages run for the keywords whose request has the flag set.
     """
     docs = spread(docs, "query_id", "doc_ord")

@@ -419,6 +419,14 @@ def test_every_term_counted_from_tokens(spark):
         assert "filter(" not in every._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_frequent_terms_tokenise_once(spark):
+    tokens = page_tokens(docs(spark, ["aaa bbb", "aaa bbb ccc"]), Resources(STOP))
+    with Staging(spark) as staging:
+        frequent = tfidf.frequent_terms(tokens, staging)
+        assert "regexp" not in frequent._jdf.queryExecution().optimizedPlan().toString()
+        assert frequent.selectExpr("query_id", "inline(terms)").where("term = 'aaa bbb'").count() == 2
+
+
 def test_listed_lemmas_with_a_set_and_with_a_table_alone(spark, monkeypatch):
     words = spark.createDataFrame([(["ab", "abc", "it's", "going", "the", "xx", "was", "other"],)], "w array<string>")
     found = []
