@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +16,10 @@ NUM, DEN = 4, 5
 CELLS = 1 << 16
 #: Earlier lines of a token's group that the window looks at: the first of all and so many before the line.
 BEFORE = 3
+#: Longs of the wide bitmaps, and the set size above which a line has each: near the size at which random sets would pass the narrower.
+WIDE = ((4, 160), (16, 400))
 #: What a line is known by: h tells apart the texts of one id.
 LINE = ["doc_id", "h", "line_no"]
-#: Lines whose prefix tokens, about ten of 4 bytes each, may be sent to every task.
-SENT_LINES = 50_000
 #: Line numbers (and eight more for each document) that may be sent to every task: 16 MB. Beyond, texts are shuffled.
 SENT_NUMBERS = 4_000_000
 
@@ -50,35 +53,47 @@ def line_sets(rows: DataFrame, levels: bytes) -> DataFrame:
 
 
 def first_lines(sets: DataFrame) -> DataFrame:
-    """The first line of each token set with its size, prefix and bitmap; all others have the same set as an earlier one.
+    """The first line of each token set with its size, prefix and bitmaps; all others have the same set as an earlier one.
 
-    Two sets within the threshold share a token among the rarest n - ceil(4n/5) + 1 of either: the prefix.
+    Two sets within the threshold share a token among the rarest n - ceil(4n/5) + 1 of either: the prefix. A bit of a
+    bitmap is the parity of the tokens that hash to it, so shared tokens cancel out and two bitmaps differ in no more bits
+    than the sets in tokens, however large the sets are.
     """
     n = F.size("tokens")
     prefix = F.transform(F.slice("tokens", 1, n - F.ceil(n * NUM / DEN).cast("int") + 1), lambda t: F.hash(t))
 
-    def bitmap(half: int) -> Column:
-        mine = F.filter("tokens", lambda t: t.bitwiseAND(F.lit(64)) == 64 * half)
+    def bitmap(word: Column | int, longs: int) -> Column:
+        mine = F.filter("tokens", lambda t: t.bitwiseAND(F.lit(64 * (longs - 1))) == 64 * word)
         bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(bit(t))).alias(f"bits{half}")
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+
+    def wide(longs: int, least: int) -> Column:
+        return F.when(n > least, F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda word: bitmap(word, longs)))
 
+    wider = F.when(n > WIDE[0][1], F.concat(wide(*WIDE[0]), F.coalesce(wide(*WIDE[1]), F.array().cast("array<bigint>"))))
     rows = sets.select(
         F.xxhash64("tokens").alias("k1"), F.hash("tokens").alias("k2"), n.alias("n"),
-        F.struct(*LINE, prefix.alias("prefix"), bitmap(0), bitmap(1)).alias("line"),
+        F.struct(*LINE, prefix.alias("prefix"), bitmap(0, 2).alias("bits0"), bitmap(1, 2).alias("bits1"), wider.alias("wide")).alias("line"),
     )
     return rows.groupBy("k1", "k2", "n").agg(F.min("line").alias("line")).select("line.*", "n")
 
 
-def _may_match(a: Column, b: Column) -> Column:
+def _may_match(a: Column | dict[str, Column], b: Column | dict[str, Column], levels: int = len(WIDE)) -> Column:
     """Length, positional and bitmap filters; none of them drops a pair within the threshold at its first shared token."""
     both = a["n"] + b["n"]
     length = F.least(a["n"], b["n"]) * DEN >= F.greatest(a["n"], b["n"]) * NUM
     overlap = 1 + F.least(a["n"] - a["pos"], b["n"] - b["pos"])
     differ = F.bit_count(a["bits0"].bitwiseXOR(b["bits0"])) + F.bit_count(a["bits1"].bitwiseXOR(b["bits1"]))
-    return length & (overlap * (NUM + DEN) >= both * NUM) & (differ * (NUM + DEN) <= both * (DEN - NUM))
+    most = lambda d: d * (NUM + DEN) <= both * (DEN - NUM)
+    passed = length & (overlap * (NUM + DEN) >= both * NUM) & most(differ)
+    for k, (longs, _) in enumerate(WIDE[:levels]):  # null, and so passed, where either line has no such bitmap
+        at = sum(x for x, _ in WIDE[:k])
+        bits = [F.bit_count(F.get(a["wide"], F.lit(i)).bitwiseXOR(F.get(b["wide"], F.lit(i)))) for i in range(at, at + longs)]
+        passed = passed & F.coalesce(most(reduce(add, bits)), F.lit(True))
+    return passed
 
 
-ENTRY = (*LINE, "n", "pos", "bits0", "bits1")
+ENTRY = (*LINE, "n", "pos", "bits0", "bits1", "wide")
 
 
 def _filed(first: DataFrame) -> DataFrame:
@@ -87,8 +102,8 @@ def _filed(first: DataFrame) -> DataFrame:
     The filters drop nothing; a join would add them to one side, and the two sides would no longer share one shuffle.
     """
     rows = first.filter("n IS NOT NULL AND bits0 IS NOT NULL AND bits1 IS NOT NULL")
-    rows = rows.select(*LINE, "n", "bits0", "bits1", F.posexplode("prefix").alias("pos", "token"))
-    return rows.filter("token IS NOT NULL").select("token", *LINE, "n", (F.col("pos") + 1).alias("pos"), "bits0", "bits1")
+    rows = rows.select(*LINE, "n", "bits0", "bits1", "wide", F.posexplode("prefix").alias("pos", "token"))
+    return rows.filter("token IS NOT NULL").select("token", *LINE, "n", (F.col("pos") + 1).alias("pos"), "bits0", "bits1", "wide")
 
 
 def _before(a: Column, b: Column) -> Column:
@@ -96,6 +111,19 @@ def _before(a: Column, b: Column) -> Column:
     return (b["doc_id"] < a["doc_id"]) | (same & ((b["h"] < a["h"]) | ((b["h"] == a["h"]) & (b["line_no"] < a["line_no"]))))
 
 
+def _meeting(filed: DataFrame) -> DataFrame:
+    """The rows of `filed` under whose token there is another line that passes the filters: all that pairs are made of.
+
+    Each row is looked for once, up to the first such line, so a group of near copies makes no pairs here. The widest
+    bitmaps are left to later steps: with them the compiled join is too long to run fast.
+    """
+    filed = filed.repartition("token")  # renamed behind the one shuffle that both sides read
+    other = filed.select(F.col("token").alias("t"), *[F.col(c).alias(f"o_{c}") for c in ENTRY])
+    e, o = {c: F.col(c) for c in ENTRY}, {c: F.col(f"o_{c}") for c in ENTRY}
+    another = (e["line_no"] != o["line_no"]) | (e["doc_id"] != o["doc_id"]) | (e["h"] != o["h"])
+    return filed.join(other, (F.col("token") == F.col("t")) & another & _may_match(e, o, levels=1), "left_semi")
+
+
 def _candidates(filed: DataFrame) -> DataFrame:
     """An earlier line (c) that passes the filters for every line that has one in a group of its tokens: the earliest found.
 
@@ -115,16 +143,10 @@ def _candidates(filed: DataFrame) -> DataFrame:
     return found.filter("c IS NOT NULL").groupBy(*[f"e.{x}" for x in LINE]).agg(F.min("c").alias("c"))
 
 
-def _all_candidates(probes: DataFrame, first: DataFrame) -> DataFrame:
-    """Every earlier line that passes the filters for the lines of `probes`, as pairs.
-
-    The tokens of few probes, a hash each, are sent to all tasks, so that only rows under one of them are shuffled.
-    """
-    a = _filed(first.join(probes, LINE, "left_semi")).select("token", F.struct(*ENTRY).alias("e"))
-    b = _filed(first)
-    if probes.count() <= SENT_LINES:
-        b = b.join(F.broadcast(a.select("token").distinct()), "token", "left_semi")
-    b = b.select(F.col("token").alias("t"), F.struct(*ENTRY).alias("o"))
+def _all_candidates(probes: DataFrame, filed: DataFrame) -> DataFrame:
+    """Every earlier line that passes the filters for the lines of `probes`, as pairs."""
+    a = filed.join(probes, LINE, "left_semi").select("token", F.struct(*ENTRY).alias("e"))
+    b = filed.select(F.col("token").alias("t"), F.struct(*ENTRY).alias("o"))
     pairs = b.join(a, (F.col("token") == F.col("t")) & _before(F.col("e"), F.col("o")) & _may_match(F.col("e"), F.col("o")))
     return pairs.select(*[f"e.{x}" for x in LINE], F.struct(*[f"o.{x}" for x in LINE]).alias("c")).distinct()
 
@@ -150,16 +172,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     """doc_id, h and `kept` of rows (doc_id, h, text), the sorted numbers of lines that have tokens and no earlier line alike.
 
     A line needs one earlier match, not all of them. Equal sets are reduced to their first line by partial aggregation.
-    The rest meet in the groups of their prefix tokens, and the earliest candidate found for each line is verified on the
-    whole token sets. Lines whose candidate fails are compared with all their others.
+    The rest meet in the groups of their prefix tokens. Rows without a partner there are dropped, and the earliest candidate
+    found for each line is verified on the whole token sets. Lines whose candidate fails are compared with all their others.
     """
     levels = rarity(docs)
     first = keep(first_lines(line_sets(docs, levels)), "first-lines")
-    tried = keep(_candidates(_filed(first)), "tried")
+    met = keep(_meeting(_filed(first)), "met")
+    tried = keep(_candidates(met), "tried")
     gone = keep(_verified(tried, docs, levels), "alike")
     failed = keep(tried.join(gone, LINE, "left_anti"), "failed")
     if failed.limit(1).count():
-        others = keep(_all_candidates(failed.select(*LINE), first).join(failed, [*LINE, "c"], "left_anti"), "others")
+        others = keep(_all_candidates(failed.select(*LINE), met).join(failed, [*LINE, "c"], "left_anti"), "others")
         gone = gone.union(_verified(others, docs, levels))
     return first.join(gone, LINE, "left_anti").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("line_no")).alias("kept"))
 
