@@ -120,8 +120,9 @@ def _meeting(filed: DataFrame) -> DataFrame:
     filed = filed.repartition("token")  # renamed behind the one shuffle that both sides read
     other = filed.select(F.col("token").alias("t"), *[F.col(c).alias(f"o_{c}") for c in ENTRY])
     e, o = {c: F.col(c) for c in ENTRY}, {c: F.col(f"o_{c}") for c in ENTRY}
+    mine = filed.withColumn("part", F.spark_partition_id())  # else the semi join is moved below that shuffle, and each side has one
     another = (e["line_no"] != o["line_no"]) | (e["doc_id"] != o["doc_id"]) | (e["h"] != o["h"])
-    return filed.join(other, (F.col("token") == F.col("t")) & another & _may_match(e, o, levels=1), "left_semi")
+    return mine.join(other, (F.col("token") == F.col("t")) & another & _may_match(e, o, levels=1), "left_semi")
 
 
 def _candidates(filed: DataFrame) -> DataFrame:
