@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -37,3 +38,18 @@ def test_alike_lines_of_every_size(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(docs, SCHEMA)).collect()
     assert 0 < sum(r.n_removed for r in got) < sum(r.n_lines for r in got)
     assert sorted(map(tuple, got)) == sorted(brute.similar_lines(docs))
+
+
+def test_joins_stay_compiled(spark, capsys):
+    """Methods over 8,000 bytes are left to the JVM's interpreter; the join of candidates had one of 10,408."""
+    first = spark.createDataFrame([], "doc_id long, h long, line_no int, n int, pos int, bits0 long, bits1 long, wide array<bigint>, token int")
+    probes = first.select(*line_dedup.LINE)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (line_dedup._meeting(first), line_dedup._candidates(first), line_dedup._all_candidates(probes, first)):
+            df.explain("codegen")
+            sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
